@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe
+from gridlake.llm import bpe, mixing, urls
 from gridlake.llm.common import table
 
 
@@ -21,5 +21,22 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+#: Weights that sources take in turn, and the share of all words that the mix holds.
+WEIGHTS, SHARE = [5.0, 2.0, 1.0], 1.5
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, WEIGHTS, SHARE, keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = urls.listed_by_words(pages, urls.BLOCK_WORDS)
+    judged = urls.judge(pages, listed, urls.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op8_urls": op8_urls, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {}
