@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe, mixing, urls
+from gridlake.llm import bpe, mixing, quality, urls
 from gridlake.llm.common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.line_frequency(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = bpe.encode_documents(docs, vocabulary())
@@ -38,5 +42,5 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op8_urls": op8_urls, "op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op4_bpe": op4_bpe, "op8_urls": op8_urls, "op9_mixing": op9_mixing}
+ORACLES: dict[str, str] = {"op1_quality": quality.SQL}
