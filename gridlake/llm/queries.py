@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe, mixing, quality, urls
+from gridlake.llm import bpe, chat, mixing, quality, urls
 from gridlake.llm.common import table
 
 
@@ -19,6 +19,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold control strings; fixed values.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string"))
+    path = vocabulary("byte_bpe_50k.json")
+    return chat.read_back(chat.format_conversations(turns, path), path).drop("n_ids")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = bpe.encode_documents(docs, vocabulary())
@@ -42,5 +53,5 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_bpe": op4_bpe, "op8_urls": op8_urls, "op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {"op1_quality": quality.SQL}
+QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op4_bpe": op4_bpe, "op8_urls": op8_urls, "op9_mixing": op9_mixing}
+ORACLES: dict[str, str] = {"op1_quality": quality.SQL, "op2_chat": chat.SQL}
