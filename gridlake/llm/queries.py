@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe, chat, mixing, quality, urls
+from gridlake.llm import bpe, chat, mixing, pii, quality, urls
 from gridlake.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 #: Weights that sources take in turn, and the share of all words that the mix holds.
 WEIGHTS, SHARE = [5.0, 2.0, 1.0], 1.5
 
@@ -53,5 +57,5 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op4_bpe": op4_bpe, "op8_urls": op8_urls, "op9_mixing": op9_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op4_bpe": op4_bpe, "op7_pii": op7_pii, "op8_urls": op8_urls, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {"op1_quality": quality.SQL, "op2_chat": chat.SQL}
