@@ -61,7 +61,7 @@ TOLD_BY = r"(?i)\b(?:tel|telefon|phone|fax|call|mobile|mail|e-mail|contact|card|
 
 #: At most so many feature combinations, the commonest, are brought to the driver.
 MOST_COMBINATIONS = 20_000
-ROUNDS, DEPTH, RATE, PRECISION = 12, 3, 0.4, 0.98
+ROUNDS, DEPTH, RATE, PRECISION = 12, 3, 0.4, 0.95
 
 SPAN = "array<struct<start:int,end:int,s:string>>"
 Tree = tuple | float
@@ -166,7 +166,7 @@ FEATURES = [
 
 def fit_trees(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[list[Tree], float]:
     """Boosted trees for the log-odds of `good`, from feature combinations (rows of yes or no) and their
-    counts, and the least score at which PRECISION is reached (infinite if nowhere)."""
+    counts, and the threshold."""
     n = good + bad
     score = np.zeros(len(n))
     trees: list[Tree] = []
@@ -201,11 +201,28 @@ def fit_trees(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[list[Tr
         p = 1 / (1 + np.exp(-score))
         trees.append(grow(every, good - n * p, n * p * (1 - p), DEPTH))
         apply(trees[-1], every, score)
-    order = np.argsort(-score, kind="stable")
-    reached = np.cumsum(good[order]) >= PRECISION * np.cumsum(n[order])
-    last = np.append(score[order][1:] < score[order][:-1], True) if len(n) else reached  # equal scores go together
-    ok = np.flatnonzero(reached & last)
-    return trees, float(score[order][ok[-1]]) if len(ok) else float("inf")
+    return trees, threshold_of(score, good, bad)
+
+
+def threshold_of(score: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The least score at which the calibrated probability reaches PRECISION; infinite if nowhere. The
+    calibration is isotonic: neighbouring scores are pooled until the share of good ones never falls as the
+    score rises. A pool counts one bad example more than it has, so rare look-alikes are not trusted."""
+    pools: list[list[float]] = []  # least score, good, all
+    for k in np.argsort(score, kind="stable"):
+        if pools and pools[-1][0] == score[k]:
+            pools[-1][1] += good[k]
+            pools[-1][2] += good[k] + bad[k]
+        else:
+            pools.append([score[k], good[k], good[k] + bad[k]])
+    stack: list[list[float]] = []
+    for pool in pools:
+        stack.append(pool)
+        while len(stack) > 1 and stack[-2][1] * stack[-1][2] >= stack[-1][1] * stack[-2][2]:
+            _, g, n = stack.pop()
+            stack[-1][1] += g
+            stack[-1][2] += n
+    return min((float(p[0]) for p in stack if p[1] >= PRECISION * (p[2] + 1)), default=float("inf"))
 
 
 def tree_expression(tree: Tree, c: Column) -> Column:
