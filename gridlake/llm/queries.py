@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe, chat, mixing, pii, quality, urls
+from gridlake.llm import bpe, chat, html_text, mixing, pii, quality, toxicity, urls
 from gridlake.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns, path), path).drop("n_ids")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = bpe.encode_documents(docs, vocabulary())
@@ -57,5 +62,9 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op4_bpe": op4_bpe, "op7_pii": op7_pii, "op8_urls": op8_urls, "op9_mixing": op9_mixing}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op7_pii": op7_pii, "op8_urls": op8_urls, "op9_mixing": op9_mixing, "op10_html": op10_html}
 ORACLES: dict[str, str] = {"op1_quality": quality.SQL, "op2_chat": chat.SQL}
