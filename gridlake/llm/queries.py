@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe, chat, html_text, mixing, pii, quality, spotsigs, toxicity, urls
+from gridlake.llm import bpe, chat, html_text, minhash, mixing, pii, quality, spotsigs, toxicity, urls
 from gridlake.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.with_next(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_spotsigs": op5_spotsigs, "op7_pii": op7_pii, "op8_urls": op8_urls, "op9_mixing": op9_mixing, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_spotsigs": op5_spotsigs, "op6_minhash": op6_minhash, "op7_pii": op7_pii, "op8_urls": op8_urls, "op9_mixing": op9_mixing, "op10_html": op10_html}
 ORACLES: dict[str, str] = {"op1_quality": quality.SQL, "op2_chat": chat.SQL}
