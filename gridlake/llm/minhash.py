@@ -241,7 +241,7 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
     one = keyed.groupBy("copy1", "copy2").agg(F.min(F.struct("id", "keys")).alias("x")).select(F.col("x.id").alias("rep"), "x.keys")
     met = cut(_buckets(one))
     ids = met.select(F.col("rep").alias("id")).unionByName(met.select(F.col("leader").alias("id"))).distinct()
-    short = words.select("id", F.transform("words", lambda w: w.cast("int")).alias("words"))
+    short = words.select("id", F.transform("words", lambda w: F.hash(w)).alias("words"))
     cand = cut(short.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
     links: list[DataFrame] = []
