@@ -68,7 +68,7 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
         number = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
         label = np.empty(len(h), "u8")
         label[order] = number.astype("u8")
-        h = _mixed(h + label * np.uint64(0xD6E8FEB86659FD93))
+        h = np.where(label > 0, _mixed(h + label * np.uint64(0xD6E8FEB86659FD93)), h)
     return h
 
 
