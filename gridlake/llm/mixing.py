@@ -19,7 +19,7 @@ the columns that it adds: these replace them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import cut, word_count
@@ -46,12 +46,16 @@ def shares(sizes: list[tuple[str | None, int]], weights: list[float], share: flo
     return targets
 
 
+def _bins(v: Column) -> dict[str, Column]:
+    b1 = F.least(F.floor(v * BINS), F.lit(BINS - 1))
+    return {"bin1": b1, "bin2": F.least(F.floor((v * BINS - b1) * BINS), F.lit(BINS - 1))}
+
+
 def _find_cuts(ranked: DataFrame, aims: DataFrame) -> DataFrame:
-    """source_key, first_left: the first document by rank that is not taken, where one is left. `ranked` has
-    source_key, size, v (rank value between 0 and 1), row; `aims` has source_key, aim (words)."""
-    b1 = F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1))
-    b2 = F.least(F.floor((F.col("v") * BINS - b1) * BINS), F.lit(BINS - 1))
-    binned = ranked.withColumns({"bin1": b1, "bin2": b2})
+    """source_key and last: where the sample of a source ends, as struct<bin1, bin2, v, row>, the last document by rank that is
+    taken (v is -1 if that is the end of the bins before). Sources that have too few words have no row. `ranked`
+    has source_key, size, v (rank value between 0 and 1), row; `aims` has source_key, aim (words)."""
+    binned = ranked.withColumns(_bins(F.col("v")))
     found = aims.withColumn("before", F.lit(0.0))
     keys = ["source_key"]
     for name in ("bin1", "bin2"):
@@ -69,12 +73,11 @@ def _find_cuts(ranked: DataFrame, aims: DataFrame) -> DataFrame:
         keys = [*keys, name]
     order = Window.partitionBy("source_key").orderBy("v", "row").rowsBetween(Window.unboundedPreceding, 0)
     last = binned.join(found, keys).withColumn("upto", F.col("before") + F.sum("size").over(order))
-    # Of the two documents around the aim the nearer end: one that passes it is taken if most of it lies below.
-    return (
-        last.where(F.col("upto") - F.col("size") / 2.0 > F.col("aim"))
-        .groupBy("source_key")
-        .agg(F.min(F.struct("v", "row")).alias("first_left"))
-    )
+    # Of the two ends around the aim the nearer one: a document that passes it is taken if most of it lies below.
+    fits = F.col("upto") - F.col("size") / 2.0 <= F.col("aim")
+    at = F.when(fits, F.struct("v", "row")).otherwise(F.struct(F.lit(-1.0).alias("v"), F.lit(-1).cast("long").alias("row")))
+    ends = last.groupBy(*keys).agg(F.max(at).alias("at"))
+    return ends.select("source_key", F.struct("bin1", "bin2", "at.v", "at.row").alias("last"))
 
 
 def mix(
@@ -121,12 +124,13 @@ def mix(
     drawn = _drawn(slim, spark.createDataFrame(sources, kinds), most)
     aims = drawn.groupBy("source_key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("aim"))
     found = _find_cuts(drawn.where("v is not null").select("source_key", "size", "v", "row"), aims).collect()
-    left_at = {r.source_key: tuple(r.first_left) for r in found}  # one row for each source
-    sources = [(*x, *left_at.get(x[0], (None, None))) for x in sources]
-    kinds += ", left_v double, left_row long"
+    last = {r.source_key: r["last"] for r in found}  # one row for each source
+    sources = [(*x, last.get(x[0])) for x in sources]
+    kinds += ", last struct<bin1:long,bin2:long,v:double,row:long>"
     drawn = _drawn(slim if light == keep else measured, spark.createDataFrame(sources, kinds), most)
-    before = F.col("left_v").isNull() | (F.struct("v", "row") < F.struct("left_v", "left_row"))
-    copies = F.col("whole") + F.when(F.col("v").isNotNull() & before, 1).otherwise(0)
+    here = F.struct(*[e.alias(c) for c, e in _bins(F.col("v")).items()], "v", "row")
+    taken = F.col("last").isNull() | (here <= F.col("last"))
+    copies = F.col("whole") + F.when(F.col("v").isNotNull() & taken, 1).otherwise(0)
     return drawn.select(*keep, "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
