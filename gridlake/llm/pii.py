@@ -232,9 +232,9 @@ def tree_expression(tree: Tree, c: Column) -> Column:
 
 
 def _proposed(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """`keep`, base_<kind> and cand_<kind> arrays."""
+    """_kept (the columns `keep`, in a struct so that no name clashes), _text, base_<kind> and cand_<kind> arrays."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"))
+    rows = docs.select(F.struct(*[docs[c] for c in keep], F.lit(0).alias("_none")).alias("_kept"), docs[text_col].alias("_text"))
     rows = rows.select("*", *[e.alias(f"base_{k}") for k, e in base_spans(text).items()])
     return rows.select("*", *[_candidates(text, k, F.col(f"base_{k}")).alias(f"cand_{k}") for k in KINDS])
 
@@ -260,7 +260,7 @@ def _overlaps(a: Column, b: Column) -> Column:
 
 
 def _judged(docs: DataFrame, text_col: str, keep: list[str], model: tuple[list[Tree], float]) -> DataFrame:
-    """`keep`, base and spans: arrays of struct<kind, start, end>, by kind as listed, then start."""
+    """_kept (see `_proposed`), _text, base and spans: arrays of struct<kind, start, end>, by kind as listed, then start."""
     trees, threshold = model
     rows = _proposed(docs, text_col, keep)
     named = [F.transform(f"base_{k}", _named(k)) for k in KINDS]
@@ -269,16 +269,16 @@ def _judged(docs: DataFrame, text_col: str, keep: list[str], model: tuple[list[T
         F.concat(*[f"cand_{k}" for k in KINDS]),
         lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), score(c).alias("score")),
     )
-    rows = rows.select(*keep, "_text", F.concat(*named).alias("base"), scored.alias("_scored"))
+    rows = rows.select("_kept", "_text", F.concat(*named).alias("base"), scored.alias("_scored"))
     chosen = F.filter("_scored", lambda c: (c["score"] >= threshold) & ~F.exists("base", lambda b: _overlaps(b, c)))
-    rows = rows.select(*keep, "_text", "base", chosen.alias("_chosen"))
+    rows = rows.select("_kept", "_text", "base", chosen.alias("_chosen"))
     rank = lambda c: F.struct(-c["score"], c["start"], -c["end"], c["kind"])
     best = F.filter("_chosen", lambda c: ~F.exists("_chosen", lambda o: _overlaps(o, c) & (rank(o) < rank(c))))
     order = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     added = F.transform(best, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     every = F.array_sort(F.transform(F.concat("base", added), order))
     return rows.select(
-        *keep, "_text", "base", F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans")
+        "_kept", "_text", "base", F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans")
     )
 
 
@@ -295,7 +295,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(
-        id_col, *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.col("_kept")[id_col].alias(id_col), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
     )
 
@@ -314,4 +314,4 @@ def redact(docs: DataFrame, text_col: str = "text", model: tuple | None = None)
     done = F.aggregate(by_start, F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), step,
                        lambda at: F.concat(at["out"], F.substring(F.col("_text"), at["pos"] + 1, F.length("_text"))))
     text = F.when(F.size("spans") > 0, done).otherwise(F.col("_text"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return rows.select(*[text.alias(c) if c == text_col else F.col("_kept")[c].alias(c) for c in docs.columns])
