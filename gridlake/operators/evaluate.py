@@ -84,7 +84,7 @@ def _evaluate(todo: DataFrame, named: DataFrame, values: DataFrame) -> DataFrame
     return todo.select("id", "program", "refs").join(cells, "id", "left").mapInPandas(_kernel, VALUES)
 
 
-def _fixpoint(key, group: pd.DataFrame) -> pd.DataFrame:
+def _fixpoint(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """Cyclic cells of one component, from their stored values, each using the newest ones, until none moves."""
     values = {i: (s if s is not None else n if n == n else 0.0) for i, n, s in zip(group["id"], group["v_num"], group["v_str"], strict=True)}
     settled = False

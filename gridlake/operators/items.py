@@ -71,7 +71,7 @@ def _values(cells: Column) -> Column:
 
 
 def at(cells: Column, col: int) -> Column:
-    return F.element_at(F.filter(cells, lambda c: c["col_ix"] == col), 1)
+    return F.try_element_at(F.filter(cells, lambda c: c["col_ix"] == col), F.lit(1))
 
 
 def table_items(cells: DataFrame) -> DataFrame:
