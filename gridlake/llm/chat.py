@@ -26,7 +26,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +100,11 @@ def _assemble(path: str):
                 if c != conv:
                     conv, seq, place = c, 0, 0
                 head = [begin] if seq == 0 else []
-                ids = [*head, turn, *r, role, *x, end if loss else end_turn]
-                first = len(head) + len(r) + 2
-                rows.append((c, seq, place, ids, first if loss else 0, first + len(x) if loss else 0, n + len(BEGIN) * len(head)))
+                segments = [head, [turn], r, [role], x, [end if loss else end_turn]]
+                starts = [0, *accumulate(map(len, segments))]
+                a, b = (starts[4], starts[5]) if loss else (0, 0)
+                ids = [i for s in segments for i in s]
+                rows.append((c, seq, place, ids, a, b, n + len(BEGIN) * len(head)))
                 seq, place = seq + 1, place + len(ids)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64()]
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -127,9 +131,21 @@ def format_conversations(turns: DataFrame, path: str) -> DataFrame:
 
 
 def loss_mask(formatted: DataFrame) -> DataFrame:
-    """conv_id, seq, mask (0 or 1 for each id), by prefix sums over +1 at loss_from and -1 at loss_to."""
-    at = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda k: (k >= F.col("loss_from")) & (k < F.col("loss_to")))
-    return formatted.select("conv_id", "seq", F.transform(at, lambda x: x.cast("int")).alias("mask"))
+    """conv_id, seq, mask (0 or 1 for each id): prefix sums over +1 at loss_from and -1 at loss_to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = []
+            for ids, a, b in zip(*(batch.column(c).to_pylist() for c in ("ids", "loss_from", "loss_to")), strict=True):
+                change = np.zeros(len(ids) + 1, "i4")
+                change[a] += 1
+                change[b] -= 1
+                masks.append(np.cumsum(change)[:-1])
+            cols = [batch.column(0), batch.column(1), pa.array(masks, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "seq", "mask"])
+
+    columns = formatted.select("conv_id", "seq", "ids", "loss_from", "loss_to")
+    return columns.mapInArrow(run, "conv_id long, seq long, mask array<int>")
 
 
 def _read_back(path: str):

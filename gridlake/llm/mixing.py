@@ -70,6 +70,8 @@ def _find_cuts(ranked: DataFrame, aims: DataFrame) -> DataFrame:
         found = passed.groupBy(*keys, "aim").agg(
             F.min(name).alias(name), F.min(F.col("upto") - F.col("words")).alias("before")
         )
+        # One row for each source: as a local table its size is known, so documents need not be dealt by source.
+        found = found.sparkSession.createDataFrame(found.collect(), found.schema)
         keys = [*keys, name]
     order = Window.partitionBy("source_key").orderBy("v", "row").rowsBetween(Window.unboundedPreceding, 0)
     last = binned.join(found, keys).withColumn("upto", F.col("before") + F.sum("size").over(order))
