@@ -235,10 +235,12 @@ def lookup_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = part.groupBy(F.col("p_size").alias("size")).agg(F.min("p_retailprice").alias("starts")).groupBy("starts").agg(F.min("size").alias("band"))
     width = 50.0
     slot = lambda x: F.floor(x / width)
-    # Every slot of prices knows the bands inside it and the last one before it.
+    # Every slot of prices knows the bands inside it and the last one before it. There are few slots.
     inside = bands.withColumn("slot", slot(F.col("starts")))
-    slots = part.select(slot(F.col("p_retailprice")).alias("slot")).distinct()
-    earlier = slots.withColumnRenamed("slot", "s").join(inside, F.col("slot") < F.col("s"), "left").groupBy(F.col("s").alias("slot")).agg(F.max_by(F.struct("starts", "band"), "starts").alias("before"))
+    tops = inside.groupBy("slot").agg(F.max_by(F.struct("starts", "band"), "starts").alias("top"))
+    slots = part.select(slot(F.col("p_retailprice")).alias("slot")).distinct().join(tops, "slot", "full_outer")
+    above = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = slots.select("slot", F.last("top", ignorenulls=True).over(above).alias("before"))
     within = inside.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("starts", "band"))).alias("here"))
     p = part.select(F.col("p_partkey").alias("partkey"), F.col("p_retailprice").alias("price"), slot(F.col("p_retailprice")).alias("slot"))
     joined = p.join(within, "slot", "left").join(earlier, "slot", "left")
