@@ -145,3 +145,14 @@ def short_cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
             longer = paths.join(inner, paths["last"] == inner["src"]).where((F.col("tgt") > F.col("first")) & ~F.array_contains("path", F.col("tgt")))
             paths = checkpoint(longer.select(F.concat("path", F.array("tgt")).alias("path"), "first", F.col("tgt").alias("last")))
     return out
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, most_seeds: int = 80, most_others: int = 70, most_edges: int = 500) -> DataFrame:
+    """The edges around some nodes, for a picture: at most so many seeds, further neighbours and edges, the first by name."""
+    chosen = seeds.select("id").distinct().orderBy("id").limit(most_seeds)
+    out = edges.join(chosen.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("tgt").alias("id"))
+    back = edges.join(chosen.withColumnRenamed("id", "tgt"), "tgt", "left_semi").select(F.col("src").alias("id"))
+    others = out.unionByName(back).distinct().join(chosen, "id", "left_anti").orderBy("id").limit(most_others)
+    shown = checkpoint(chosen.unionByName(others))
+    inside = edges.join(shown.withColumnRenamed("id", "src"), "src", "left_semi").join(shown.withColumnRenamed("id", "tgt"), "tgt", "left_semi")
+    return inside.select("src", "tgt").distinct().orderBy("src", "tgt").limit(most_edges)

@@ -133,3 +133,26 @@ def series(found: DataFrame, cells: DataFrame) -> DataFrame:
     inside = spans.join(cells, ["sheet", "row"]).where((F.col("col_ix") >= F.col("ts_start")) & (F.col("col_ix") <= F.col("ts_end")) & F.col("v_num").isNotNull())
     w = Window.partitionBy("item_id").orderBy("col_ix")
     return inside.select("item_id", F.row_number().over(w).alias("pos"), "col_ix", "v_num")
+
+
+def generic_items(cells: DataFrame) -> DataFrame:
+    """Rows with a text and a value, for sheets of no known kind: the first text is the name; more than three values are a series."""
+    rows = _rows(cells).select("sheet", "row", _texts(F.col("cells")).alias("texts"), _values(F.col("cells")).alias("values"))
+    rows = rows.where((F.size("texts") > 0) & (F.size("values") > 0)).withColumn("name", F.trim(F.try_element_at("texts", F.lit(1))["v_str"]))
+    rows = rows.where(~is_noise(F.col("name")))
+    many = F.size("values") > 3
+    first, last = (F.try_element_at("values", F.lit(k))["col_ix"] for k in (1, -1))
+    return rows.select(
+        F.concat_ws("_", F.lit("BI"), "sheet", "row").alias("item_id"), "sheet", "row", "name", F.lit(None).cast("string").alias("unit"), first.alias("value_col"),
+        F.when(many, first).alias("ts_start"), F.when(many, last).alias("ts_end"), many.alias("has_time_series"),
+        F.try_element_at(F.filter("values", lambda v: v["formula_raw"].isNotNull()), F.lit(1))["formula_raw"].alias("formula_source"), F.lit(None).cast("string").alias("section"),
+    )
+
+
+#: Texts of at most three characters that head columns; fixed values.
+HEADERS = ["序号", "名称", "单位", "合计", "数值", "参数", "类别", "备注"]
+
+
+def is_item_row(texts: Column, n_values: Column) -> Column:
+    """Whether a row looks like an item: it has a value and a text that is no column header."""
+    return (n_values > 0) & F.exists(texts, lambda t: ~((F.length(t) <= 3) & t.isin(HEADERS)))

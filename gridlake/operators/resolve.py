@@ -78,3 +78,30 @@ def fuzzy(questions: DataFrame, names: DataFrame, least: float = 0.4) -> DataFra
     scored = pairs.withColumn("likeness", F.greatest(ratio("entity", "name"), F.when(inside, lengths).otherwise(0.0)))
     w = Window.partitionBy("entity").orderBy(F.desc("likeness"), "name")
     return scored.where(F.col("likeness") > least).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def named(entities: DataFrame, names: DataFrame, least: float = 0.35) -> DataFrame:
+    """entity, name: the item of that very name, otherwise the most alike, otherwise an alias's, otherwise none."""
+    alias = F.create_map(*[F.lit(x) for canonical, others in ALIASES.items() for o in others for x in (o, canonical)])
+    asked = entities.select("entity").distinct()
+    exact = asked.join(names.select(F.col("name").alias("entity")).distinct(), "entity", "left_semi").withColumn("name", F.col("entity"))
+    rest = asked.join(exact, "entity", "left_anti")
+    close = fuzzy(rest, names, least).select("entity", "name")
+    other = rest.join(close, "entity", "left_anti").withColumn("name", F.try_element_at(alias, F.col("entity")))
+    other = other.join(names.select("name").distinct(), "name", "left_semi").select("entity", "name")
+    return exact.unionByName(close).unionByName(other)
+
+
+def answers(questions: DataFrame, values: DataFrame) -> DataFrame:
+    """id, kind, name, value, other_name, other_value, difference, percent for questions (id, question) on items' values (name, ord, value).
+    Of items with one name the last one counts. A question whose item is not found has no value."""
+    asked = questions.select("id", intent(F.col("question")).alias("i")).select("id", "i.kind", "i.entity", "i.other")
+    last = values.groupBy("name").agg(F.max_by("value", "ord").alias("value"))
+    wanted = asked.select("entity").unionByName(asked.where("other IS NOT NULL").select(F.col("other").alias("entity")))
+    found = named(wanted, last).join(last, "name")
+    one = found.select("entity", "name", "value")
+    two = found.select(F.col("entity").alias("other"), F.col("name").alias("other_name"), F.col("value").alias("other_value"))
+    rows = asked.join(one, "entity", "left").join(two, "other", "left")
+    d = F.col("value") - F.col("other_value")
+    percent = F.when(F.col("other_value") != 0, d / F.abs("other_value") * 100).when(F.col("other_value") == 0, 0.0)
+    return rows.select("id", "kind", "name", "value", "other_name", "other_value", d.alias("difference"), percent.alias("percent"))

@@ -144,6 +144,18 @@ def short_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("members"), "length")
 
 
+@query(f"""
+WITH {HIERARCHY}, s AS (SELECT DISTINCT src AS id FROM hierarchy WHERE relation = 'nation_customer' ORDER BY 1 LIMIT 80),
+o AS (SELECT DISTINCT id FROM (SELECT tgt AS id FROM hierarchy WHERE src IN (FROM s) UNION SELECT src FROM hierarchy WHERE tgt IN (FROM s)) WHERE id NOT IN (FROM s) ORDER BY 1 LIMIT 70),
+n AS (SELECT id FROM s UNION SELECT id FROM o)
+SELECT DISTINCT src, tgt FROM hierarchy WHERE src IN (FROM n) AND tgt IN (FROM n) ORDER BY 1, 2 LIMIT 500
+""")
+def subgraph_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is drawn around the nations."""
+    edges = hierarchy(spark, sf_dir)
+    return graph.neighbourhood(edges, edges.where("relation = 'nation_customer'").select(F.col("src").alias("id")))
+
+
 @query("""
 WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY 1, 2, 3, 4 LIMIT 1),
 l AS (SELECT l_orderkey, l_extendedprice::decimal(18,2) AS old,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import formula, kernel
 from gridlake.operators import evaluate as E
+from gridlake.operators import items as I
 from gridlake.plans.registry import load, query
 
 
@@ -94,3 +95,26 @@ def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         all_.alias("total"), n.alias("covered"), F.count_if(~covered).alias("fallback"), F.round(n * 100.0 / all_, 4).alias("percent"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("calls")))), ",").alias("functions"),
     )
+
+
+@query("""
+SELECT p_partkey AS id, 'A' || p_partkey AS cells FROM part WHERE right(p_brand, 1) NOT IN ('1', '2', '3', '4')
+""")
+def formula_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas that cannot be read still name cells."""
+    p = formula.parsed(formulas(spark, sf_dir)).where("error IS NOT NULL")
+    return p.select("id", F.array_join(formula.endpoints(F.col("formula_raw")), ",").alias("cells"))
+
+
+@query("""
+SELECT 'BI_Accounts_' || c_custkey AS item_id, c_name AS name, 'EUR' AS unit, 2 AS value_col, 2 AS ts_start, 6 AS ts_end, true AS has_time_series FROM customer
+""")
+def items_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rows of a sheet: serial number, name, balance, unit and a series."""
+    c = load(spark, sf_dir, "customer")
+    number = lambda k, v: F.struct(F.lit(k).alias("col_ix"), v.cast("double").alias("v_num"), F.lit(None).cast("string").alias("v_str"))
+    text = lambda k, v: F.struct(F.lit(k).alias("col_ix"), F.lit(None).cast("double").alias("v_num"), v.alias("v_str"))
+    key, name, balance = F.col("c_custkey"), F.col("c_name"), F.col("c_acctbal")
+    row = F.array(number(2, key), text(3, name), number(4, balance), number(5, balance * 2), number(6, balance * 3), text(7, F.lit("EUR")))
+    cells = c.select(F.lit("Accounts").alias("sheet"), key.cast("int").alias("row"), F.explode(row).alias("x")).select("sheet", "row", "x.*", F.lit(None).cast("string").alias("formula_raw"))
+    return I.items(cells).select("item_id", "name", "unit", "value_col", "ts_start", "ts_end", "has_time_series")

@@ -258,6 +258,17 @@ def intent_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "i.kind", "i.entity", "i.other", "i.year", new.alias("changed"))
 
 
+@query("""
+WITH v AS (SELECT p_name AS name, arg_max(p_retailprice, p_partkey) AS value FROM part GROUP BY 1),
+q AS (SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 4 WHEN 0 THEN 'value' WHEN 1 THEN 'what_if' WHEN 2 THEN 'compare' ELSE 'other' END AS kind FROM part)
+SELECT id, kind, name, value FROM q JOIN v USING (name)
+""")
+def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value that each question asks for."""
+    values = load(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"), F.col("p_retailprice").alias("value"))
+    return R.answers(_questions(spark, sf_dir), values).select("id", "kind", "name", "value")
+
+
 @query()
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names with their first letters missing, matched to part names."""
