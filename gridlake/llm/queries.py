@@ -75,4 +75,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_spotsigs": op5_spotsigs, "op6_minhash": op6_minhash, "op7_pii": op7_pii, "op8_urls": op8_urls, "op9_mixing": op9_mixing, "op10_html": op10_html}
-ORACLES: dict[str, str] = {"op1_quality": quality.SQL, "op2_chat": chat.SQL}
+ORACLES: dict[str, str] = {"op1_quality": quality.SQL, "op2_chat": chat.SQL, "op8_urls": urls.sql(urls.RULES, urls.BLOCK_WORDS)}

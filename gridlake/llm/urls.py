@@ -106,3 +106,24 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     listed_now = F.coalesce(F.col("listed"), F.lit(False))
     verdict = F.coalesce(F.col("ruled"), F.when(listed_now, "block").otherwise("allow"))
     return joined.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "bloom_hit", listed_now.alias("listed"))
+
+
+def sql(rules: list[tuple[str, str, str]], words: list[str]) -> str:
+    """The same judgement as SQL over `pages`, with the list of `listed_by_words`."""
+    longest_first = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in longest_first]
+    rule, verdict = (
+        "CASE " + " ".join(f"WHEN {f} THEN '{x}'" for f, x in zip(fits, xs, strict=True)) + " END"
+        for xs in ([h + p for _, h, p in longest_first], [v for v, _, _ in longest_first])
+    )
+    return rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|ref|fbclid|gclid)(=|$)'))), '&') AS q FROM p),
+c AS (SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '')
+  || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical FROM h),
+l AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND regexp_matches(host, '(^|[.-])({'|'.join(words)})([.-]|$)')),
+r AS (SELECT c.page_id, host, path, {rule} AS rule, {verdict} AS ruled, l.canonical IS NOT NULL AS listed FROM c LEFT JOIN l ON c.canonical = l.canonical)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM r
+"""
