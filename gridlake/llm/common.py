@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space: space and tab to carriage return. A word is a longest run of other characters.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -39,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
+    """A small table of the driver whose size Spark knows, so that it broadcasts it only while it is small enough."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    data = [dict(zip(kind.names, r, strict=True)) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(data, schema=to_arrow_schema(kind)), kind)
+
+
 def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

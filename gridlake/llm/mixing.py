@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import cut, word_count
+from gridlake.llm.common import cut, local_table, word_count
 
 #: Bins into which each round splits the rank values of a source.
 BINS = 4096
@@ -71,7 +71,7 @@ def _find_cuts(ranked: DataFrame, aims: DataFrame) -> DataFrame:
             F.min(name).alias(name), F.min(F.col("upto") - F.col("words")).alias("before")
         )
         # One row for each source: as a local table its size is known, so documents need not be dealt by source.
-        found = found.sparkSession.createDataFrame(found.collect(), found.schema)
+        found = local_table(found.sparkSession, found.collect(), found.schema)
         keys = [*keys, name]
     order = Window.partitionBy("source_key").orderBy("v", "row").rowsBetween(Window.unboundedPreceding, 0)
     last = binned.join(found, keys).withColumn("upto", F.col("before") + F.sum("size").over(order))
@@ -123,13 +123,13 @@ def mix(
         for (name, n, w), t in zip(named, targets, strict=True)
     ]
     kinds = "source_key string, source_size long, target double, rate double"
-    drawn = _drawn(slim, spark.createDataFrame(sources, kinds), most)
+    drawn = _drawn(slim, local_table(spark, sources, kinds), most)
     aims = drawn.groupBy("source_key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("aim"))
     found = _find_cuts(drawn.where("v is not null").select("source_key", "size", "v", "row"), aims).collect()
-    last = {r.source_key: r["last"] for r in found}  # one row for each source
+    last = {r.source_key: r["last"].asDict() for r in found}  # one row for each source
     sources = [(*x, last.get(x[0])) for x in sources]
     kinds += ", last struct<bin1:long,bin2:long,v:double,row:long>"
-    drawn = _drawn(slim if light == keep else measured, spark.createDataFrame(sources, kinds), most)
+    drawn = _drawn(slim if light == keep else measured, local_table(spark, sources, kinds), most)
     here = F.struct(*[e.alias(c) for c, e in _bins(F.col("v")).items()], "v", "row")
     taken = F.col("last").isNull() | (here <= F.col("last"))
     copies = F.col("whole") + F.when(F.col("v").isNotNull() & taken, 1).otherwise(0)
