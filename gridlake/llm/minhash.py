@@ -11,8 +11,8 @@ components of the links; the class id is the least document id.
 Copies (equal word sequences) are put together first and take part once. In each bucket of a key only the
 least document, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
 has members, and where most pairs are true, as among near copies, the leader joins them all. Members that
-turn out unlike their leader go on: first to the next leader among them, then to keys of four and of eight
-k-mers, which part texts that merely share a passage and still hold together what is alike. No bucket is
+turn out unlike their leader go on: first to the next leader among them, then to keys of four k-mers,
+which part texts that merely share a passage and still hold together what is alike. No bucket is
 capped or dropped. What is compared in later rounds is only what earlier ones have not put in one class.
 
 What is found: texts of at least one common k-mer (two, in order, if they have two); two texts that share a
@@ -40,7 +40,7 @@ K, LEAST = 5, 0.8
 #: Hash functions; how many of them the first round of comparisons uses.
 HASHES, FIRST = 80, 6
 #: k-mers of a key, by round.
-LENGTHS = (2, 4, 8)
+LENGTHS = (2, 4)
 #: Hash values that are held at once for a long text.
 CELLS = 1 << 21
 
@@ -201,10 +201,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs the neighbours of every node to the least one among them and itself, first the greater
     neighbours, then the smaller ones; stars are reached in a number of rounds that grows with the logarithm of
-    the longest chain. Nothing but a count and a sum comes to the driver."""
+    the longest chain. Nothing but whether this is so comes to the driver."""
     edges = cut(links.select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct())
-    seen = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -215,10 +214,16 @@ def components(links: DataFrame) -> DataFrame:
             .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-        seen = now
+    return edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs to one other, which hangs to none."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    nodes = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))).isEmpty()
 
 
 def _apart(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -248,23 +253,24 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
     tested: list[DataFrame] = []
     comp: DataFrame | None = None
 
-    def compare(rows: DataFrame) -> bool:
-        """Compares what is new and still apart among the rows' leaders and members; was anything linked?"""
+    def compare(rows: DataFrame) -> None:
+        """Compares leaders and members of the rows that have not been compared, and links what is alike."""
         nonlocal comp
         pairs = rows.select("leader", "rep").distinct()
         for done in tested:
             pairs = pairs.join(done, ["leader", "rep"], "left_anti")
         pairs = cut(pairs)
+        if pairs.isEmpty():
+            return
         tested.append(pairs)
         links.append(cut(_verified(pairs, cand, least, kind)))
-        if links[-1].isEmpty():
-            return False
-        comp = components(reduce(DataFrame.unionByName, links))
-        return True
+        if not links[-1].isEmpty():
+            comp = components(reduce(DataFrame.unionByName, links))
 
     compare(met.where(F.col("function") < FIRST))
-    compare(_apart(met, comp))
     left = cut(_apart(met, comp))
+    compare(left)
+    left = cut(_apart(left, comp))
     order = Window.partitionBy("bucket").orderBy("rep").rowsBetween(Window.unboundedPreceding, 0)
     compare(_apart(left.withColumn("leader", F.first("rep").over(order)).where("leader <> rep"), comp))
     for length in LENGTHS[1:]:
