@@ -10,10 +10,13 @@ components of the links; the class id is the least document id.
 
 Copies (equal word sequences) are put together first and take part once. In each bucket of a key only the
 least document, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
-has members, and where most pairs are true, as among near copies, the leader joins them all. Members that
-turn out unlike their leader go on: first to the next leader among them, then to keys of four k-mers,
-which part texts that merely share a passage and still hold together what is alike. No bucket is
-capped or dropped. What is compared in later rounds is only what earlier ones have not put in one class.
+has members, and where most pairs are true, as among near copies, the leader joins them all. Buckets that still
+hold members of different components are finished exactly: all their members, leaders and linked ones too, are
+compared with each other, but for pairs that are in one component and pairs that cannot be alike. Those alike have
+all but `most` of the longer text's words in common, so they share one of their most + 1 rarest words (a repeated
+one told apart by its number; rare among these members), and their lengths differ by at most `most`. A passage that
+many texts share is not among the rarest words of a text unless nearly all of it is that passage. So any two
+texts alike that have a common key end in one class. No bucket is capped or dropped.
 
 What is found: texts of at least one common k-mer (two, in order, if they have two); two texts that share a
 fifth of their k-mers (about the threshold, with edits spread evenly) meet with probability 0.96, those that share a third with
@@ -31,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import cut, word_array
@@ -39,8 +42,10 @@ from gridlake.llm.common import cut, word_array
 K, LEAST = 5, 0.8
 #: Hash functions; how many of them the first round of comparisons uses.
 HASHES, FIRST = 80, 6
-#: k-mers of a key, by round.
-LENGTHS = (2, 4)
+#: k-mers of a key.
+LENGTH = 2
+#: Longs that hold the bits of a text's words.
+BITS = 8
 #: Hash values that are held at once for a long text.
 CELLS = 1 << 21
 
@@ -55,9 +60,9 @@ _SEEDS = _mixed(np.arange(1, 2 * HASHES + 1, dtype="u8") * np.uint64(0x9E3779B97
 _XOR, _ODD = _SEEDS[:HASHES, None], _SEEDS[HASHES:, None] | np.uint64(1)
 
 
-def labelled_kmers(words: np.ndarray) -> np.ndarray:
+def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     """Hashes of the k-mers, those after a first occurrence told apart by their number."""
-    k = min(K, len(words))
+    k = min(k, len(words))
     h = np.zeros(len(words) - k + 1, "u8")
     for j in range(k):
         h = _mixed(h + np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(h)].view("u8"))
@@ -236,13 +241,65 @@ def _apart(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return joined.where(apart).drop("comp_rep", "comp_leader")
 
 
+def _with_tokens(rows: DataFrame, kind: str) -> DataFrame:
+    """rep, size, bits, tokens: the words of each text, those after a first occurrence told apart by their number.
+    `bits` has one bit set for each of them, by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, words = batch.columns
+            lists = [w.astype("i8") for w in _lists(words)]
+            tokens = [labelled_kmers(w, 1) for w in lists]
+            held = np.zeros((len(lists), 64 * BITS), "u1")
+            for k, t in enumerate(tokens):
+                held[k, t % np.uint64(64 * BITS)] = 1
+            bits = np.packbits(held, axis=1).view("i8")
+            cols = [rep, pa.array([len(w) for w in lists], pa.int64()), *(pa.array(list(x), pa.list_(pa.int64())) for x in (bits, [t.view("i8") for t in tokens]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "size", "bits", "tokens"])
+
+    return rows.select(F.col("id").alias("rep"), "words").mapInArrow(run, f"rep {kind}, size long, bits array<long>, tokens array<long>")
+
+
+def _possible(texts: DataFrame, comp: DataFrame | None, least: float, kind: str) -> DataFrame:
+    """leader, rep of all pairs of the texts that can be alike and are not in one component.
+
+    Texts meet by rare words first as components and only then as members, those of the smaller component first, so
+    a large component makes no pairs with itself. Words that one text has and the other lacks are counted from
+    below by the bits."""
+    sized = cut(_with_tokens(texts, kind))
+    tokens = sized.select("rep", "size", F.explode("tokens").alias("token"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # Words that only one text holds come first in the order and meet nobody: they only use up places.
+    ranked = tokens.join(held, "token", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("held", "token"))
+    rare = ranked.withColumn("place", place).where(F.col("place") <= _most(F.col("size"), least) + 1).where("held > 1").select("rep", "token")
+    about = sized.select("rep", "size", "bits")
+    about = about.withColumn("comp", F.col("rep")) if comp is None else about.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    members = cut(rare.join(about, "rep"))
+    groups = cut(members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")))
+    one, two = (groups.select("token", F.col("comp").alias(f"comp_{x}"), F.struct("n", "comp").alias(f"order_{x}")) for x in "ab")
+    met = one.join(two, "token").where("order_a < order_b").select("token", "comp_a", "comp_b")
+    a, b = (members.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "rep", "size", "bits"))) for x in "ab")
+    longer = F.greatest("size_a", "size_b")
+    common = longer - _most(longer, least)
+    lacks = lambda x, y: reduce(Column.__add__, (F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS)))
+    near = (F.least("size_a", "size_b") >= common) & (F.col("size_a") - lacks("bits_a", "bits_b") >= common) & (F.col("size_b") - lacks("bits_b", "bits_a") >= common)
+    pairs = met.join(a, ["token", "comp_a"]).join(b, ["token", "comp_b"]).where(near)
+    return pairs.select(F.least("rep_a", "rep_b").alias("leader"), F.greatest("rep_a", "rep_b").alias("rep"))
+
+
+def _most(size: Column, least: float) -> Column:
+    """Edits that `alike` allows for a longer text of that many words."""
+    return F.floor((1 - least) * size + 1e-9)
+
+
 def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id: a row for each row of the input."""
     kind = docs.schema[id_col].dataType.simpleString()
     words = _words(docs, id_col, text_col)
     copies = words.groupBy("copy1", "copy2").agg(F.min("id").alias("rep"))
     reps = cut(words.select("id", "copy1", "copy2").join(copies, ["copy1", "copy2"]).select("id", "rep"))
-    keyed = _with_keys(words.select("id", "copy1", "copy2", "words"), LENGTHS[0], f"id {kind}, copy1 long, copy2 long")
+    keyed = _with_keys(words.select("id", "copy1", "copy2", "words"), LENGTH, f"id {kind}, copy1 long, copy2 long")
     one = keyed.groupBy("copy1", "copy2").agg(F.min(F.struct("id", "keys")).alias("x")).select(F.col("x.id").alias("rep"), "x.keys")
     met = cut(_buckets(one))
     ids = met.select(F.col("rep").alias("id")).unionByName(met.select(F.col("leader").alias("id"))).distinct()
@@ -268,19 +325,11 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
             comp = components(reduce(DataFrame.unionByName, links))
 
     compare(met.where(F.col("function") < FIRST))
-    left = cut(_apart(met, comp))
-    compare(left)
-    left = cut(_apart(left, comp))
-    order = Window.partitionBy("bucket").orderBy("rep").rowsBetween(Window.unboundedPreceding, 0)
-    compare(_apart(left.withColumn("leader", F.first("rep").over(order)).where("leader <> rep"), comp))
-    for length in LENGTHS[1:]:
-        left = cut(_apart(left, comp).select("leader", "rep"))
-        ids = left.select(F.col("rep").alias("id")).distinct()
-        if ids.isEmpty():
-            break
-        again = _with_keys(cand.join(ids, "id", "left_semi").select(F.col("id").alias("rep"), "words"), length, f"rep {kind}")
-        left = cut(_buckets(again))
-        compare(_apart(left, comp))
+    compare(_apart(met, comp))
+    open_ = met.join(_apart(met, comp).select("bucket").distinct(), "bucket", "left_semi")
+    ids = cut(open_.select(F.explode(F.array("leader", "rep")).alias("id")).distinct())
+    if not ids.isEmpty():
+        compare(_possible(cand.join(ids, "id", "left_semi"), comp, least, kind))
     if comp is None:
         return reps.select(F.col("id").alias(id_col), F.col("rep").alias("class_id"))
     return reps.join(comp, "rep", "left").select(F.col("id").alias(id_col), F.coalesce("comp", "rep").alias("class_id"))

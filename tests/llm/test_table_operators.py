@@ -148,6 +148,45 @@ def test_a_shared_passage_joins_nobody(spark):
     assert got == {k: 7 if k == 100 else k for k, _ in rows}
 
 
+def _in_passage(seed, n=150, many=40, common=0.6, edits=15):
+    """Unlike texts with one passage, and pairs of them whose own words are edited at even distances."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(int(n * common))]
+    texts = [passage + [f"w{rng.randrange(10**9)}" for _ in range(n - len(passage))] for _ in range(many)]
+    for k in range(0, many, 4):
+        own = list(texts[k])
+        for at in range(len(passage), n, (n - len(passage)) // edits):
+            own[at] = f"e{rng.randrange(10**9)}"
+        texts.append(own)
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def test_near_copies_within_a_passage_that_many_share(spark):
+    rows = list(enumerate(t for seed in range(3) for t in _in_passage(seed)))
+    # A chain: the middle one is alike to both ends, which are not alike.
+    chain = [f"c{k}" for k in range(100)]
+    ends = [[f"{x}{k}" if k % 10 == d else w for k, w in enumerate(chain)] for x, d in (("x", 3), ("y", 6))]
+    further = [f"z{k}" if k % 20 == 9 else w for k, w in enumerate(ends[1])]
+    rows += list(enumerate((" ".join(t) for t in (ends[0], further, chain, ends[1])), len(rows)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == _brute(rows)
+
+
+def test_possible_pairs_hold_all_that_are_alike(spark):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 60))] for _ in range(15)]
+    texts = base + [[rng.choice("abcxyz") if rng.random() < 0.15 else w for w in t if rng.random() > 0.05] for t in base for _ in range(4)]
+    rows = [(k, [hash(w) % 2**31 for w in t]) for k, t in enumerate(texts)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and minhash.alike(np.array(x), np.array(y), 0.8)}
+    df = spark.createDataFrame(rows, "id long, words array<int>")
+    comp = spark.createDataFrame([(k, 0) for k in range(1, 5)], "rep long, comp long")
+    for known in (None, comp):
+        got = {(r.leader, r.rep) for r in minhash._possible(df, known, 0.8, "bigint").collect()}
+        assert {p for p in want if known is None or max(p) > 4} <= got
+        assert known is None or all(b > 4 for _, b in got)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)]
     got = {r.rep: r.comp for r in minhash.components(spark.createDataFrame(links, "leader long, rep long")).collect()}
