@@ -18,9 +18,12 @@ one told apart by its number; rare among these members), and their lengths diffe
 many texts share is not among the rarest words of a text unless nearly all of it is that passage. So any two
 texts alike that have a common key end in one class. No bucket is capped or dropped.
 
-What is found: texts of at least one common k-mer (two, in order, if they have two); two texts that share a
-fifth of their k-mers (about the threshold, with edits spread evenly) meet with probability 0.96, those that share a third with
-more than 0.999. Texts under five words are compared as wholes, so only copies of them are found.
+Texts under SHORT words have each single k-mer as a further key, so any two of them with a common k-mer meet.
+
+What is found: of texts under SHORT words all that have a common k-mer; of longer ones those of at least two common
+k-mers: two texts that share a fifth of their k-mers (about the threshold, with edits spread evenly) meet with
+probability 0.96, those that share a third with more than 0.999. A text under SHORT words and a longer one meet as
+two longer ones do. Texts under five words are compared as wholes, so only copies of them are found.
 
 Cases: a null text belongs to a class of its own; texts without words are copies of each other. Texts are read
 whole. Repeated rows are copies. An empty table gives an empty one. Of the input only id and text are used, but
@@ -44,6 +47,9 @@ K, LEAST = 5, 0.8
 HASHES, FIRST = 80, 6
 #: k-mers of a key.
 LENGTH = 2
+#: Texts of fewer words have their single k-mers as keys too. Texts alike of which the shorter has up to 31 words
+#: both have, at the threshold of LEAST.
+SHORT = 40
 #: Longs that hold the bits of a text's words.
 BITS = 8
 #: Hash values that are held at once for a long text.
@@ -78,7 +84,8 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def keys(words: np.ndarray, length: int) -> np.ndarray:
-    """One key for each hash function: its smallest k-mers in text order. Empty for texts without words."""
+    """One key for each hash function: its smallest k-mers in text order; then, if the text is short, one for each
+    k-mer. Empty for texts without words."""
     if not len(words):
         return np.zeros(0, "i8")
     h = labelled_kmers(words)
@@ -100,6 +107,8 @@ def keys(words: np.ndarray, length: int) -> np.ndarray:
         for c in range(n):
             key = _mixed(key + h[places[:, c]])
         out[at : at + block] = key
+    if K <= len(words) < SHORT:
+        out = np.concatenate([out, _mixed(h ^ np.uint64(0xA0761D6478BD642F))])
     return out.view("i8")
 
 

@@ -187,6 +187,23 @@ def test_possible_pairs_hold_all_that_are_alike(spark):
         assert known is None or all(b > 4 for _, b in got)
 
 
+def test_short_texts_with_a_common_run(spark):
+    rng = random.Random(8)
+    rows = ["a b c d e", "a b c d e f", "n0 n1 n2 n3 n4 n5 n6", "n0 n1 n2 n3 n4 x n6"]
+    for n in range(5, 32):
+        text = [f"t{n}.{k}" for k in range(n)]
+        for _ in range(2):
+            run = rng.randrange(n - 4)
+            outside = [k for k in range(n) if not run <= k < run + 5]
+            at = set(rng.sample(outside, min(len(outside), n // 5)))
+            rows.append(" ".join(f"e{rng.randrange(10**9)}" if k in at else w for k, w in enumerate(text)))
+        rows.append(" ".join(text))
+        rows.append(" ".join(text + [f"m{n}.{k}" for k in range(n // 4)]))
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)]
     got = {r.rep: r.comp for r in minhash.components(spark.createDataFrame(links, "leader long, rep long")).collect()}
