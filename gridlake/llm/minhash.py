@@ -50,6 +50,8 @@ LENGTH = 2
 #: Texts of fewer words have their single k-mers as keys too. Texts alike of which the shorter has up to 31 words
 #: both have, at the threshold of LEAST.
 SHORT = 40
+#: Cells in which words are counted to tell rare ones; the table of counts is what reaches the driver.
+CELLS_HELD = 1 << 17
 #: Longs that hold the bits of a text's words.
 BITS = 8
 #: Hash values that are held at once for a long text.
@@ -250,23 +252,42 @@ def _apart(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return joined.where(apart).drop("comp_rep", "comp_leader")
 
 
-def _with_tokens(rows: DataFrame, kind: str) -> DataFrame:
-    """rep, size, bits, tokens: the words of each text, those after a first occurrence told apart by their number.
-    `bits` has one bit set for each of them, by its hash."""
+def _cells(texts: DataFrame) -> np.ndarray:
+    """How many words of the texts, told apart by their number, fall into each of CELLS cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [labelled_kmers(w.astype("i8"), 1) % np.uint64(CELLS_HELD) for w in _lists(batch.column(0)) if len(w)]
+            cell, n = np.unique(np.concatenate(cells or [np.zeros(0, "u8")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view("i8")), pa.array(n)], names=["cell", "n"])
+
+    counts = texts.select("words").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(CELLS_HELD, "i8")
+    held[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    return held
+
+
+def _with_rare(texts: DataFrame, held: np.ndarray, least: float, kind: str) -> DataFrame:
+    """rep, size, bits, tokens: the most + 1 rarest words of each text, those after a first occurrence told apart by
+    their number, where `most` are the edits that the text allows; `bits` has one bit set for each word, by its hash.
+    Rare is by `held`, the same for all, so that texts alike share one of these words whatever the counts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, words = batch.columns
-            lists = [w.astype("i8") for w in _lists(words)]
-            tokens = [labelled_kmers(w, 1) for w in lists]
-            held = np.zeros((len(lists), 64 * BITS), "u1")
-            for k, t in enumerate(tokens):
-                held[k, t % np.uint64(64 * BITS)] = 1
-            bits = np.packbits(held, axis=1).view("i8")
-            cols = [rep, pa.array([len(w) for w in lists], pa.int64()), *(pa.array(list(x), pa.list_(pa.int64())) for x in (bits, [t.view("i8") for t in tokens]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["rep", "size", "bits", "tokens"])
+            sizes, tokens, all_bits = [], [], []
+            for w in _lists(words):
+                t = labelled_kmers(w.astype("i8"), 1)
+                bits = np.zeros(64 * BITS, "u1")
+                bits[t % np.uint64(64 * BITS)] = 1
+                order = np.lexsort((t, held[t % np.uint64(CELLS_HELD)]))
+                sizes.append(len(w))
+                all_bits.append(np.packbits(bits).view("i8"))
+                tokens.append(t[order[: int((1 - least) * len(w) + 1e-9) + 1]].view("i8"))
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (all_bits, tokens))
+            yield pa.RecordBatch.from_arrays([rep, pa.array(sizes, pa.int64()), *lists], names=["rep", "size", "bits", "tokens"])
 
-    return rows.select(F.col("id").alias("rep"), "words").mapInArrow(run, f"rep {kind}, size long, bits array<long>, tokens array<long>")
+    return texts.select(F.col("id").alias("rep"), "words").mapInArrow(run, f"rep {kind}, size long, bits array<long>, tokens array<long>")
 
 
 def _possible(texts: DataFrame, comp: DataFrame | None, least: float, kind: str) -> DataFrame:
@@ -274,20 +295,19 @@ def _possible(texts: DataFrame, comp: DataFrame | None, least: float, kind: str)
 
     Texts meet by rare words first as components and only then as members, those of the smaller component first, so
     a large component makes no pairs with itself. Words that one text has and the other lacks are counted from
-    below by the bits."""
-    sized = cut(_with_tokens(texts, kind))
-    tokens = sized.select("rep", "size", F.explode("tokens").alias("token"))
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    # Words that only one text holds come first in the order and meet nobody: they only use up places.
-    ranked = tokens.join(held, "token", "left").withColumn("held", F.coalesce("held", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("held", "token"))
-    rare = ranked.withColumn("place", place).where(F.col("place") <= _most(F.col("size"), least) + 1).where("held > 1").select("rep", "token")
-    about = sized.select("rep", "size", "bits")
+    below by the bits, which only words shared by components carry along."""
+    texts = cut(texts)
+    about = _with_rare(texts, _cells(texts), least, kind)
     about = about.withColumn("comp", F.col("rep")) if comp is None else about.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    members = cut(rare.join(about, "rep"))
-    groups = cut(members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")))
+    about = cut(about)
+    members = about.select(F.explode("tokens").alias("token"), "comp", "rep")
+    groups = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    shared = groups.groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    groups = cut(groups.join(shared.select("token"), "token", "left_semi"))
     one, two = (groups.select("token", F.col("comp").alias(f"comp_{x}"), F.struct("n", "comp").alias(f"order_{x}")) for x in "ab")
     met = one.join(two, "token").where("order_a < order_b").select("token", "comp_a", "comp_b")
+    members = members.join(groups.select("token", "comp"), ["token", "comp"], "left_semi")
+    members = cut(members.join(about.select("rep", "size", "bits"), "rep"))
     a, b = (members.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "rep", "size", "bits"))) for x in "ab")
     longer = F.greatest("size_a", "size_b")
     common = longer - _most(longer, least)
