@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,23 +26,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and Spark runs on one
+    machine, a folder of this machine; elsewhere executors would write where others cannot read, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="gridlake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Folders that `cut` has written, with the session that wrote them.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back, so that a lost executor costs a read and no recomputation."""
+    """Write a table into the shared folder and read it back, so that a lost executor costs a read and no recomputation.
+    The result reads the folder, so it stays until `clean` or the end of the program."""
     path = f"{shared_dir(df.sparkSession)}/gridlake-{uuid.uuid4().hex}"
+    _WRITTEN.append((df.sparkSession, path))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def clean() -> None:
+    """Deletes what `cut` has written. Results that were not written or collected before cannot be read any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
     """A small table of the driver whose size Spark knows, so that it broadcasts it only while it is small enough."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -49,6 +69,23 @@ def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> Da
     return spark.createDataFrame(pa.Table.from_pylist(data, schema=to_arrow_schema(kind)), kind)
 
 
+#: A key with more than this share of all rows is hot; there are at most 1 / HOT such keys.
+HOT = 1 / 2000
+
+
+def with_looked_up(rows: DataFrame, table: DataFrame, key: str, held: str) -> DataFrame:
+    """`rows`, which must be cheap to read twice, left joined with `table`: one row for each key, of which `held` counts the
+    rows of `rows`. Rows with a hot key are joined with a local table of these keys, at most 1 / HOT, and stay where they are;
+    so no task gets all rows of a key."""
+    total = table.agg(F.sum(held)).first()[0] or 0
+    hot = table.where(F.col(held) > max(1000, total * HOT)).collect()
+    if not hot:
+        return rows.join(table.drop(held), key, "left")
+    here = local_table(rows.sparkSession, hot, table.schema).drop(held)
+    many = F.col(key).isin([r[key] for r in hot])
+    return rows.where(~many | F.col(key).isNull()).join(table.drop(held), key, "left").unionByName(rows.where(many).join(here, key, "left"))
+
+
 def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

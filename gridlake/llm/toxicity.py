@@ -13,7 +13,8 @@ rows that may be learned from (TRAIN_TOXIC and TRAIN_CLEAN distinct texts, chose
 held out. Labels, language, source and id are no inputs of a score.
 
 Cases: a null or empty text has no clauses and gets the score of a text without matches. Texts are read whole.
-Labels that are null, or whose document is missing, teach nothing; a document with several labels counts as
+Labels that are null, or whose document is missing or has no id, teach nothing; a document without id is scored
+as the others and is not held out; a document with several labels counts as
 toxic if one says so; without any labels a fixed function of the fixed words scores. Repeated rows give
 repeated results; an empty table gives an empty one. `score` returns its own columns only.
 """
@@ -195,7 +196,8 @@ class Reader(dict):
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a document's labels may not be learned from; false for a null id, whose labels teach nothing."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,16 +213,18 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+    """In how many toxic and clean texts of each batch a stem stands. A stem that is clean here may be toxic elsewhere, so
+    all are counted; a sample, and so the number of stems, is bounded."""
     for batch in batches:
+        counts = (Counter(), Counter())
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(TOKEN.findall((text or "").lower()))
             counts[toxic].update({w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n})
-    stems = list(counts[1])  # what stands in no toxic document teaches nothing
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(stems, pa.string()), pa.array([counts[1][s] for s in stems], pa.int64()), pa.array([counts[0][s] for s in stems], pa.int64())],
-        names=["stem", "in_toxic", "in_clean"],
-    )
+        stems = list(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(stems, pa.string()), pa.array([counts[1][s] for s in stems], pa.int64()), pa.array([counts[0][s] for s in stems], pa.int64())],
+            names=["stem", "in_toxic", "in_clean"],
+        )
 
 
 def evidence(t: float, c: float, toxic: float, clean: float) -> float:

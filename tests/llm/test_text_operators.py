@@ -340,3 +340,57 @@ def test_similar_pairs_equal_brute_force(spark):
     reps = [(i, spotsigs.signatures(t)) for i, t in rows if least[spotsigs.signatures(t).tobytes()] == i and t]
     want = {(a, b): spotsigs.jaccard(x, y) for a, x in reps for b, y in reps if a < b and spotsigs.jaccard(x, y) >= spotsigs.LIKENESS}
     assert want and got == want
+
+
+@pytest.mark.parametrize("partitions", [1, 200])
+def test_toxicity_learns_the_same_in_any_number_of_partitions(spark, partitions):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    want = toxicity.train(docs, labels)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = toxicity.train(docs.repartition(partitions), labels)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got.stems == want.stems and np.allclose(got.coefficients, want.coefficients, rtol=1e-9)
+    rows = toxicity.score(docs, got).where("held_out").join(labels, "doc_id").where("toxic = 1").collect()
+    assert sum(r.predicted for r in rows) > 0.6 * len(rows)
+
+
+def _clauses_by_hand(text, stems):
+    """Clause scores by running the four transducers one after the other over each clause's words."""
+    fixed = {w: k for k, words in ((toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS), (toxicity.THREAT, toxicity.THREATS), (toxicity.TARGET, toxicity.TARGETS)) for w in words}
+    fixed |= {w: toxicity.INSULT + 2 for w in toxicity.INSULTS}
+    out = []
+    for clause in re.split(r"[.!?;\n]", (text or "").lower()):
+        symbols = []
+        for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", clause):
+            levels = [stems[w[:n]] for n in range(1, len(w) + 1) if w[:n] in stems]
+            symbols.append(max([fixed.get(w, 0), *(toxicity.INSULT + v - 1 for v in levels)]))
+        total = 0.0
+        for machine in (toxicity.negation(), toxicity.reported(), toxicity.aimed(), toxicity.insult()):
+            state, passed = 0, []
+            for x in symbols:
+                y, w, state = machine[state, x]
+                passed.append(y)
+                total += w
+            symbols = passed
+        if total:
+            out.append(total)
+    return out
+
+
+def test_scored_clauses_equal_the_transducers_run_by_hand(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    reader, found = toxicity.Reader(model), 0
+    for r in docs.select("text").collect():
+        want = _clauses_by_hand(r.text, model.stems)
+        got, _ = reader.clauses(r.text)
+        assert np.allclose(got, want)
+        found += len(got)
+    assert found > 100
