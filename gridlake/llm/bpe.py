@@ -2,8 +2,8 @@
 
 A merge can only join two symbols that stand side by side inside some vocabulary token. So wherever a
 pair of neighbouring bytes occurs in no token, every encoding has a boundary. The encoder cuts words at
-such pairs, merges each fragment on its own and concatenates the ids. A worker remembers
-what it has encoded.
+such pairs, merges each fragment on its own and concatenates the ids. A long fragment is merged with a heap of pairs and linked
+neighbours, so a text that is one long word costs little more than its length. A worker remembers what it has encoded.
 
 Cases: null and empty texts encode to no ids and decode to ''. Texts are encoded whole, whatever their
 length. Repeated rows give repeated results; an empty table gives an empty one. Columns of the input
@@ -13,6 +13,7 @@ that are not asked for are left out, so clashing names cannot arise.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import struct
 import unicodedata
@@ -34,8 +35,10 @@ SPACE_RUN = regex.compile(f"[{SPACE}]+")
 NO_MERGE = 1 << 60
 #: Marks, in a pair of bytes, that the second ends its word.
 END_PAIR = 1 << 16
-#: Pieces that a worker remembers before it starts afresh (under 250 bytes each).
-REMEMBERED = 500_000
+#: Fragments of more symbols are merged with a heap.
+LONG = 100
+#: Pieces that a worker remembers before it starts afresh (under 400 bytes each).
+REMEMBERED = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -90,6 +93,8 @@ class WordBpe:
 
     def merge(self, s: list[int]) -> list[int]:
         """Join the pair of lowest rank, the leftmost of these, until no pair has a rank. Changes `s`."""
+        if len(s) > LONG:
+            return self.merge_long(s)
         rank_of = self.merges.get
         found = [rank_of(x << 20 | y, NO_MERGE) for x, y in zip(s, s[1:], strict=False)]
         while found:
@@ -105,6 +110,28 @@ class WordBpe:
                 found[k] = rank_of(new << 20 | s[k + 1], NO_MERGE)
         return s
 
+    def merge_long(self, s: list[int]) -> list[int]:
+        """The same with a heap of (merge, place of its left symbol) and each symbol's neighbours. A pair that has changed
+        since it was put on the heap is known by its merge, which is no longer that of the symbols in its place."""
+        rank_of, n = self.merges.get, len(s)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(m, k) for k in range(n - 1) if (m := rank_of(s[k] << 20 | s[k + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            m, k = heapq.heappop(heap)
+            j = right[k]
+            if s[k] < 0 or j >= n or rank_of(s[k] << 20 | s[j]) != m:
+                continue
+            s[k], s[j] = m & 0xFFFFF, -1
+            right[k] = after = right[j]
+            if after < n:
+                left[after] = k
+                if m := rank_of(s[k] << 20 | s[after]):
+                    heapq.heappush(heap, (m, k))
+            if (before := left[k]) >= 0 and (m := rank_of(s[before] << 20 | s[k])):
+                heapq.heappush(heap, (m, before))
+        return [x for x in s if x >= 0]
+
     def encode_word(self, word: str) -> list[int]:
         data, ids = word.encode(), []
         starts = self.cuts(data)
@@ -115,22 +142,27 @@ class WordBpe:
             ids += self.merge(fragment)
         return ids
 
-    def encode_packed(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
+    def pieces(self, text: str | None) -> list[tuple[bytes, int, str]]:
+        """Packed ids, their number and their decoded text, piece by piece; pieces without ids are left out."""
+        out: list[tuple[bytes, int, str]] = []
         for k, part in enumerate(self.at_special.split(text or "")):
             if k % 2:
-                out.append(pack([self.special[part]]))
+                out.append((pack([self.special[part]]), 1, part))
                 continue
             # Lower case is taken letter by letter, so a capital sigma never becomes a final one.
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             # No word holds white space, so what stands between white space is remembered as one piece.
-            pieces = plain.split() if ODD_SPACE.isdisjoint(plain) else SPACE_RUN.split(plain)
-            out += map(self.known.__getitem__, pieces)
-        return b"".join(out)
+            words = plain.split() if ODD_SPACE.isdisjoint(plain) else filter(None, SPACE_RUN.split(plain))
+            out += map(self.known.__getitem__, words)
+        return out
 
-    def encode_piece(self, piece: str) -> bytes:
-        return pack([i for word in self.words.findall(piece) for i in self.encode_word(word)])
+    def encode_packed(self, text: str | None) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        return b"".join([p[0] for p in self.pieces(text)])
+
+    def encode_piece(self, piece: str) -> tuple[bytes, int, str]:
+        ids = [i for word in self.words.findall(piece) for i in self.encode_word(word)]
+        return pack(ids), len(ids), self.decode(ids)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
@@ -142,13 +174,13 @@ class WordBpe:
 
 
 class Known(dict):
-    """Packed ids by piece; works out and remembers what is missing."""
+    """Packed ids, their number and decoded text by piece; works out and remembers what is missing."""
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> tuple[bytes, int, str]:
         got = self.encode(piece)
         if len(piece) < 64:
             if len(self) >= REMEMBERED:
@@ -167,29 +199,32 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids array<int>, n_tokens, ids_sha256, decoded, decoded_sha256 of every row's whole text.
+#: What `encode_documents` can return, with types.
+RESULTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", results: list[str] | None = None) -> DataFrame:
+    """The id and the named results (all of RESULTS, unless named) of every row's whole text.
 
-    The vocabulary file is read by each worker from `path`, which every executor must have."""
+    The vocabulary file is read by each worker from `path`, which every executor must have. What is not asked for is
+    not sent from the workers."""
+    wanted = results or list(RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
-            packed = [bpe.encode_packed(t) for t in batch.column(1).to_pylist()]
-            ids = [np.frombuffer(x, "<u4").astype("i4") for x in packed]
-            decoded = [bpe.decode(x.tolist()) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
-                    pa.array(decoded, pa.string()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-                ],
-                names=["id", "ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"],
-            )
+            pieces = [bpe.pieces(t) for t in batch.column(1).to_pylist()]
+            packed = [b"".join([p[0] for p in x]) for x in pieces]
+            decoded = [" ".join([p[2] for p in x if p[1]]) for x in pieces] if {"decoded", "decoded_sha256"} & set(wanted) else []
+            by = {
+                "ids": lambda: pa.array([np.frombuffer(x, "<u4").astype("i4") for x in packed], pa.list_(pa.int32())),
+                "n_tokens": lambda: pa.array([len(x) // 4 for x in packed], pa.int64()),
+                "ids_sha256": lambda: pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
+                "decoded": lambda: pa.array(decoded, pa.string()),
+                "decoded_sha256": lambda: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(by[c]() for c in wanted)], names=["id", *wanted])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string"
+    schema = ", ".join([f"id {kind}", *(f"{c} {RESULTS[c]}" for c in wanted)])
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema).withColumnRenamed("id", id_col)

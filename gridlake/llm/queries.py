@@ -37,8 +37,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = bpe.encode_documents(docs, vocabulary())
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_documents(docs, vocabulary(), results=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -89,6 +90,49 @@ def test_bpe_on_odd_rows_and_empty_tables(spark, odd, library):
     assert bpe.encode_documents(odd.limit(0), vocabulary()).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("abe' t", min_size=1, max_size=30), st.integers(1, 40))
+def test_the_heap_merges_as_the_list_does(text, times):
+    enc = bpe.word_bpe(vocabulary())
+    ids = [enc.byte_ids[b] for b in (text * times).encode()]
+    want = _merged_plainly(enc, list(ids))
+    assert enc.merge_long(list(ids)) == want and enc.merge(list(ids)) == want
+
+
+def _merged_plainly(enc, s):
+    while True:
+        ranks = [enc.merges.get(x << 20 | y, bpe.NO_MERGE) for x, y in zip(s, s[1:], strict=False)]
+        if not ranks or min(ranks) == bpe.NO_MERGE:
+            return s
+        k = ranks.index(min(ranks))
+        s[k : k + 2] = [ranks[k] & 0xFFFFF]
+
+
+def test_very_long_words_take_seconds(library):
+    import time
+
+    enc = bpe.word_bpe(vocabulary())
+    rng = np.random.default_rng(0)
+    begun = time.time()
+    for text in ("a" * 1_000_000, "".join(rng.choice(list("aeinrst"), 1_000_000)), "héllo日本" * 100_000):
+        ids = enc.encode(text)
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert enc.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert time.time() - begun < 60
+
+
+def test_bpe_equals_the_library_on_every_code_point(library):
+    """Alone and inside a word: all code points that Python's tables know, but surrogates."""
+    enc = bpe.word_bpe(vocabulary())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    odd = []
+    for at in range(0, len(points), 500):
+        text = " ".join(f"{c} a{c}b" for c in points[at : at + 500])
+        if enc.encode(text) != library.encode(text, add_special_tokens=False).ids:
+            odd += [c for c in points[at : at + 500] if enc.encode(f"{c} a{c}b") != library.encode(f"{c} a{c}b", add_special_tokens=False).ids]
+    assert not odd, (len(odd), [hex(ord(c)) for c in odd[:20]])
+
+
 # Chat
 
 
