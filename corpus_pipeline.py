@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256 of each row."""
-    return bpe.encode_documents(docs, vocabulary()).select("doc_id", "ids", "n_tokens", "ids_sha256")
+    return bpe.encode_documents(docs, vocabulary(), results=["ids", "n_tokens", "ids_sha256"])
 
 
 STAGES = [
