@@ -69,6 +69,15 @@ def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> Da
     return spark.createDataFrame(pa.Table.from_pylist(data, schema=to_arrow_schema(kind)), kind)
 
 
+def boxed(df: DataFrame, columns: list[str]) -> Column:
+    """The named columns in one struct, by place, so that they clash with no other names; `unboxed` takes them out."""
+    return F.struct(F.lit(None).cast("boolean").alias("c"), *[df[c].alias(f"c{k}") for k, c in enumerate(columns)])
+
+
+def unboxed(box: str, columns: list[str]) -> list[Column]:
+    return [F.col(f"{box}.c{k}").alias(c) for k, c in enumerate(columns)]
+
+
 #: A key with more than this share of all rows is hot; there are at most 1 / HOT such keys.
 HOT = 1 / 2000
 

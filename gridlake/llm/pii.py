@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.llm.common import boxed, unboxed
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns as stated. Parts of an ip are at most 255, a card has 13 to 19 digits and
 # passes Luhn's check, a phone has 9 to 15 digits.
@@ -234,7 +236,7 @@ def tree_expression(tree: Tree, c: Column) -> Column:
 def _proposed(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """_kept (the columns `keep`, in a struct so that no name clashes), _text, base_<kind> and cand_<kind> arrays."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in keep], F.lit(0).alias("_none")).alias("_kept"), docs[text_col].alias("_text"))
+    rows = docs.select(boxed(docs, keep).alias("_kept"), docs[text_col].alias("_text"))
     rows = rows.select("*", *[e.alias(f"base_{k}") for k, e in base_spans(text).items()])
     return rows.select("*", *[_candidates(text, k, F.col(f"base_{k}")).alias(f"cand_{k}") for k in KINDS])
 
@@ -295,14 +297,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(
-        F.col("_kept")[id_col].alias(id_col), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        *unboxed("_kept", [id_col]), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
     )
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: tuple | None = None) -> DataFrame:
     """The input with each span, or run of overlapping spans, replaced by its first one's kind in brackets."""
-    rows = _judged(docs, text_col, [c for c in docs.columns if c != text_col], model or train(docs, text_col))
+    kept = [c for c in docs.columns if c != text_col]
+    rows = _judged(docs, text_col, kept, model or train(docs, text_col))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(at: Column, s: Column) -> Column:
@@ -314,4 +317,5 @@ def redact(docs: DataFrame, text_col: str = "text", model: tuple | None = None)
     done = F.aggregate(by_start, F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), step,
                        lambda at: F.concat(at["out"], F.substring(F.col("_text"), at["pos"] + 1, F.length("_text"))))
     text = F.when(F.size("spans") > 0, done).otherwise(F.col("_text"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col("_kept")[c].alias(c) for c in docs.columns])
+    others = dict(zip(kept, unboxed("_kept", kept), strict=True))
+    return rows.select(*[text.alias(c) if c == text_col else others[c] for c in docs.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm import bpe, chat, html_text, minhash, mixing, pii, quality, spotsigs, toxicity, urls
@@ -56,9 +56,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHTS, SHARE = [5.0, 2.0, 1.0], 1.5
 
 
+def importance() -> Column:
+    """Longer documents are likelier to be taken: by the logarithm of n_chars, which is positive also for null."""
+    return F.log(F.greatest(F.coalesce(F.col("n_chars"), F.lit(0)), F.lit(0)) + F.lit(2.0))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, WEIGHTS, SHARE, keep=["doc_id"])
+    mixed = mixing.mix(docs, WEIGHTS, SHARE, importance=importance(), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridlake.llm import minhash, mixing, pii, quality, toxicity, urls
-from gridlake.llm.queries import ORACLES, QUERIES, op8_urls, op9_mixing
+from gridlake.llm.queries import ORACLES, QUERIES, importance, op8_urls, op9_mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -290,7 +290,7 @@ def test_mix_meets_its_targets(spark, table):
 def test_inclusion_follows_importance(spark):
     rows = [(k, "w " * 10, "a" if k % 2 else "b", float(k % 4 + 1), 0) for k in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, value double, size int")
-    got = mixing.mix(df, [1.0], 0.5, importance_col="value").collect()
+    got = mixing.mix(df, [1.0], 0.5, importance="value").collect()
     by = defaultdict(list)
     for r in got:
         by[r.value].append(r.copies)
@@ -308,6 +308,65 @@ def test_mix_on_odd_rows(spark):
     assert mixing.mix(same, [1.0], 1.5).agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == 3000
 
 
+def _pareto(docs, weights, share, weigh):
+    """Copies by document from the definition: rates by bisection, then each source's documents in order of odds(u) / odds(p)."""
+    sizes = Counter()
+    for d in docs:
+        sizes[d["source"]] += d["size"]
+    targets, copies = _targets(sizes), {}
+    for s, target in targets.items():
+        mine = [d for d in docs if d["source"] == s]
+        low, high = 0.0, 1e12
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(d["size"] * min(2.0, mid * weigh(d)) for d in mine) < target else (low, mid)
+        ranked, left = [], target
+        for d in mine:
+            e = min(2.0, high * weigh(d))
+            copies[d["doc_id"]] = whole = int(e + 1e-6)
+            left -= whole * d["size"]
+            if e - whole > 1e-6:
+                p = e - whole
+                ranked.append((d["u"] / (1 - d["u"]) * (1 - p) / p, d["size"], d["doc_id"]))
+        for _, size, doc_id in sorted(ranked):
+            if size / 2 > left:
+                break
+            copies[doc_id] += 1
+            left -= size
+    return copies
+
+
+def test_the_sample_is_that_of_pareto_ranks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["doc_id"])
+    u = F.xxhash64(F.lit(0), F.col("doc_id")) / F.lit(2.0**64) + 0.5
+    rows = [r.asDict() for r in docs.select("doc_id", "source", "n_chars", u.alias("u"), F.col("text")).collect()]
+    for r in rows:
+        r["size"] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    want = _pareto(rows, [5.0, 2.0, 1.0], 1.5, lambda d: np.log((d["n_chars"] or 0) + 2.0))
+    got = {r.doc_id: r.copies for r in mixing.mix(docs, [5.0, 2.0, 1.0], importance=importance(), keep=["doc_id"]).collect()}
+    differ = [k for k in want if want[k] != got[k]]
+    assert set(got) == set(want) and len(set(want.values())) > 1 and len(differ) <= 2, differ  # the last one of a source may be a matter of rounding
+
+
+def test_any_names_may_be_kept(spark):
+    names = "row u rate source_key importance last p v whole expected tie d0 t0 aim before rows upto _kept _none".split()
+    rows = [(k, "w " * (k % 7 + 1), "ab"[k % 2], *[f"{c}{k}" for c in names]) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    got = mixing.mix(df, [2.0, 1.0], 1.2)
+    assert got.columns == [*df.columns, "size", "source_size", "target", "copies"]
+    assert sorted(map(tuple, got.select(df.columns).collect())) == sorted(rows)
+
+
+def test_what_has_no_importance_comes_last(spark):
+    rows = [(k, "w w", "a", None if k % 3 == 0 else 1.0 * (k % 3 - 1) * k) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, value double")
+    some = mixing.mix(df, [1.0], 0.5, importance="value").collect()
+    assert sum(r.copies for r in some) == 45 and all(r.copies == 0 for r in some if not r.value)
+    assert sum(r.copies for r in mixing.mix(df, [1.0], 1.0, importance="value").collect()) == 90
+    none = mixing.mix(df, [1.0], 1.0, importance=F.lit(0.0)).collect()
+    assert sum(r.copies for r in none) in range(0, 91)
+
+
 # Pipeline
 
 
@@ -325,7 +384,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf):
     redacted = corpus_pipeline.redact_personal_data(spark, kept, sf)
     for r in redacted.collect():
         assert not re.search(pii.FIXED["email"], r.text or "") and r.n_chars == len(r.text)
-    copies = {r.doc_id: r.copies for r in mixing.mix(redacted, [5.0, 2.0, 1.0]).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix(redacted, [5.0, 2.0, 1.0], importance=importance()).collect()}
     assert Counter(r.doc_id for r in got) == Counter({k: n for k, n in copies.items() if n})
     from gridlake.llm.bpe import word_bpe
     from gridlake.llm.queries import vocabulary
