@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridlake.llm import bpe, minhash, mixing, pii, toxicity
 from gridlake.llm.common import cut, table
-from gridlake.llm.queries import SHARE, WEIGHTS, vocabulary
+from gridlake.llm.queries import SHARE, WEIGHTS, importance, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = mixing.mix(docs, WEIGHTS, SHARE)
+    mixed = mixing.mix(docs, WEIGHTS, SHARE, importance=importance())
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
     return mixed.select(*docs.columns, copies.alias("_copy")).drop("_copy")
 
