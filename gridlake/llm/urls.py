@@ -3,9 +3,10 @@
 Rules come first: a rule fits a host and all its subdomains if the path starts with the rule's path; the
 longest rule wins. Pages that no rule fits are judged by the list. A blocked Bloom filter over the listed
 URLs, a table of 512-bit blocks with eight words of one bit each per URL, tells most pages that they are not
-listed; the possible hits go through an exact join on the canonical URL, which removes false positives.
-Everything is DataFrame expressions. The filter is joined by block number; Spark broadcasts it only while it
-is under the session's broadcast threshold.
+listed; only the possible hits go through an exact join on the canonical URL, which removes false positives.
+Everything is DataFrame expressions. The filter is joined by block number. Its size is known from the number of listed URLs:
+up to MOST_BYTES it is broadcast, and pages are not shuffled at all; beyond, pages are dealt by block, those without a host
+by their id.
 
 Cases: a null URL or one without '://' has an empty host, path and canonical URL, fits no rule and is never
 listed, so it is allowed. Repeated pages give repeated rows; an empty list blocks nothing; an empty table
@@ -31,6 +32,8 @@ BLOCK_WORDS = ["adult", "bet", "bets", "casino", "porn", "sex", "spam", "xxx"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_A_BLOCK, BITS_A_URL = 8, 16
+#: A filter of at most so many bytes (as rows; room for about four million URLs) is broadcast.
+MOST_BYTES = 16 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -87,25 +90,27 @@ def bloom_table(listed: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS_A_BLOCK)])
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """id, host, path, rule, verdict, bloom_hit (the filter passes it), listed (the join confirms it)."""
     n = listed.count()
     blocks = max(1, -(-n * BITS_A_URL // (64 * WORDS_A_BLOCK)))
     host, path = host_and_path(pages[url_col])
-    rows = pages.select(pages[id_col], host.alias("host"), path.alias("path"), canonical(pages[url_col]).alias("canonical"))
+    rows = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"), canonical(pages[url_col]).alias("canonical"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "block": _block(F.col("canonical"), blocks)})
+    named = F.col("canonical") != ""
+    # Pages without a canonical URL get blocks that the filter does not have, many of them.
+    block = F.when(named, _block(F.col("canonical"), blocks)).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(10_000)))
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "block": block})
     bloom = bloom_table(listed, blocks)
+    bloom = F.broadcast(bloom) if blocks * (WORDS_A_BLOCK + 2) * 8 <= most_bytes else bloom
     tests = [F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(_bits(F.col("canonical")))]
-    maybe = F.coalesce(F.col("w0").isNotNull() & reduce(lambda a, b: a & b, tests) & (F.col("canonical") != ""), F.lit(False))
-    probed = rows.join(bloom, "block", "left").withColumn("bloom_hit", maybe)
-    # A page that the filter rules out gets a key that no listed URL has and that spreads over all partitions.
-    key = F.when(F.col("bloom_hit"), F.col("canonical")).otherwise(F.concat(F.lit("\n"), F.xxhash64(id_col).cast("string")))
-    exact = listed.select(F.col("canonical").alias("key"), F.lit(True).alias("listed"))
-    joined = probed.withColumn("key", key).join(exact, "key", "left")
-    listed_now = F.coalesce(F.col("listed"), F.lit(False))
-    verdict = F.coalesce(F.col("ruled"), F.when(listed_now, "block").otherwise("allow"))
-    return joined.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "bloom_hit", listed_now.alias("listed"))
+    maybe = F.coalesce(named & F.col("w0").isNotNull() & reduce(lambda a, b: a & b, tests), F.lit(False))
+    probed = rows.join(bloom, "block", "left").select("id", "host", "path", "canonical", "rule", "ruled", maybe.alias("bloom_hit"))
+    exact = listed.select("canonical").distinct().withColumn("listed", F.lit(True))
+    hits = probed.where("bloom_hit").join(exact, "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    both = hits.unionByName(probed.where("NOT bloom_hit").withColumn("listed", F.lit(False)))
+    verdict = F.coalesce(F.col("ruled"), F.when(F.col("listed"), "block").otherwise("allow"))
+    return both.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "bloom_hit", "listed")
 
 
 def sql(rules: list[tuple[str, str, str]], words: list[str]) -> str:
