@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -87,6 +87,8 @@ class Page:
 
     blocks: list[Block] = field(default_factory=list)
     open: list[Element] = field(default_factory=lambda: [Element("", 0, 0.0, False, False)])
+    breaking: list[int] = field(default_factory=lambda: [0])  # places in `open` of those that end a block
+    named: Counter = field(default_factory=Counter)  # how many elements of each name are open
     text: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
@@ -100,7 +102,8 @@ class Page:
         self.text, self.linked = [], 0
 
     def scored(self, text: str) -> Block:
-        at = next(e for e in reversed(self.open) if e.name in BREAKING or not e.name)
+        k = self.breaking[-1]
+        at = self.open[k]
         words = len(WORD.findall(text))
         marks = sum(map(text.count, ".!?"))
         link_share = min(1.0, self.linked / max(1, len(text)))
@@ -111,7 +114,6 @@ class Page:
             score += HEADING
         elif at.name == "li":
             score += LIST_ITEM
-        k = self.open.index(at)
         return Block(text, self.linked, score + at.score, self.open[max(k - 1, 0)].key, self.open[max(k - 2, 0)].key)
 
     def start(self, name: str, attributes: str) -> None:
@@ -144,21 +146,35 @@ class Page:
         hidden = up.hidden or name in HIDDEN or " hidden" in f" {attributes.lower()} ".replace("/", " ") and "=" not in attributes
         self.keys += 1
         self.open.append(Element(name, self.keys, score, hidden, good))
+        self.named[name] += 1
+        if name in BREAKING:
+            self.breaking.append(len(self.open) - 1)
+
+    def leave(self, k: int) -> None:
+        """Closes the open elements from place k on."""
+        while len(self.open) > k:
+            self.named[self.open.pop().name] -= 1
+        while self.breaking[-1] >= k:
+            self.breaking.pop()
 
     def close(self, name: str, stop: frozenset | set) -> None:
+        if not self.named[name]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].name == name:
                 self.end_block()
-                del self.open[k:]
+                self.leave(k)
                 return
             if self.open[k].name in stop:
                 return
 
     def close_first(self, names: tuple[str, ...]) -> None:
+        if not any(self.named[n] for n in names):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].name in names:
                 self.end_block()
-                del self.open[k:]
+                self.leave(k)
                 return
             if self.open[k].name in SCOPE:
                 return
@@ -168,11 +184,13 @@ class Page:
             self.end_block()
         if name == "a":
             self.links = max(0, self.links - 1)
+        if not self.named[name]:
+            return
         # An inline end tag does not reach out of the breaking element it stands in.
         stop = frozenset() if name in BREAKING else BREAKING
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].name == name:
-                del self.open[k:]
+                self.leave(k)
                 return
             if self.open[k].name in stop:
                 return
