@@ -7,13 +7,13 @@ token spans two segments, and reserved ids, which no text can produce, are splic
     [INST] role [ROLE] text [/INST]                      a turn of any role but assistant
     [INST] role [ROLE] text </s>                         a turn of the assistant
 
-Lengths of segments give, by prefix sums, each segment's place in the sequence, and the loss mask covers the
-text segments of assistant turns. Control strings that occur inside texts are escaped, so the rendered form
-is unambiguous too: each gets one more backslash after its first character, which reading back removes.
+Lengths of segments give, by prefix sums, each segment's place in the sequence; the loss mask is the prefix sum over +1
+where the text of an assistant turn starts and -1 where it ends. Control strings that occur inside texts are escaped, so
+the rendered form is unambiguous too: each gets one more backslash after its first character, which reading back removes.
 
-Rows are encoded where they are read; then each conversation's turns are brought together and ordered within
-a partition, and a pass that holds one batch numbers them. So a conversation of any length takes no more
-memory than a short one, though its turns are numbered by one task.
+Each conversation's turns are brought together and ordered within a partition by one shuffle; a pass that holds one batch
+encodes and numbers them, and reading back what it has just written needs no second shuffle. So a conversation of any
+length takes no more memory than a short one, though its turns are numbered by one task, as its digests must be.
 
 Cases: a null text or role is empty. Turns are ordered by turn (nulls first), then role and text, so ties and
 repeated rows have a fixed order and all are kept. A null conversation id is a conversation of its own. Empty
@@ -23,10 +23,10 @@ tables give empty results. Of the input only the four named columns are used.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,7 @@ def unescape(text: str) -> str:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -63,55 +64,66 @@ def reserved(path: str) -> list[int]:
     return list(range(first, first + len(CONTROLS)))
 
 
-SEGMENTS = "conv_id long, turn long, role string, text string, role_ids array<int>, text_ids array<int>, chars long, loss boolean"
-FORMATTED = "conv_id long, seq long, start long, ids array<int>, loss_from int, loss_to int, chars long"
+FORMATTED = "conv_id long, seq long, start long, ids array<int>, mask array<byte>, chars long"
+#: Segments that a worker remembers; roles are few.
+REMEMBERED = 10_000
 
 
-def _encode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-        for batch in batches:
-            roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
-            shown = [[escape(x) for x in col] for col in (roles, texts)]
-            ids = [[e.ids for e in t.encode_batch(col, add_special_tokens=False)] for col in shown]
-            loss = [r == "assistant" for r in roles]
-            ends = [len(END) if x else len(END_TURN) for x in loss]
-            chars = [len(TURN) + len(r) + len(ROLE) + len(x) + n for r, x, n in zip(*shown, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("conv_id", "turn", "role", "text")),
-                    *(pa.array(x, pa.list_(pa.int32())) for x in ids),
-                    pa.array(chars, pa.int64()),
-                    pa.array(loss, pa.bool_()),
-                ],
-                names=["conv_id", "turn", "role", "text", "role_ids", "text_ids", "chars", "loss"],
-            )
+class Remembered(dict):
+    """What a function gives for short keys that come again and again."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = got = self.find(key)
+        return got
 
-    return run
+
+def _listed(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, kind))
 
 
 def _assemble(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin, turn, role, end_turn, end = reserved(path)
+        t, (begin, turn, role, end_turn, end) = _tokenizer(path), reserved(path)
+        role_ids = Remembered(lambda r: t.encode(escape(r), add_special_tokens=False).ids)
         conv, seq, place = object(), 0, 0
         for batch in batches:
-            rows: list[tuple] = []
-            for c, r, x, n, loss in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role_ids", "text_ids", "chars", "loss")), strict=True):
+            convs, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
+            shown = [escape(x) for x in texts]
+            text_ids = [e.ids for e in t.encode_batch_fast(shown, add_special_tokens=False)]
+            flat: list[int] = []
+            lengths, numbers, starts, chars, marks = [], [], [], [], []
+            for c, r, x, ids in zip(convs, roles, shown, text_ids, strict=True):
                 if c != conv:
                     conv, seq, place = c, 0, 0
-                head = [begin] if seq == 0 else []
-                segments = [head, [turn], r, [role], x, [end if loss else end_turn]]
-                starts = [0, *accumulate(map(len, segments))]
-                a, b = (starts[4], starts[5]) if loss else (0, 0)
-                ids = [i for s in segments for i in s]
-                rows.append((c, seq, place, ids, a, b, n + len(BEGIN) * len(head)))
-                seq, place = seq + 1, place + len(ids)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64()]
-            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                before, loss = len(flat), r == "assistant"
+                flat += ([begin, turn] if seq == 0 else [turn]) + role_ids[r]
+                flat.append(role)
+                if loss:
+                    marks.append((len(flat), len(flat) + len(ids)))
+                flat += ids
+                flat.append(end if loss else end_turn)
+                lengths.append(len(flat) - before)
+                numbers.append(seq)
+                starts.append(place)
+                chars.append(len(TURN) + len(escape(r)) + len(ROLE) + len(x) + len(END if loss else END_TURN) + (0 if seq else len(BEGIN)))
+                seq, place = seq + 1, place + lengths[-1]
+            change = np.zeros(len(flat) + 1, "i1")
+            at = np.array(marks, "i8").reshape(-1, 2)
+            np.add.at(change, at[:, 0], 1)
+            np.add.at(change, at[:, 1], -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)],
-                names=["conv_id", "seq", "start", "ids", "loss_from", "loss_to", "chars"],
-            )
+                [
+                    batch.column("conv_id"), pa.array(numbers, pa.int64()), pa.array(starts, pa.int64()), _listed(np.array(flat, "i4"), lengths, pa.int32()),
+                    _listed(np.cumsum(change, dtype="i1")[:-1], lengths, pa.int8()), pa.array(chars, pa.int64()),
+                ],
+                names=["conv_id", "seq", "start", "ids", "mask", "chars"],
+            )
 
     return run
 
@@ -122,62 +134,57 @@ def _in_order(rows: DataFrame, *order: str) -> DataFrame:
 
 def format_conversations(turns: DataFrame, path: str) -> DataFrame:
     """A row for each turn: conv_id, seq (from 0), start (place of its first id in the conversation's sequence),
-    ids, loss_from and loss_to (the range of `ids` under the loss mask; empty if equal), chars (code points of
-    its rendered form). The concatenated ids of a conversation, by seq, are its sequence."""
+    ids, mask (1 for each id that the loss counts, else 0), chars (code points of its rendered form). The concatenated ids of
+    a conversation, by seq, are its sequence; rows of one conversation follow each other in this order."""
     rows = turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
     )
-    return _in_order(rows.mapInArrow(_encode(path), SEGMENTS), "turn", "role", "text").mapInArrow(_assemble(path), FORMATTED)
-
-
-def loss_mask(formatted: DataFrame) -> DataFrame:
-    """conv_id, seq, mask (0 or 1 for each id): prefix sums over +1 at loss_from and -1 at loss_to."""
+    return _in_order(rows, "turn", "role", "text").mapInArrow(_assemble(path), FORMATTED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            masks = []
-            for ids, a, b in zip(*(batch.column(c).to_pylist() for c in ("ids", "loss_from", "loss_to")), strict=True):
-                change = np.zeros(len(ids) + 1, "i4")
-                change[a] += 1
-                change[b] -= 1
-                masks.append(np.cumsum(change)[:-1])
-            cols = [batch.column(0), batch.column(1), pa.array(masks, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "seq", "mask"])
 
-    columns = formatted.select("conv_id", "seq", "ids", "loss_from", "loss_to")
-    return columns.mapInArrow(run, "conv_id long, seq long, mask array<int>")
+def _rows(column: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """Values of a list column, and where each list starts and ends among them."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
 
 
 def _read_back(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, (begin, turn, role, end_turn, end) = _tokenizer(path), reserved(path)
+        plain = Remembered(lambda ids: unescape(t.decode(list(ids), skip_special_tokens=False)))
         now = None
 
         def done() -> tuple:
             return (now["conv"], now["turns"], now["all"].hexdigest(), now["loss_chars"], now["loss"].hexdigest(), now["chars"], now["ids"])
 
-        def plain(ids: list[int]) -> str:
-            return unescape(t.decode(ids, skip_special_tokens=False))
-
         for batch in batches:
             rows: list[tuple] = []
-            for c, ids, a, b, n in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "ids", "loss_from", "loss_to", "chars")), strict=True):
+            (ids, at), (mask, _) = _rows(batch.column("ids")), _rows(batch.column("mask"))
+            masked, spans, texts = mask > 0, [], []
+            for a, b in zip(at, at[1:], strict=False):
+                mine = ids[a:b]
+                m = int(np.flatnonzero(mine == role)[0])
+                k = int(mine[0] == begin)
+                if mine[k] != turn or mine[-1] not in (end, end_turn):
+                    raise ValueError("not a formatted turn")
+                spans.append((k + 1, m))
+                texts.append(mine[m + 1 : -1].tolist())
+            # What the mask covers is mostly a turn's whole text; it is decoded by itself where it is not.
+            learnt = [ids[a:b][masked[a:b]].tolist() for a, b in zip(at, at[1:], strict=False)]
+            said = [unescape(x) for x in t.decode_batch(texts, skip_special_tokens=False)]
+            for n, (c, chars) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("chars").to_pylist(), strict=True)):
                 if now is None or c != now["conv"]:
                     if now is not None:
                         rows.append(done())
                     now = {"conv": c, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "ids": 0}
-                k = ids.index(turn)
-                m = ids.index(role)
-                who, what = plain(ids[k + 1 : m]), plain(ids[m + 1 : -1])
-                if ids[-1] not in (end, end_turn) or (k and ids[:k] != [begin]):
-                    raise ValueError("not a formatted turn")
+                who = plain[tuple(ids[at[n] + spans[n][0] : at[n] + spans[n][1]].tolist())]
                 now["turns"] += 1
-                now["all"].update(f"{who}\n{what}\n".encode())
-                learnt = plain(ids[a:b])
-                now["loss"].update(learnt.encode())
-                now["loss_chars"] += len(learnt)
-                now["chars"] += n
-                now["ids"] += len(ids)
+                now["all"].update(f"{who}\n{said[n]}\n".encode())
+                if learnt[n]:
+                    part = said[n] if learnt[n] == texts[n] else unescape(t.decode(learnt[n], skip_special_tokens=False))
+                    now["loss"].update(part.encode())
+                    now["loss_chars"] += len(part)
+                now["chars"] += chars
+                now["ids"] += at[n + 1] - at[n]
             yield _digests(rows)
         if now is not None:
             yield _digests([done()])
@@ -195,10 +202,11 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def read_back(formatted: DataFrame, path: str) -> DataFrame:
+def read_back(formatted: DataFrame, path: str, in_order: bool = False) -> DataFrame:
     """What the ids of each conversation say: number of turns, digests of turns and of the text under the loss
-    mask, decoded and unescaped."""
-    return _in_order(formatted, "seq").mapInArrow(_read_back(path), DIGESTS)
+    mask, decoded and unescaped. `in_order` says that `formatted` comes straight from `format_conversations`, whose rows follow
+    each other; otherwise they are brought together first."""
+    return (formatted if in_order else _in_order(formatted, "seq")).mapInArrow(_read_back(path), DIGESTS)
 
 
 #: A control string with any number of backslashes after its first character.

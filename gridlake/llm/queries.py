@@ -27,7 +27,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string"))
     path = vocabulary("byte_bpe_50k.json")
-    return chat.read_back(chat.format_conversations(turns, path), path).drop("n_ids")
+    return chat.read_back(chat.format_conversations(turns, path), path, in_order=True).drop("n_ids")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

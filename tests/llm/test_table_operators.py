@@ -49,7 +49,13 @@ def test_common_lines_are_removed_and_depleted_documents_rejected(spark):
     assert got[100].depleted and not got[100].kept
     assert not got[101].depleted and got[101].n_dup_lines == 1  # another host
     assert got[102].base_failed and got[103].base_failed and not got[102].kept
-    assert all(got[200 + k].kept for k in range(40))  # copies count once
+    assert not any(got[200 + k].kept for k in range(40))  # copies are documents too
+    assert all(r.kept for r in quality.line_frequency(df, once_a_text=True).collect() if r.doc_id >= 200)
+    twice = quality.line_frequency(df.unionByName(df.where("doc_id < 30"))).where("doc_id = 3").collect()
+    assert len(twice) == 2 and all(r.n_removed_words == 11 and r.kept for r in twice)  # a repeated row is one document
+    assert {r.kept for r in quality.line_frequency(df, min_docs=50, most_docs=35).where("doc_id >= 200").collect()} == {False}
+    odd = df.withColumns({c: F.lit("clash") for c in ("_gone", "gone", "doc", "host", "box", "lines", "id", "row", "removed", "words")})
+    assert quality.line_frequency(odd).count() == quality.without_boilerplate(odd).count() == df.count()
     cleaned = {r.doc_id: r.text for r in quality.without_boilerplate(df).collect()}
     assert line not in cleaned[3] and cleaned[101].startswith(line) and cleaned[102] is None
     assert quality.line_frequency(df.limit(0)).count() == 0
@@ -246,6 +252,8 @@ def test_bloom_filter_has_no_false_negatives_and_the_join_no_false_positives(spa
     assert got[3000].host == got[3001].path == "" and got[3002].listed and got[3003].listed
     assert all(r.verdict == "allow" for r in urls.judge(pages, listed.limit(0), []).collect())
     assert urls.judge(pages.limit(0), listed, urls.RULES).count() == 0
+    dealt = urls.judge(pages, listed, [], most_bytes=0)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, got.values()))
 
 
 # Mixing

@@ -165,8 +165,13 @@ def test_chat_sequence_and_mask(spark):
     got = sorted(out.where("conv_id = 1").collect(), key=lambda r: r.seq)
     assert [r.seq for r in got] == [0, 1, 2]
     assert [r.start for r in got] == [0, len(got[0].ids), len(got[0].ids) + len(got[1].ids)]
-    mask = {r.seq: r["mask"] for r in chat.loss_mask(out).where("conv_id = 1").collect()}
-    assert sum(mask[0]) == 0 and sum(mask[1]) == got[1].loss_to - got[1].loss_from > 0
+    assert all(len(r["mask"]) == len(r.ids) for r in got) and sum(got[0]["mask"]) == 0
+    begin, turn, role, end_turn, end = chat.reserved(path)
+    for r in got[1:]:  # the mask covers what stands between the mark of the role and the end
+        at = r.ids.index(role) + 1
+        assert r["mask"] == [int(at <= k < len(r.ids) - 1) for k in range(len(r.ids))] and r.ids[-1] == end and sum(r["mask"]) > 0
+    moved = out.orderBy(F.desc("seq"))
+    assert sorted(map(str, chat.read_back(moved, path).collect())) == sorted(map(str, chat.read_back(out, path, in_order=True).collect()))
     assert chat.read_back(out, path).where("conv_id IS NULL").first().n_turns == 1
     assert chat.read_back(chat.format_conversations(df.limit(0), path), path).count() == 0
 
@@ -208,6 +213,15 @@ def test_minimum_cut_is_minimal(data):
     assert cost(found) == min(cost([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
 
 
+def test_html_of_deep_nesting_takes_seconds():
+    import time
+
+    begun = time.time()
+    deep = "<div><b>" * 30_000 + "Some words that stand deep inside. Yes, they do." + "</i></div>" * 30_000
+    html_text.main_text("<article>" + deep + "</article>")
+    assert time.time() - begun < 20
+
+
 def test_html_on_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, "u", "<p>Some words that stand alone. Yes.</p>", 2)], "page_id long, url string, html string, text int")
     assert {r.url: r.text for r in html_text.extract(df).collect()}[None] == ""
