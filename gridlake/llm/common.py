@@ -82,11 +82,10 @@ def unboxed(box: str, columns: list[str]) -> list[Column]:
 HOT = 1 / 2000
 
 
-def with_looked_up(rows: DataFrame, table: DataFrame, key: str, held: str) -> DataFrame:
-    """`rows`, which must be cheap to read twice, left joined with `table`: one row for each key, of which `held` counts the
-    rows of `rows`. Rows with a hot key are joined with a local table of these keys, at most 1 / HOT, and stay where they are;
-    so no task gets all rows of a key."""
-    total = table.agg(F.sum(held)).first()[0] or 0
+def with_looked_up(rows: DataFrame, table: DataFrame, key: str, held: str, total: int) -> DataFrame:
+    """`rows`, left joined with `table`: one row for each key, of which `held` counts the rows of `rows`, `total` in all. Rows
+    with a hot key are joined with a local table of these keys, at most 1 / HOT, and stay where they are; so no task gets all
+    rows of a key. Both tables are read twice and should be written ones."""
     hot = table.where(F.col(held) > max(1000, total * HOT)).collect()
     if not hot:
         return rows.join(table.drop(held), key, "left")

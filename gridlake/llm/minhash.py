@@ -8,8 +8,8 @@ common key are candidates; the words of candidates are aligned within the band t
 those at least `least` alike (1 - word edits / words of the longer text) are linked. Classes are the
 components of the links; the class id is the least document id.
 
-Copies (equal word sequences) are put together first and take part once. In each bucket of a key only the
-least document, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
+Copies (equal word sequences) are one node and take part once. In each bucket of a key only the
+least node, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
 has members, and where most pairs are true, as among near copies, the leader joins them all. Buckets that still
 hold members of different components are finished exactly: all their members, leaders and linked ones too, are
 compared with each other, but for pairs that are in one component and pairs that cannot be alike. Those alike have
@@ -25,9 +25,14 @@ k-mers: two texts that share a fifth of their k-mers (about the threshold, with
 probability 0.96, those that share a third with more than 0.999. A text under SHORT words and a longer one meet as
 two longer ones do. Texts under five words are compared as wholes, so only copies of them are found.
 
-Cases: a null text belongs to a class of its own; texts without words are copies of each other. Texts are read
-whole. Repeated rows are copies. An empty table gives an empty one. Of the input only id and text are used, but
-`one_of_each` returns all columns.
+Hot keys: a bucket, class or copied text with more than a two-thousandth of all rows gets its leader or label from a local
+table and stays spread over all tasks; the others are joined by shuffles, of which Spark splits skewed partitions.
+
+Cases: texts without words are copies of each other. A null text is like no other; rows with a null text and
+one id, or none, are repeated rows. Repeated rows are copies. Different texts with one id, or without ids, stay different:
+the class id is the least id of a class, null if it has none, and `one_of_each` keeps a row of each class whatever the
+ids are. Texts are read whole. An empty table gives an empty one. Of the input only id and text are used, but
+`one_of_each` returns all columns, under any name.
 """
 
 from __future__ import annotations
@@ -39,8 +44,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from gridlake.llm.common import cut, word_array
+from gridlake.llm.common import HOT, cut, with_looked_up, word_array
 
 K, LEAST = 5, 0.8
 #: Hash functions; how many of them the first round of comparisons uses.
@@ -169,36 +175,70 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, words (64-bit hashes), copy1, copy2 (hashes of the sequence; of the id where the text is null)."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, node (hash of the word sequence; of the id where the text is null), check (a second one), words (64-bit hashes),
+    and, for `one_of_each`, two hashes of the whole row: a row for each row of the input."""
+    all_ = [docs[f.name] for f in docs.schema if not isinstance(f.dataType, MapType)]
     words = F.transform(word_array(docs[text_col]), lambda w: F.xxhash64(w)).alias("words")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].isNull().alias("none"), words)
-    own = F.when(F.col("none"), F.xxhash64("id", F.lit("null")))
-    return rows.select(
-        "id", "words", F.coalesce(own, F.xxhash64("words")).alias("copy1"), F.coalesce(own, F.xxhash64("words", F.lit(1))).alias("copy2")
-    )
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].isNull().alias("none"), words, *_row_hashes(all_))
+    own = lambda seed: F.when(F.col("none"), F.xxhash64("id", F.lit("null"), F.lit(seed))).otherwise(F.xxhash64("words", F.lit(seed)))
+    return rows.select("id", own(0).alias("node"), own(1).alias("check"), "words", "h1", "h2")
+
+
+def _row_hashes(columns: list[Column]) -> list[Column]:
+    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2")]
 
 
-def _with_keys(rows: DataFrame, length: int, extra: str) -> DataFrame:
-    """`extra` columns and keys array<long>, from rows whose last column is words."""
+def _with_keys(rows: DataFrame, length: int) -> DataFrame:
+    """node and keys array<long>, from node and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *others, words = batch.columns
+            node, words = batch.columns
             found = [keys(w.astype("i8", copy=False), length) for w in _lists(words)]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "keys"])
+            yield pa.RecordBatch.from_arrays([node, pa.array(found, pa.list_(pa.int64()))], names=["node", "keys"])
+
+    return rows.select("node", "words").mapInArrow(run, "node long, keys array<long>")
+
+
+def _sum_cells(lists: DataFrame, cells_of) -> np.ndarray:
+    """How many entries of a list column fall into each of CELLS_HELD cells; each task counts its own, and only counts travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(CELLS_HELD, "i8")
+        for batch in batches:
+            for part in cells_of(batch.column(0)):
+                held += np.bincount(part.view("i8"), minlength=CELLS_HELD)
+        cell = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(held[cell], pa.int64())], names=["cell", "n"])
+
+    counts = lists.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(CELLS_HELD, "i8")
+    held[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    return held
+
 
-    return rows.mapInArrow(run, f"{extra}, keys array<long>")
+def _key_cells(column: pa.Array) -> Iterator[np.ndarray]:
+    yield column.flatten().to_numpy(zero_copy_only=False).view("u8") % np.uint64(CELLS_HELD)
 
 
-def _buckets(keyed: DataFrame) -> DataFrame:
-    """bucket, rep, leader, function: the members of each key but its least one, which leads."""
-    rows = keyed.select("rep", F.posexplode("keys").alias("function", "bucket"))
+def _buckets(keyed: DataFrame, total: int) -> DataFrame:
+    """bucket, rep, leader, function: the members of each key but its least one, which leads. Leaders of buckets that may be hot
+    (their cell of hash values holds many members) are found by aggregation, the others' by a window over the bucket."""
+    rows = keyed.select(F.col("node").alias("rep"), F.posexplode("keys").alias("function", "bucket"))
+    held = _sum_cells(keyed.select("keys"), _key_cells)
+    hot_cells = np.flatnonzero(held > max(1000, held.mean() + total * HOT)).tolist()
+    hot = F.pmod(F.col("bucket").bitwiseAND(F.lit(CELLS_HELD - 1)), F.lit(CELLS_HELD)).isin(hot_cells) if hot_cells else F.lit(False)
     order = Window.partitionBy("bucket").orderBy("rep").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("leader", F.first("rep").over(order)).where("leader <> rep")
+    led = rows.where(~hot).withColumn("leader", F.first("rep").over(order)).where("leader <> rep")
+    if not hot_cells:
+        return led
+    common = cut(rows.where(hot))
+    leaders = cut(common.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return led.unionByName(with_looked_up(common, leaders, "bucket", "n", total).where("leader <> rep"))
 
 
-def _verified(pairs: DataFrame, words: DataFrame, least: float, kind: str) -> DataFrame:
+def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """leader, rep of the pairs that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +247,9 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float, kind: str) -> Da
             good = pa.array([alike(x, y, least) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["leader", "rep"]).filter(good)
 
-    left, right = (words.select(F.col("id").alias(c), F.col("words").alias(w)) for c, w in (("leader", "words_a"), ("rep", "words_b")))
+    left, right = (words.select(F.col("node").alias(c), F.col("words").alias(w)) for c, w in (("leader", "words_a"), ("rep", "words_b")))
     met = pairs.join(left, "leader").join(right, "rep").select("leader", "rep", "words_a", "words_b")
-    return met.mapInArrow(run, f"leader {kind}, rep {kind}")
+    return met.mapInArrow(run, "leader long, rep long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -252,22 +292,13 @@ def _apart(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return joined.where(apart).drop("comp_rep", "comp_leader")
 
 
-def _cells(texts: DataFrame) -> np.ndarray:
-    """How many words of the texts, told apart by their number, fall into each of CELLS cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [labelled_kmers(w.astype("i8"), 1) % np.uint64(CELLS_HELD) for w in _lists(batch.column(0)) if len(w)]
-            cell, n = np.unique(np.concatenate(cells or [np.zeros(0, "u8")]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.view("i8")), pa.array(n)], names=["cell", "n"])
-
-    counts = texts.select("words").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    held = np.zeros(CELLS_HELD, "i8")
-    held[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return held
+def _word_cells(column: pa.Array) -> Iterator[np.ndarray]:
+    for w in _lists(column):
+        if len(w):
+            yield labelled_kmers(w.astype("i8"), 1) % np.uint64(CELLS_HELD)
 
 
-def _with_rare(texts: DataFrame, held: np.ndarray, least: float, kind: str) -> DataFrame:
+def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
     """rep, size, bits, tokens: the most + 1 rarest words of each text, those after a first occurrence told apart by
     their number, where `most` are the edits that the text allows; `bits` has one bit set for each word, by its hash.
     Rare is by `held`, the same for all, so that texts alike share one of these words whatever the counts are."""
@@ -287,17 +318,17 @@ def _with_rare(texts: DataFrame, held: np.ndarray, least: float, kind: str) -> D
             lists = (pa.array(x, pa.list_(pa.int64())) for x in (all_bits, tokens))
             yield pa.RecordBatch.from_arrays([rep, pa.array(sizes, pa.int64()), *lists], names=["rep", "size", "bits", "tokens"])
 
-    return texts.select(F.col("id").alias("rep"), "words").mapInArrow(run, f"rep {kind}, size long, bits array<long>, tokens array<long>")
+    return texts.select(F.col("node").alias("rep"), "words").mapInArrow(run, "rep long, size long, bits array<long>, tokens array<long>")
 
 
-def _possible(texts: DataFrame, comp: DataFrame | None, least: float, kind: str) -> DataFrame:
+def _possible(texts: DataFrame, comp: DataFrame | None, least: float) -> DataFrame:
     """leader, rep of all pairs of the texts that can be alike and are not in one component.
 
     Texts meet by rare words first as components and only then as members, those of the smaller component first, so
     a large component makes no pairs with itself. Words that one text has and the other lacks are counted from
     below by the bits, which only words shared by components carry along."""
     texts = cut(texts)
-    about = _with_rare(texts, _cells(texts), least, kind)
+    about = _with_rare(texts, _sum_cells(texts.select("words"), _word_cells), least)
     about = about.withColumn("comp", F.col("rep")) if comp is None else about.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     about = cut(about)
     members = about.select(F.explode("tokens").alias("token"), "comp", "rep")
@@ -322,50 +353,68 @@ def _most(size: Column, least: float) -> Column:
     return F.floor((1 - least) * size + 1e-9)
 
 
-def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id: a row for each row of the input."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    words = _words(docs, id_col, text_col)
-    copies = words.groupBy("copy1", "copy2").agg(F.min("id").alias("rep"))
-    reps = cut(words.select("id", "copy1", "copy2").join(copies, ["copy1", "copy2"]).select("id", "rep"))
-    keyed = _with_keys(words.select("id", "copy1", "copy2", "words"), LENGTH, f"id {kind}, copy1 long, copy2 long")
-    one = keyed.groupBy("copy1", "copy2").agg(F.min(F.struct("id", "keys")).alias("x")).select(F.col("x.id").alias("rep"), "x.keys")
-    met = cut(_buckets(one))
-    ids = met.select(F.col("rep").alias("id")).unionByName(met.select(F.col("leader").alias("id"))).distinct()
-    short = words.select("id", F.transform("words", lambda w: F.hash(w)).alias("words"))
-    cand = cut(short.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
+    """id, group (what tells classes apart), class_id, h1, h2: a row for each row of the input."""
+    rows = cut(_rows(docs, id_col, text_col))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("least_check"), F.count(F.lit(1)).alias("n"))
+    nodes = cut(nodes)
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Rows of one node have the same words and so the same keys, but for hashes that collide; of these one counts.
+    one = cut(_with_keys(rows, LENGTH).groupBy("node").agg(F.min("keys").alias("keys")))
+    met = cut(_buckets(one, total))
+    ids = met.select(F.explode(F.array("rep", "leader")).alias("node")).distinct()
+    short = rows.select("node", F.transform("words", lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("words"))
+    cand = cut(short.join(ids, "node", "left_semi").dropDuplicates(["node"]))
 
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
     comp: DataFrame | None = None
 
-    def compare(rows: DataFrame) -> None:
-        """Compares leaders and members of the rows that have not been compared, and links what is alike."""
+    def compare(pairs: DataFrame) -> None:
+        """Compares leaders and members of the pairs that have not been compared, and links what is alike."""
         nonlocal comp
-        pairs = rows.select("leader", "rep").distinct()
+        pairs = pairs.select("leader", "rep").distinct()
         for done in tested:
             pairs = pairs.join(done, ["leader", "rep"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
             return
         tested.append(pairs)
-        links.append(cut(_verified(pairs, cand, least, kind)))
+        links.append(cut(_verified(pairs, cand, least)))
         if not links[-1].isEmpty():
             comp = components(reduce(DataFrame.unionByName, links))
 
     compare(met.where(F.col("function") < FIRST))
     compare(_apart(met, comp))
     open_ = met.join(_apart(met, comp).select("bucket").distinct(), "bucket", "left_semi")
-    ids = cut(open_.select(F.explode(F.array("leader", "rep")).alias("id")).distinct())
+    ids = cut(open_.select(F.explode(F.array("leader", "rep")).alias("node")).distinct())
     if not ids.isEmpty():
-        compare(_possible(cand.join(ids, "id", "left_semi"), comp, least, kind))
-    if comp is None:
-        return reps.select(F.col("id").alias(id_col), F.col("rep").alias("class_id"))
-    return reps.join(comp, "rep", "left").select(F.col("id").alias(id_col), F.coalesce("comp", "rep").alias("class_id"))
+        compare(_possible(cand.join(ids, "node", "left_semi"), comp, least))
+    rows = rows.drop("words")
+    if comp is not None:
+        linked = nodes.join(comp.withColumnRenamed("rep", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        linked = cut(linked.withColumnRenamed("id", "least_id"))
+        labels = cut(linked.groupBy("comp").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("nodes")))
+        nodes = cut(with_looked_up(linked, labels, "comp", "nodes", total).drop("least_id"))
+    else:
+        nodes = nodes.withColumn("comp", F.col("node")).withColumnRenamed("id", "class_id")
+    found = with_looked_up(rows, nodes, "node", "n", total)
+    # Hashes of 64 bits collide in very large tables: what the second one tells apart is in no class of others.
+    alone = F.col("check") != F.col("least_check")
+    group = F.when(alone, F.xxhash64("node", "check")).otherwise(F.col("comp"))
+    return found.select("id", group.alias("group"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "h1", "h2")
+
+
+def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id: a row for each row of the input."""
+    return _classed(docs, least, id_col, text_col).select(F.col("id").alias(id_col), "class_id")
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the class id: the first document of each class. Repeated rows are kept once."""
-    found = classes(docs, least, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    """The first row of each class, by id (rows without one last). Repeated rows are kept once."""
+    rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "h1", "h2")
+    first = _classed(docs, least, id_col, text_col).groupBy("group").agg(F.min(rank).alias("x")).select("x.h1", "x.h2")
+    all_ = [docs[f.name] for f in docs.schema if not isinstance(f.dataType, MapType)]
+    rows = docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("box"), *_row_hashes(all_))
+    kept = rows.join(cut(first), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return kept.select(*[F.col(f"box.c{k}").alias(c) for k, c in enumerate(docs.columns)])
