@@ -175,30 +175,32 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node (hash of the word sequence; of the id where the text is null), check (a second one), words (64-bit hashes),
-    and, for `one_of_each`, two hashes of the whole row: a row for each row of the input."""
-    all_ = [docs[f.name] for f in docs.schema if not isinstance(f.dataType, MapType)]
+def _words(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """id, node (hash of the word sequence; of the id where the text is null), check (a second one), `more`, words (64-bit hashes)."""
     words = F.transform(word_array(docs[text_col]), lambda w: F.xxhash64(w)).alias("words")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].isNull().alias("none"), words, *_row_hashes(all_))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].isNull().alias("none"), words, *more)
     own = lambda seed: F.when(F.col("none"), F.xxhash64("id", F.lit("null"), F.lit(seed))).otherwise(F.xxhash64("words", F.lit(seed)))
-    return rows.select("id", own(0).alias("node"), own(1).alias("check"), "words", "h1", "h2")
+    return rows.select("id", own(0).alias("node"), own(1).alias("check"), *rows.columns[3:], "words")
+
+
+def _hashable(docs: DataFrame) -> list[Column]:
+    return [docs[f.name] for f in docs.schema if not isinstance(f.dataType, MapType)]
 
 
 def _row_hashes(columns: list[Column]) -> list[Column]:
     return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2")]
 
 
-def _with_keys(rows: DataFrame, length: int) -> DataFrame:
-    """node and keys array<long>, from node and words."""
+def _with_keys(rows: DataFrame, length: int, extra: str) -> DataFrame:
+    """`extra` columns and keys array<long>, from rows whose last column is words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, words = batch.columns
+            *others, words = batch.columns
             found = [keys(w.astype("i8", copy=False), length) for w in _lists(words)]
-            yield pa.RecordBatch.from_arrays([node, pa.array(found, pa.list_(pa.int64()))], names=["node", "keys"])
+            yield pa.RecordBatch.from_arrays([*others, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "keys"])
 
-    return rows.select("node", "words").mapInArrow(run, "node long, keys array<long>")
+    return rows.mapInArrow(run, f"{extra}, keys array<long>")
 
 
 def _sum_cells(lists: DataFrame, cells_of) -> np.ndarray:
@@ -324,28 +326,46 @@ def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
 def _possible(texts: DataFrame, comp: DataFrame | None, least: float) -> DataFrame:
     """leader, rep of all pairs of the texts that can be alike and are not in one component.
 
-    Texts meet by rare words first as components and only then as members, those of the smaller component first, so
-    a large component makes no pairs with itself. Words that one text has and the other lacks are counted from
-    below by the bits, which only words shared by components carry along."""
+    Texts meet by rare words first as groups, the members of one component that have the word, those of the smaller
+    component first, so a large component makes no pairs with itself. Words that one text has and the other lacks are counted
+    from below by the bits: of groups, by the bits that all members of one have and no member of the other. Most groups are
+    single texts and settled as they meet; only those of several go back to their members."""
     texts = cut(texts)
     about = _with_rare(texts, _sum_cells(texts.select("words"), _word_cells), least)
     about = about.withColumn("comp", F.col("rep")) if comp is None else about.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     about = cut(about)
     members = about.select(F.explode("tokens").alias("token"), "comp", "rep")
-    groups = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    shared = groups.groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    groups = cut(groups.join(shared.select("token"), "token", "left_semi"))
-    one, two = (groups.select("token", F.col("comp").alias(f"comp_{x}"), F.struct("n", "comp").alias(f"order_{x}")) for x in "ab")
-    met = one.join(two, "token").where("order_a < order_b").select("token", "comp_a", "comp_b")
-    members = members.join(groups.select("token", "comp"), ["token", "comp"], "left_semi")
-    members = cut(members.join(about.select("rep", "size", "bits"), "rep"))
-    a, b = (members.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "rep", "size", "bits"))) for x in "ab")
-    longer = F.greatest("size_a", "size_b")
+    shared = members.select("token", "comp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    members = cut(members.join(shared.select("token"), "token", "left_semi"))
+    members = members.join(about.select("rep", "size", "bits"), "rep")
+    several = F.count(F.lit(1)) > 1
+    each = lambda f: F.array(*[f(F.col("bits")[k]) for k in range(BITS)])
+    groups = cut(
+        members.groupBy("token", "comp").agg(
+            F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"), F.min("size").alias("lo"), F.max("size").alias("hi"),
+            each(F.bit_and).alias("has"), F.when(several, each(F.bit_or)).alias("may"),
+        )
+    )
+    one, two = (groups.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "rep", "lo", "hi", "has", "may")]) for x in "ab")
+    first = F.struct("n_a", "comp_a") < F.struct("n_b", "comp_b")
+    longer = F.greatest("lo_a", "lo_b")
     common = longer - _most(longer, least)
-    lacks = lambda x, y: reduce(Column.__add__, (F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS)))
-    near = (F.least("size_a", "size_b") >= common) & (F.col("size_a") - lacks("bits_a", "bits_b") >= common) & (F.col("size_b") - lacks("bits_b", "bits_a") >= common)
-    pairs = met.join(a, ["token", "comp_a"]).join(b, ["token", "comp_b"]).where(near)
-    return pairs.select(F.least("rep_a", "rep_b").alias("leader"), F.greatest("rep_a", "rep_b").alias("rep"))
+    near = _near(common, "hi_a", "hi_b", "has_a", "has_b", F.coalesce("may_a", "has_a"), F.coalesce("may_b", "has_b"))
+    met = cut(one.join(two, "token").where(first & near).select("token", "comp_a", "comp_b", "rep_a", "rep_b", "n_a", "n_b"))
+    singles = met.where("n_a = 1 AND n_b = 1").select("rep_a", "rep_b")
+    whole = cut(members.join(groups.where("n > 1").select("token").distinct(), "token", "left_semi"))
+    a, b = (whole.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "rep", "size", "bits"))) for x in "ab")
+    longer = F.greatest("size_a", "size_b")
+    near = _near(longer - _most(longer, least), "size_a", "size_b", "bits_a", "bits_b", F.col("bits_a"), F.col("bits_b"))
+    many = met.where("n_a > 1 OR n_b > 1").select("token", "comp_a", "comp_b")
+    many = many.join(a, ["token", "comp_a"]).join(b, ["token", "comp_b"]).where(near).select("rep_a", "rep_b")
+    return singles.unionByName(many).select(F.least("rep_a", "rep_b").alias("leader"), F.greatest("rep_a", "rep_b").alias("rep"))
+
+
+def _near(common: Column, size_a: str, size_b: str, has_a: str, has_b: str, may_a: Column, may_b: Column) -> Column:
+    """Whether both sides may have `common` words in common: neither is shorter, nor lacks too many that the other has."""
+    lacks = lambda x, y: reduce(Column.__add__, (F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(y[k]))) for k in range(BITS)))
+    return (F.least(size_a, size_b) >= common) & (F.col(size_a) - lacks(has_a, may_b) >= common) & (F.col(size_b) - lacks(has_b, may_a) >= common)
 
 
 def _most(size: Column, least: float) -> Column:
@@ -355,15 +375,18 @@ def _most(size: Column, least: float) -> Column:
 
 def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
     """id, group (what tells classes apart), class_id, h1, h2: a row for each row of the input."""
-    rows = cut(_rows(docs, id_col, text_col))
+    kind = docs.schema[id_col].dataType.simpleString()
+    words = _words(docs, id_col, text_col)
+    hashed = _words(docs, id_col, text_col, *_row_hashes(_hashable(docs)))
+    rows = cut(_with_keys(hashed, LENGTH, f"id {kind}, node long, check long, h1 long, h2 long"))
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("least_check"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes)
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Rows of one node have the same words and so the same keys, but for hashes that collide; of these one counts.
-    one = cut(_with_keys(rows, LENGTH).groupBy("node").agg(F.min("keys").alias("keys")))
+    one = cut(rows.groupBy("node").agg(F.min("keys").alias("keys")))
     met = cut(_buckets(one, total))
     ids = met.select(F.explode(F.array("rep", "leader")).alias("node")).distinct()
-    short = rows.select("node", F.transform("words", lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("words"))
+    short = words.select("node", F.transform("words", lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("words"))
     cand = cut(short.join(ids, "node", "left_semi").dropDuplicates(["node"]))
 
     links: list[DataFrame] = []
@@ -390,7 +413,7 @@ def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
     ids = cut(open_.select(F.explode(F.array("leader", "rep")).alias("node")).distinct())
     if not ids.isEmpty():
         compare(_possible(cand.join(ids, "node", "left_semi"), comp, least))
-    rows = rows.drop("words")
+    rows = rows.drop("keys")
     if comp is not None:
         linked = nodes.join(comp.withColumnRenamed("rep", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         linked = cut(linked.withColumnRenamed("id", "least_id"))
@@ -414,7 +437,6 @@ def one_of_each(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", t
     """The first row of each class, by id (rows without one last). Repeated rows are kept once."""
     rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "h1", "h2")
     first = _classed(docs, least, id_col, text_col).groupBy("group").agg(F.min(rank).alias("x")).select("x.h1", "x.h2")
-    all_ = [docs[f.name] for f in docs.schema if not isinstance(f.dataType, MapType)]
-    rows = docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("box"), *_row_hashes(all_))
+    rows = docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("box"), *_row_hashes(_hashable(docs)))
     kept = rows.join(cut(first), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     return kept.select(*[F.col(f"box.c{k}").alias(c) for k, c in enumerate(docs.columns)])
