@@ -40,26 +40,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Folders that `cut` has written, with the session that wrote them.
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back, so that a lost executor costs a read and no recomputation.
-    The result reads the folder, so it stays until `clean` or the end of the program."""
+    The result reads the folder, which stays until `discard`, `clean` or the end of the program."""
     path = f"{shared_dir(df.sparkSession)}/gridlake-{uuid.uuid4().hex}"
-    _WRITTEN.append((df.sparkSession, path))
+    _WRITTEN[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark and spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` returned and that nothing will read any more."""
+    for t in tables:
+        _delete(t.folder)
 
 
 @atexit.register
 def clean() -> None:
-    """Deletes what `cut` has written. Results that were not written or collected before cannot be read any more."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        if spark.sparkContext._jsc is not None:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """Deletes all that `cut` has written. Results that were not written or collected before cannot be read any more."""
+    for path in list(_WRITTEN):
+        _delete(path)
 
 
 def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:

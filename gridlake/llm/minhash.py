@@ -12,11 +12,11 @@ Copies (equal word sequences) are one node and take part once. In each bucket of
 least node, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
 has members, and where most pairs are true, as among near copies, the leader joins them all. Buckets that still
 hold members of different components are finished exactly: all their members, leaders and linked ones too, are
-compared with each other, but for pairs that are in one component and pairs that cannot be alike. Those alike have
-all but `most` of the longer text's words in common, so they share one of their most + 1 rarest words (a repeated
-one told apart by its number; rare among these members), and their lengths differ by at most `most`. A passage that
-many texts share is not among the rarest words of a text unless nearly all of it is that passage. So any two
-texts alike that have a common key end in one class. No bucket is capped or dropped.
+compared with each other, but for pairs that are in one component and pairs that cannot be alike. An edit changes at
+most two pairs of neighbouring words, so those alike have all but 2 * most pairs of the longer text in common, and share
+one of their 2 * most + 2 rarest pairs (a repeated one told apart by its number; rare among these members); and their
+lengths differ by at most `most`. A passage that many texts share is not among the rarest pairs of a text unless more than
+half of it is that passage. So any two texts alike that have a common key end in one class. No bucket is capped or dropped.
 
 Texts under SHORT words have each single k-mer as a further key, so any two of them with a common k-mer meet.
 
@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from gridlake.llm.common import HOT, cut, with_looked_up, word_array
+from gridlake.llm.common import HOT, cut, discard, with_looked_up, word_array
 
 K, LEAST = 5, 0.8
 #: Hash functions; how many of them the first round of comparisons uses.
@@ -56,7 +56,7 @@ LENGTH = 2
 #: Texts of fewer words have their single k-mers as keys too. Texts alike of which the shorter has up to 31 words
 #: both have, at the threshold of LEAST.
 SHORT = 40
-#: Cells in which words are counted to tell rare ones; the table of counts is what reaches the driver.
+#: Cells in which pairs of words, and keys, are counted to tell rare from common ones; the table of counts is what reaches the driver.
 CELLS_HELD = 1 << 17
 #: Longs that hold the bits of a text's words.
 BITS = 8
@@ -294,29 +294,30 @@ def _apart(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return joined.where(apart).drop("comp_rep", "comp_leader")
 
 
-def _word_cells(column: pa.Array) -> Iterator[np.ndarray]:
+def _pair_cells(column: pa.Array) -> Iterator[np.ndarray]:
     for w in _lists(column):
         if len(w):
-            yield labelled_kmers(w.astype("i8"), 1) % np.uint64(CELLS_HELD)
+            yield labelled_kmers(w.astype("i8"), 2) % np.uint64(CELLS_HELD)
 
 
 def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
-    """rep, size, bits, tokens: the most + 1 rarest words of each text, those after a first occurrence told apart by
-    their number, where `most` are the edits that the text allows; `bits` has one bit set for each word, by its hash.
-    Rare is by `held`, the same for all, so that texts alike share one of these words whatever the counts are."""
+    """rep, size, bits, tokens: the 2 * most + 2 rarest pairs of neighbouring words of each text, those after a first
+    occurrence told apart by their number, where `most` are the edits that the text allows; `bits` has one bit set for each
+    word, by its hash. Rare is by `held`, the same for all, so that texts alike share one of these pairs whatever the counts
+    are: of texts with n and n + d words, the shorter has at most 2 * most(n + d) - d <= 2 * most(n) + 1 pairs of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, words = batch.columns
             sizes, tokens, all_bits = [], [], []
             for w in _lists(words):
-                t = labelled_kmers(w.astype("i8"), 1)
                 bits = np.zeros(64 * BITS, "u1")
-                bits[t % np.uint64(64 * BITS)] = 1
+                bits[labelled_kmers(w.astype("i8"), 1) % np.uint64(64 * BITS)] = 1
+                t = labelled_kmers(w.astype("i8"), 2)
                 order = np.lexsort((t, held[t % np.uint64(CELLS_HELD)]))
                 sizes.append(len(w))
                 all_bits.append(np.packbits(bits).view("i8"))
-                tokens.append(t[order[: int((1 - least) * len(w) + 1e-9) + 1]].view("i8"))
+                tokens.append(t[order[: 2 * int((1 - least) * len(w) + 1e-9) + 2]].view("i8"))
             lists = (pa.array(x, pa.list_(pa.int64())) for x in (all_bits, tokens))
             yield pa.RecordBatch.from_arrays([rep, pa.array(sizes, pa.int64()), *lists], names=["rep", "size", "bits", "tokens"])
 
@@ -326,18 +327,18 @@ def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
 def _possible(texts: DataFrame, comp: DataFrame | None, least: float) -> DataFrame:
     """leader, rep of all pairs of the texts that can be alike and are not in one component.
 
-    Texts meet by rare words first as groups, the members of one component that have the word, those of the smaller
+    Texts meet by rare pairs of words first as groups, the members of one component that have the pair, those of the smaller
     component first, so a large component makes no pairs with itself. Words that one text has and the other lacks are counted
     from below by the bits: of groups, by the bits that all members of one have and no member of the other. Most groups are
     single texts and settled as they meet; only those of several go back to their members."""
     texts = cut(texts)
-    about = _with_rare(texts, _sum_cells(texts.select("words"), _word_cells), least)
+    about = _with_rare(texts, _sum_cells(texts.select("words"), _pair_cells), least)
     about = about.withColumn("comp", F.col("rep")) if comp is None else about.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     about = cut(about)
     members = about.select(F.explode("tokens").alias("token"), "comp", "rep")
     shared = members.select("token", "comp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    members = cut(members.join(shared.select("token"), "token", "left_semi"))
-    members = members.join(about.select("rep", "size", "bits"), "rep")
+    sharing = cut(members.join(shared.select("token"), "token", "left_semi"))
+    members = sharing.join(about.select("rep", "size", "bits"), "rep")
     several = F.count(F.lit(1)) > 1
     each = lambda f: F.array(*[f(F.col("bits")[k]) for k in range(BITS)])
     groups = cut(
@@ -359,7 +360,49 @@ def _possible(texts: DataFrame, comp: DataFrame | None, least: float) -> DataFra
     near = _near(longer - _most(longer, least), "size_a", "size_b", "bits_a", "bits_b", F.col("bits_a"), F.col("bits_b"))
     many = met.where("n_a > 1 OR n_b > 1").select("token", "comp_a", "comp_b")
     many = many.join(a, ["token", "comp_a"]).join(b, ["token", "comp_b"]).where(near).select("rep_a", "rep_b")
-    return singles.unionByName(many).select(F.least("rep_a", "rep_b").alias("leader"), F.greatest("rep_a", "rep_b").alias("rep"))
+    pairs = cut(singles.unionByName(many).select(F.least("rep_a", "rep_b").alias("leader"), F.greatest("rep_a", "rep_b").alias("rep")).distinct())
+    discard(about, sharing, groups, met, whole)
+    return _alike_by_sketch(pairs, texts, least)
+
+
+def _alike_by_sketch(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs that can be alike by sketches of their texts: bits as in `_with_rare`, but a number of them that grows with the
+    text, so that those of long texts are not all set. Sketches are far smaller than texts, which only what is left needs."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, words = batch.columns
+            lists = _lists(words)
+            out = []
+            for w in lists:
+                bits = np.zeros(max(512, 1 << (3 * max(1, len(w)) - 1).bit_length()), "u1")
+                bits[labelled_kmers(w.astype("i8"), 1) & np.uint64(len(bits) - 1)] = 1
+                out.append(np.packbits(bits, bitorder="little").view("i8"))
+            yield pa.RecordBatch.from_arrays([node, pa.array([len(w) for w in lists], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "size", "bits"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist(), strict=True)
+            bits = zip(_lists(batch.column("bits_a")), _lists(batch.column("bits_b")), strict=True)
+            good = [_can_be_alike(n, m, a, b, least) for (n, m), (a, b) in zip(sizes, bits, strict=True)]
+            yield batch.select(["leader", "rep"]).filter(pa.array(good, pa.bool_()))
+
+    sketches = texts.where(F.size("words") > 0).select("node", "words").mapInArrow(sketch, "node long, size long, bits array<long>")
+    left, right = (sketches.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{y}") for x in ("size", "bits"))) for c, y in (("leader", "a"), ("rep", "b")))
+    met = pairs.join(left, "leader").join(right, "rep").select("leader", "rep", "size_a", "size_b", "bits_a", "bits_b")
+    return met.mapInArrow(keep, "leader long, rep long")
+
+
+def _can_be_alike(n: int, m: int, a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether texts of n and m words may be alike: each word whose bit the other lacks costs an edit."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    longer = max(n, m)
+    common = longer - int((1 - least) * longer + 1e-9)
+    lacks_a, lacks_b = (int(np.bitwise_count((x & ~y).view("u8")).sum()) for x, y in ((a, b), (b, a)))
+    return n - lacks_a >= common and m - lacks_b >= common
 
 
 def _near(common: Column, size_a: str, size_b: str, has_a: str, has_b: str, may_a: Column, may_b: Column) -> Column:
@@ -378,13 +421,16 @@ def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
     kind = docs.schema[id_col].dataType.simpleString()
     words = _words(docs, id_col, text_col)
     hashed = _words(docs, id_col, text_col, *_row_hashes(_hashable(docs)))
-    rows = cut(_with_keys(hashed, LENGTH, f"id {kind}, node long, check long, h1 long, h2 long"))
+    keyed = cut(_with_keys(hashed, LENGTH, f"id {kind}, node long, check long, h1 long, h2 long"))
+    rows = cut(keyed.drop("keys"))
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("least_check"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes)
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Rows of one node have the same words and so the same keys, but for hashes that collide; of these one counts.
-    one = cut(rows.groupBy("node").agg(F.min("keys").alias("keys")))
+    one = cut(keyed.groupBy("node").agg(F.min("keys").alias("keys")))
+    discard(keyed)
     met = cut(_buckets(one, total))
+    discard(one)
     ids = met.select(F.explode(F.array("rep", "leader")).alias("node")).distinct()
     short = words.select("node", F.transform("words", lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("words"))
     cand = cut(short.join(ids, "node", "left_semi").dropDuplicates(["node"]))
@@ -413,7 +459,6 @@ def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
     ids = cut(open_.select(F.explode(F.array("leader", "rep")).alias("node")).distinct())
     if not ids.isEmpty():
         compare(_possible(cand.join(ids, "node", "left_semi"), comp, least))
-    rows = rows.drop("keys")
     if comp is not None:
         linked = nodes.join(comp.withColumnRenamed("rep", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         linked = cut(linked.withColumnRenamed("id", "least_id"))
