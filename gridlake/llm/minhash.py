@@ -9,14 +9,15 @@ those at least `least` alike (1 - word edits / words of the longer text) are lin
 components of the links; the class id is the least document id.
 
 Copies (equal word sequences) are one node and take part once. In each bucket of a key only the
-least node, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
+node of the least id, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
 has members, and where most pairs are true, as among near copies, the leader joins them all. Buckets that still
 hold members of different components are finished exactly: all their members, leaders and linked ones too, are
-compared with each other, but for pairs that are in one component and pairs that cannot be alike. An edit changes at
-most two pairs of neighbouring words, so those alike have all but 2 * most pairs of the longer text in common, and share
-one of their 2 * most + 2 rarest pairs (a repeated one told apart by its number; rare among these members); and their
-lengths differ by at most `most`. A passage that many texts share is not among the rarest pairs of a text unless more than
-half of it is that passage. So any two texts alike that have a common key end in one class. No bucket is capped or dropped.
+compared with each other, but for pairs that are in one component and pairs that cannot be alike. Those alike have
+all but `most` of the longer text's words in common, so they share one of their most + 1 rarest words (a repeated
+one told apart by its number; rare among these members), and their lengths differ by at most `most`. A passage that
+many texts share is not among the rarest words of a text unless nearly all of it is that passage. What meets is told apart
+by bits of its words, then by larger sketches, and only then aligned. So any two
+texts alike that have a common key end in one class. No bucket is capped or dropped.
 
 Texts under SHORT words have each single k-mer as a further key, so any two of them with a common k-mer meet.
 
@@ -56,7 +57,7 @@ LENGTH = 2
 #: Texts of fewer words have their single k-mers as keys too. Texts alike of which the shorter has up to 31 words
 #: both have, at the threshold of LEAST.
 SHORT = 40
-#: Cells in which pairs of words, and keys, are counted to tell rare from common ones; the table of counts is what reaches the driver.
+#: Cells in which words, and keys, are counted to tell rare from common ones; the table of counts is what reaches the driver.
 CELLS_HELD = 1 << 17
 #: Longs that hold the bits of a text's words.
 BITS = 8
@@ -225,19 +226,21 @@ def _key_cells(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _buckets(keyed: DataFrame, total: int) -> DataFrame:
-    """bucket, rep, leader, function: the members of each key but its least one, which leads. Leaders of buckets that may be hot
+    """bucket, rep, leader, function: the members of each key but the one with the least id (`first`), which leads: it is likelier
+    than others to be what near copies were made from, and so to be alike to all of them. Leaders of buckets that may be hot
     (their cell of hash values holds many members) are found by aggregation, the others' by a window over the bucket."""
-    rows = keyed.select(F.col("node").alias("rep"), F.posexplode("keys").alias("function", "bucket"))
+    rows = keyed.select(F.col("node").alias("rep"), "first", F.posexplode("keys").alias("function", "bucket"))
     held = _sum_cells(keyed.select("keys"), _key_cells)
     hot_cells = np.flatnonzero(held > max(1000, held.mean() + total * HOT)).tolist()
     hot = F.pmod(F.col("bucket").bitwiseAND(F.lit(CELLS_HELD - 1)), F.lit(CELLS_HELD)).isin(hot_cells) if hot_cells else F.lit(False)
-    order = Window.partitionBy("bucket").orderBy("rep").rowsBetween(Window.unboundedPreceding, 0)
-    led = rows.where(~hot).withColumn("leader", F.first("rep").over(order)).where("leader <> rep")
+    order = Window.partitionBy("bucket").orderBy(F.col("first").asc_nulls_last(), "rep").rowsBetween(Window.unboundedPreceding, 0)
+    led = rows.where(~hot).withColumn("leader", F.first("rep").over(order)).where("leader <> rep").drop("first")
     if not hot_cells:
         return led
     common = cut(rows.where(hot))
-    leaders = cut(common.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return led.unionByName(with_looked_up(common, leaders, "bucket", "n", total).where("leader <> rep"))
+    rank = F.struct(F.col("first").isNull().alias("unnamed"), "first", "rep")
+    leaders = cut(common.groupBy("bucket").agg(F.min(rank)["rep"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return led.unionByName(with_looked_up(common.drop("first"), leaders, "bucket", "n", total).where("leader <> rep"))
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -294,30 +297,29 @@ def _apart(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return joined.where(apart).drop("comp_rep", "comp_leader")
 
 
-def _pair_cells(column: pa.Array) -> Iterator[np.ndarray]:
+def _word_cells(column: pa.Array) -> Iterator[np.ndarray]:
     for w in _lists(column):
         if len(w):
-            yield labelled_kmers(w.astype("i8"), 2) % np.uint64(CELLS_HELD)
+            yield labelled_kmers(w.astype("i8"), 1) % np.uint64(CELLS_HELD)
 
 
 def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
-    """rep, size, bits, tokens: the 2 * most + 2 rarest pairs of neighbouring words of each text, those after a first
-    occurrence told apart by their number, where `most` are the edits that the text allows; `bits` has one bit set for each
-    word, by its hash. Rare is by `held`, the same for all, so that texts alike share one of these pairs whatever the counts
-    are: of texts with n and n + d words, the shorter has at most 2 * most(n + d) - d <= 2 * most(n) + 1 pairs of its own."""
+    """rep, size, bits, tokens: the most + 1 rarest words of each text, those after a first occurrence told apart by
+    their number, where `most` are the edits that the text allows; `bits` has one bit set for each word, by its hash.
+    Rare is by `held`, the same for all, so that texts alike share one of these words whatever the counts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, words = batch.columns
             sizes, tokens, all_bits = [], [], []
             for w in _lists(words):
+                t = labelled_kmers(w.astype("i8"), 1)
                 bits = np.zeros(64 * BITS, "u1")
-                bits[labelled_kmers(w.astype("i8"), 1) % np.uint64(64 * BITS)] = 1
-                t = labelled_kmers(w.astype("i8"), 2)
+                bits[t % np.uint64(64 * BITS)] = 1
                 order = np.lexsort((t, held[t % np.uint64(CELLS_HELD)]))
                 sizes.append(len(w))
                 all_bits.append(np.packbits(bits).view("i8"))
-                tokens.append(t[order[: 2 * int((1 - least) * len(w) + 1e-9) + 2]].view("i8"))
+                tokens.append(t[order[: int((1 - least) * len(w) + 1e-9) + 1]].view("i8"))
             lists = (pa.array(x, pa.list_(pa.int64())) for x in (all_bits, tokens))
             yield pa.RecordBatch.from_arrays([rep, pa.array(sizes, pa.int64()), *lists], names=["rep", "size", "bits", "tokens"])
 
@@ -327,12 +329,12 @@ def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
 def _possible(texts: DataFrame, comp: DataFrame | None, least: float) -> DataFrame:
     """leader, rep of all pairs of the texts that can be alike and are not in one component.
 
-    Texts meet by rare pairs of words first as groups, the members of one component that have the pair, those of the smaller
+    Texts meet by rare words first as groups, the members of one component that have the word, those of the smaller
     component first, so a large component makes no pairs with itself. Words that one text has and the other lacks are counted
     from below by the bits: of groups, by the bits that all members of one have and no member of the other. Most groups are
     single texts and settled as they meet; only those of several go back to their members."""
     texts = cut(texts)
-    about = _with_rare(texts, _sum_cells(texts.select("words"), _pair_cells), least)
+    about = _with_rare(texts, _sum_cells(texts.select("words"), _word_cells), least)
     about = about.withColumn("comp", F.col("rep")) if comp is None else about.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     about = cut(about)
     members = about.select(F.explode("tokens").alias("token"), "comp", "rep")
@@ -427,7 +429,7 @@ def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
     nodes = cut(nodes)
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Rows of one node have the same words and so the same keys, but for hashes that collide; of these one counts.
-    one = cut(keyed.groupBy("node").agg(F.min("keys").alias("keys")))
+    one = cut(keyed.groupBy("node").agg(F.min("keys").alias("keys"), F.min("id").alias("first")))
     discard(keyed)
     met = cut(_buckets(one, total))
     discard(one)
