@@ -176,17 +176,19 @@ def EDATE(d: Column, months: Column | int) -> Column:
 
 
 def DATEDIF(start: Column, end: Column, unit: str) -> Column:
+    """Whole days, months or years; YM months without years, MD days without months, YD days without years. A day that a
+    month does not have is its last one."""
     y1, m1, d1 = F.year(start), F.month(start), F.dayofmonth(start)
     y2, m2, d2 = F.year(end), F.month(end), F.dayofmonth(end)
-    before = (m2 * 100 + d2) < (m1 * 100 + d1)
     months = (y2 - y1) * 12 + m2 - m1 - F.when(d2 < d1, 1).otherwise(0)
+    years = y2 - y1 - F.when((m2 * 100 + d2) < (m1 * 100 + d1), 1).otherwise(0)
     by = {
         "D": F.datediff(end, start),
         "M": months,
-        "Y": y2 - y1 - F.when(before, 1).otherwise(0),
-        "YM": m2 - m1 - F.when(d2 < d1, 1).otherwise(0) + F.when(m2 < m1, 12).otherwise(0),
-        "MD": F.when(d2 >= d1, d2 - d1).otherwise(F.datediff(end, F.add_months(F.trunc(end, "MM"), -1)) + 1 - d1),
-        "YD": F.datediff(end, F.add_months(start, (y2 - y1 - F.when(before, 1).otherwise(0)) * 12)),
+        "Y": years,
+        "YM": F.pmod(months, F.lit(12)),
+        "MD": F.datediff(end, F.add_months(start, months)),
+        "YD": F.datediff(end, F.add_months(start, years * 12)),
     }
     return by.get(unit.upper(), F.lit(0))
 

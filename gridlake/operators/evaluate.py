@@ -55,7 +55,7 @@ def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         nums, texts = [], []
         for program, refs, cells in zip(b["program"], b["refs"], b["cells"], strict=True):
-            value = kernel.run([tuple(i[k] for k in ("op", "text", "num", "n")) for i in program], _values(refs, cells), [r["end_col"] - r["col"] + 1 for r in refs])
+            value = kernel.run([tuple(i[k] for k in ("op", "text", "num", "n")) for i in program], _values(refs, cells))
             is_num = isinstance(value, bool | int | float)
             nums.append(float(value) if is_num else None)
             texts.append(None if is_num or value is None else str(value))
@@ -65,7 +65,7 @@ def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _values(refs, cells) -> list:
     """Values by reference: a missing or blank scalar is 0, a range keeps blanks."""
     sizes = [max(0, r["end_row"] - r["row"] + 1) * max(0, r["end_col"] - r["col"] + 1) for r in refs]
-    out: list = [[None] * n if r["is_range"] else 0.0 for r, n in zip(refs, sizes, strict=True)]
+    out: list = [kernel.Range([None] * n, r["end_col"] - r["col"] + 1) if r["is_range"] else 0.0 for r, n in zip(refs, sizes, strict=True)]
     for c in cells if cells is not None else []:
         v = c["v_str"] if c["v_str"] is not None else c["v_num"]
         if v is None or v != v:
@@ -95,7 +95,7 @@ def _fixpoint(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             for c in inside if inside is not None else []:
                 v = values[c["tgt"]]
                 cells.append({"ref": c["ref"], "pos": c["pos"], "v_num": None if isinstance(v, str) else v, "v_str": v if isinstance(v, str) else None})
-            new = kernel.run([tuple(x[k] for k in ("op", "text", "num", "n")) for x in program], _values(refs, cells), [r["end_col"] - r["col"] + 1 for r in refs])
+            new = kernel.run([tuple(x[k] for k in ("op", "text", "num", "n")) for x in program], _values(refs, cells))
             old = values[i]
             most = max(most, abs(kernel.num(new) - kernel.num(old)), float(isinstance(new, str) and new != old))
             values[i] = new

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder that spark.checkpoint.dir names; in a local one only where that is unset."""
+    """Cuts lineage in the shared folder that spark.checkpoint.dir names; where that is unset, in a local one if Spark runs on one
+    machine, otherwise it is an error, for executors would write where others cannot read."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridlake-"))
     return df.checkpoint()
 

@@ -36,7 +36,7 @@ def keywords(name: Column) -> Column:
 
 
 def intent(question: Column) -> Column:
-    """kind (what_if, compare, value, other), entity, other, action, amount, year, quarter."""
+    """kind (what_if, compare, value, other), entity, other, action, amount, percent (whether the amount is one), year, quarter."""
     q = F.trim(question)
     some = lambda pattern, k: F.nullif(F.regexp_extract(q, pattern, k), F.lit(""))
     year = F.nullif(F.regexp_extract(q, YEAR, 1), F.lit("")).try_cast("int")
@@ -45,13 +45,15 @@ def intent(question: Column) -> Column:
     entity = F.trim(F.regexp_replace(F.regexp_replace(entity, YEAR, ""), r"的$", ""))
     return F.struct(
         kind.alias("kind"), entity.alias("entity"), F.when(kind == "compare", some(COMPARE, 2)).alias("other"), some(WHAT_IF, 2).alias("action"),
-        some(WHAT_IF, 3).try_cast("double").alias("amount"), year.alias("year"), some(QUARTER, 1).alias("quarter"),
+        some(WHAT_IF, 3).try_cast("double").alias("amount"), F.coalesce(some(WHAT_IF, 4) == "%", F.lit(False)).alias("percent"), year.alias("year"), some(QUARTER, 1).alias("quarter"),
     )
 
 
-def changed(old: Column, action: Column, amount: Column) -> Column:
-    """The value after a what-if: set, or raised or lowered by the amount."""
-    return F.when(action == "增加", old + amount).when(action == "减少", old - amount).otherwise(amount)
+def changed(old: Column, action: Column, amount: Column, percent: Column) -> Column:
+    """The value after a what-if: set, or raised or lowered by the amount. A percentage raises or lowers by that share of the
+    old value; set, it is the number itself."""
+    step = F.when(percent, F.abs(old) * amount / 100).otherwise(amount)
+    return F.when(action == "增加", old + step).when(action == "减少", old - step).otherwise(F.when(percent, amount / 100).otherwise(amount))
 
 
 @F.pandas_udf(DoubleType())

@@ -129,7 +129,9 @@ WITH t AS (SELECT o_orderkey AS orderkey, l_linenumber AS line, l_partkey AS par
            FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT orderkey, line, partkey, suppkey, price, date_diff('day', s, e)::int AS days, ({_MONTHS})::int AS months,
   (year(e) - year(s) - CASE WHEN month(e) * 100 + day(e) < month(s) * 100 + day(s) THEN 1 ELSE 0 END)::int AS years,
-  (month(e) - month(s) - CASE WHEN day(e) < day(s) THEN 1 ELSE 0 END + CASE WHEN month(e) < month(s) THEN 12 ELSE 0 END)::int AS f_ym FROM t
+  ((({_MONTHS}) % 12 + 12) % 12)::int AS f_ym, date_diff('day', (s + to_months(({_MONTHS})::int))::date, e)::int AS f_md,
+  date_diff('day', (s + to_months((12 * (year(e) - year(s) - CASE WHEN month(e) * 100 + day(e) < month(s) * 100 + day(s) THEN 1 ELSE 0 END))::int))::date, e)::int AS f_yd,
+  date_diff('day', (e + to_months((({_MONTHS.replace('(s)', '(x)').replace('(e)', '(s)').replace('(x)', '(e)')}))::int))::date, s)::int AS f_md_back FROM t
 """)
 def fn_datedif(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
@@ -138,6 +140,7 @@ def fn_datedif(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"),
         F.col("l_extendedprice").alias("price"), L.DATEDIF(s, e, "D").alias("days"), L.DATEDIF(s, e, "M").alias("months"),
         L.DATEDIF(s, e, "Y").alias("years"), L.DATEDIF(s, e, "YM").alias("f_ym"),
+        L.DATEDIF(s, e, "MD").alias("f_md"), L.DATEDIF(s, e, "YD").alias("f_yd"), L.DATEDIF(e, s, "MD").alias("f_md_back"),
     )
 
 

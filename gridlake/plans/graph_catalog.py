@@ -178,9 +178,11 @@ def recalc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.when(key == F.col("edit"), money(F.round(F.col("l_extendedprice") * 1.1, 2))).otherwise(old)
     dirty = orders.join(edit, F.col("o_orderkey") == F.col("edit.l_orderkey")).select("o_custkey", "edit")
     place = dirty.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("edit", F.col("o_custkey").alias("d_cust"), F.col("c_nationkey").alias("d_nation"), F.col("n_regionkey").alias("d_region"))
+    # Nothing outside the edit's region changes, so its few rows are found first and orders and lines are filtered by them.
+    nations = nation.join(F.broadcast(place), F.col("n_regionkey") == F.col("d_region")).drop("n_name")
+    customers = customer.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     every = (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(place), F.col("n_regionkey") == F.col("d_region"))
+        lines.join(orders.select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
         .select("l_orderkey", "o_custkey", "c_nationkey", "n_regionkey", "edit", "d_cust", "d_nation", old.alias("old"), new.alias("new"))
     )
     levels = F.explode(

@@ -12,7 +12,7 @@ from gridlake.plans.registry import load, query
 
 
 def model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet with one row for each customer: A balance, B nation, C to E formulas on them, and a sheet with a total for each nation."""
+    """A sheet with one row for each customer: A balance, B nation, C to E formulas on them."""
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("row"), "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
     number = lambda k, v: F.struct(F.lit(k).alias("col_ix"), v.alias("v_num"), F.lit(None).cast("string").alias("formula_raw"))
     text = lambda k, f: F.struct(F.lit(k).alias("col_ix"), F.lit(None).cast("double").alias("v_num"), f.alias("formula_raw"))
@@ -56,6 +56,25 @@ def model_recalc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("id", F.round("old_num", 6).alias("old"), F.round("new_num", 6).alias("new"))
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_acctbal AS a, c_nationkey::double AS b, lead(c_nationkey::double) OVER (ORDER BY c_custkey) AS below, lead(c_custkey) OVER (ORDER BY c_custkey) AS next FROM customer)
+SELECT k AS "row", CASE WHEN next = k + 1 THEN below END AS picked, round(a + 2 * b, 6) AS found FROM c
+""")
+def model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INDEX and VLOOKUP by the evaluator on rectangles of two rows, beside a range of another width."""
+    r, below = F.col("row").cast("string"), (F.col("row") + 1).cast("string")
+    inputs = model(spark, sf_dir).where("col_ix <= 2").select(*E.KEY, "v_num", "v_str", "formula_raw")
+    rows = inputs.where("col_ix = 1").select("sheet", "row")
+    box = F.concat(F.lit("A"), r, F.lit(":B"), below)
+    texts = {6: F.concat(F.lit("=INDEX("), box, F.lit(",2,2)")), 7: F.concat(F.lit("=SUM(A"), r, F.lit(":E"), r, F.lit(")+VLOOKUP(A"), r, F.lit(","), box, F.lit(",2,FALSE)"))}
+    none = [F.lit(None).cast("double").alias("v_num"), F.lit(None).cast("string").alias("v_str")]
+    lookups = [rows.select("sheet", "row", F.lit(k).alias("col_ix"), *none, f.alias("formula_raw")) for k, f in texts.items()]
+    values = E.evaluate(E.with_ids(inputs.unionByName(lookups[0]).unionByName(lookups[1])))
+    at = F.split("id", "!")
+    col = lambda k: F.max(F.when(at[2] == str(k), F.col("v_num")))
+    return values.groupBy(at[1].cast("int").alias("row")).agg(col(6).alias("picked"), F.round(col(7), 6).alias("found"))
+
+
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One formula for each part, of five forms, by the brand's last digit."""
     r, brand = F.col("p_partkey").cast("string"), F.substring("p_brand", -1, 1)

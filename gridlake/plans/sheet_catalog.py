@@ -240,7 +240,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, year = F.col("p_name"), (F.lit(2000) + F.col("p_size") % 25).cast("string")
     text = (
         F.when(F.col("p_partkey") % 4 == 0, F.concat(year, F.lit("年"), name, F.lit("是多少？")))
-        .when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("如果"), name, F.lit("增加"), F.col("p_size"), F.lit("，会怎样")))
+        .when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("如果"), name, F.lit("增加"), F.col("p_size"), F.when(F.col("p_partkey") % 8 == 1, "%").otherwise(""), F.lit("，会怎样")))
         .when(F.col("p_partkey") % 4 == 2, F.concat(name, F.lit("和"), F.col("p_brand"), F.lit("对比")))
         .otherwise(name)
     )
@@ -250,11 +250,11 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'value' WHEN 1 THEN 'what_if' WHEN 2 THEN 'compare' ELSE 'other' END AS kind, p_name AS entity,
   CASE WHEN p_partkey % 4 = 2 THEN p_brand END AS other, CASE WHEN p_partkey % 4 = 0 THEN 2000 + p_size % 25 END::int AS year,
-  CASE WHEN p_partkey % 4 = 1 THEN round(p_retailprice + p_size, 2) END AS changed FROM part
+  CASE WHEN p_partkey % 8 = 1 THEN round(p_retailprice + p_retailprice * p_size / 100, 6) WHEN p_partkey % 4 = 1 THEN round(p_retailprice + p_size, 6) END AS changed FROM part
 """)
 def intent_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _questions(spark, sf_dir).select("id", "price", R.intent(F.col("question")).alias("i"))
-    new = F.when(F.col("i.kind") == "what_if", F.round(R.changed(F.col("price"), F.col("i.action"), F.col("i.amount")), 2))
+    new = F.when(F.col("i.kind") == "what_if", F.round(R.changed(F.col("price"), F.col("i.action"), F.col("i.amount"), F.col("i.percent")), 6))
     return rows.select("id", "i.kind", "i.entity", "i.other", "i.year", new.alias("changed"))
 
 
