@@ -10,7 +10,8 @@ components of the links; the class id is the least document id.
 
 Copies (equal word sequences) are one node and take part once. In each bucket of a key only the
 node of the least id, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
-has members, and where most pairs are true, as among near copies, the leader joins them all. Buckets that still
+has members, and where most pairs are true, as among near copies, the leader joins them all. What is not alike to the leader is
+compared with one more of each bucket, which is in one component with the leader. Buckets that still
 hold members of different components are finished exactly: all their members, leaders and linked ones too, are
 compared with each other, but for pairs that are in one component and pairs that cannot be alike. Those alike have
 all but `most` of the longer text's words in common, so they share one of their most + 1 rarest words (a repeated
@@ -204,6 +205,15 @@ def _with_keys(rows: DataFrame, length: int, extra: str) -> DataFrame:
     return rows.mapInArrow(run, f"{extra}, keys array<long>")
 
 
+def _second(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """leader, rep: members apart from their bucket's leader, with another member that is in one component with it. Which one
+    differs from bucket to bucket, so a near copy that is too far from the leader meets several that may lie between."""
+    mine, other = (comp.select(F.col("rep").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("rep", "leader"))
+    joined = cut(met.join(mine, "rep", "left").join(other, "leader", "left").select("bucket", "rep", (F.coalesce("comp_rep", "rep") == F.coalesce("comp_leader", "leader")).alias("linked")))
+    inside = joined.where("linked").groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("second"))
+    return joined.where("NOT linked").join(inside, "bucket").select(F.least("second", "rep").alias("leader"), F.greatest("second", "rep").alias("rep"))
+
+
 def _sum_cells(lists: DataFrame, cells_of) -> np.ndarray:
     """How many entries of a list column fall into each of CELLS_HELD cells; each task counts its own, and only counts travel."""
 
@@ -457,6 +467,8 @@ def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
 
     compare(met.where(F.col("function") < FIRST))
     compare(_apart(met, comp))
+    if comp is not None:
+        compare(_second(met, comp))
     open_ = met.join(_apart(met, comp).select("bucket").distinct(), "bucket", "left_semi")
     ids = cut(open_.select(F.explode(F.array("leader", "rep")).alias("node")).distinct())
     if not ids.isEmpty():
