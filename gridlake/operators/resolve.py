@@ -20,12 +20,20 @@ WHAT_IF = r"如果(.+?)(变成|变为|改为|增加|减少)([\d.]+)(%?)[，,](.*
 COMPARE = r"^(.+?)(?:和|与)(.+?)(?:的)?(?:对比|区别|比较|差异)"
 YEAR, QUARTER = r"(\d{4})[年度]", r"([1-4一二三四])季度"
 ALIASES = {
-    "总投资": ["投资总额", "投资额", "总投入"],
-    "营业收入": ["收入", "销售收入", "营收"],
-    "净利润": ["利润", "净利", "盈利"],
-    "资本金": ["自有资金", "权益资金"],
-    "贷款": ["借款", "融资"],
-    "建设期": ["建设时间", "工期"],
+    "总投资": ["总投资", "投资"],
+    "动态投资": ["动态总投资", "动态投"],
+    "静态投资": ["静态总投资", "静态投"],
+    "营业收入": ["营业收入", "营收入", "收入"],
+    "营业成本": ["营业成本", "营成本", "成本"],
+    "净利润": ["净利润", "净利", "利润"],
+    "所得税": ["所得税", "税费", "税"],
+    "建设期": ["建设期"],
+    "运营期": ["运营期", "经营期"],
+    "资本金": ["资本金", "资本"],
+    "贷款": ["贷款", "借款", "融资"],
+    "现金流": ["现金流", "现金"],
+    "资产负债": ["资产负债", "资产", "负债"],
+    "还本付息": ["还本付息", "还本", "付息"],
 }
 KEYWORD_SPLIT = r"[、，,·\s]+"
 
