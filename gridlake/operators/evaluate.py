@@ -165,3 +165,11 @@ def recalculate(cells: DataFrame, edits: DataFrame) -> DataFrame:
     before = cells.select("id", F.col("v_num").alias("old_num"), F.col("v_str").alias("old_str"))
     both = after.select("id", F.col("v_num").alias("new_num"), F.col("v_str").alias("new_str")).join(before, "id").join(edits.select("id"), "id", "left_anti")
     return both.where(~(F.col("old_num").eqNullSafe(F.col("new_num")) & F.col("old_str").eqNullSafe(F.col("new_str"))))
+
+
+def reach(cells: DataFrame, edits: DataFrame) -> DataFrame:
+    """One row: n_cells, n_affected (cells that depend on the edits), n_unchanged (all others)."""
+    dirty = graph.downstream(edges_of(cells), edits.select("id")).where("depth > 0").select("id", F.lit(1).alias("hit"))
+    joined = cells.select("id").join(dirty, "id", "left")
+    n, hit = F.count(F.lit(1)), F.count("hit")
+    return joined.agg(n.alias("n_cells"), hit.alias("n_affected"), (n - hit).alias("n_unchanged"))

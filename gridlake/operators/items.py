@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlake.operators.evaluate import cell_id
+
 # Patterns of names that are no items, and words that mark totals and headers.
 NOISE = [
     r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}",
@@ -21,8 +23,12 @@ NOISE = [
 TOTALS = ["合计", "总计", "小计", "一、", "二、", "三、", "四、", "五、", "六、", "七、", "八、", "九、", "十、"]
 PARAMETER_NAMES, SERIES_NAMES = ("参数输入", "param"), ("时间序列", "time")
 SHORTEST = 3
-
-ITEM = "item_id string, sheet string, row int, name string, unit string, value_col int, ts_start int, ts_end int, has_time_series boolean, formula_source string, section string"
+# Texts of the third row that head a parameter sheet, the mark of tables, and names that head columns of parameters.
+HEADED_BY, TABLE_NAME = ("参数", "类别"), "表"
+NO_PARAMETERS = [
+    "项目", "单位", "合计", "总计", "小计", "参数", "操作类型", "类别", "序号", "取值说明", "备注", "数据结构化整理",
+    "收入/成本归类", "参数释义/计算公式", "数据来源", "填写说明", "参数名称", "参数值",
+]
 
 
 def is_noise(name: Column) -> Column:
@@ -41,15 +47,24 @@ def profile(cells: DataFrame) -> DataFrame:
     )
 
 
-def sheet_kind(name: Column) -> Column:
+def sheet_kind(name: Column, headed: Column | None = None) -> Column:
+    """parameter, series or table, by the sheet's name; `headed` (whether its third row has a parameter header) tells where the
+    name does not."""
     low = F.lower(name)
     return (
         F.when(name.contains(PARAMETER_NAMES[0]) | low.contains(PARAMETER_NAMES[1]), "parameter")
         .when(name.contains(SERIES_NAMES[0]) | low.contains(SERIES_NAMES[1]), "series")
-        .otherwise("table")
+        .when(name.contains(TABLE_NAME) | ~F.coalesce(headed if headed is not None else F.lit(False), F.lit(False)), "table")
+        .otherwise("parameter")
     )
 
 
+def kinds(cells: DataFrame) -> DataFrame:
+    """sheet, kind: a row for each sheet."""
+    header = (F.col("row") == 3) & F.col("v_str").isin(*HEADED_BY)
+    return cells.groupBy("sheet").agg(F.max(F.coalesce(header, F.lit(False))).alias("headed")).select("sheet", sheet_kind(F.col("sheet"), F.col("headed")).alias("kind"))
+
+
 def carried(cells: DataFrame, section: Column, order: str, *by: str) -> Column:
     """The last section marker at or above a row."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -70,6 +85,13 @@ def _values(cells: Column) -> Column:
     return F.filter(cells, lambda c: c["formula_raw"].isNotNull() | c["v_num"].isNotNull())
 
 
+def _linked(name_col: Column, value_col: Column) -> list[Column]:
+    """name_col, name_cell, value_cell, cell_ids: which cells make an item, by `cell_id`."""
+    whole = lambda k: F.when(k.isNotNull(), cell_id("sheet", "row", k))
+    ids = F.transform("cells", lambda c: cell_id("sheet", "row", c["col_ix"]))
+    return [name_col.alias("name_col"), whole(name_col).alias("name_cell"), whole(value_col).alias("value_cell"), ids.alias("cell_ids"), F.col("kind")]
+
+
 def at(cells: Column, col: int) -> Column:
     return F.try_element_at(F.filter(cells, lambda c: c["col_ix"] == col), F.lit(1))
 
@@ -78,11 +100,12 @@ def table_items(cells: DataFrame) -> DataFrame:
     """Items of table and series sheets. The name stands in column C, in B where C has no text; the leftmost
     formula or number is the value; the last short text is the unit. A series spans the formulas from the
     second on, or the numbers of rows with at most one formula and more than two (without: three) numbers."""
-    rows = _rows(cells).withColumn("kind", sheet_kind(F.col("sheet"))).where("kind <> 'parameter'")
+    rows = _rows(cells).join(kinds(cells), "sheet").where("kind <> 'parameter'")
     c, b = (F.when(at(F.col("cells"), k)["v_num"].isNull() & at(F.col("cells"), k)["formula_raw"].isNull(), at(F.col("cells"), k)["v_str"]) for k in (3, 2))
     series = F.col("kind") == "series"
     name = F.when(series, F.coalesce(b, c)).otherwise(F.coalesce(c, b))
-    rows = rows.withColumn("name", F.trim(name)).where(~is_noise(F.col("name")))
+    name_col = F.when(series, F.when(b.isNotNull(), 2).otherwise(3)).otherwise(F.when(c.isNotNull(), 3).otherwise(2))
+    rows = rows.withColumns({"name": F.trim(name), "name_at": name_col}).where(~is_noise(F.col("name")))
     for word in TOTALS:
         rows = rows.where(series | ~F.col("name").contains(word))
     outside = lambda x: ~x["col_ix"].isin(2, 3)
@@ -100,26 +123,30 @@ def table_items(cells: DataFrame) -> DataFrame:
         F.concat_ws("_", F.lit("BI"), "sheet", "row").alias("item_id"), "sheet", "row", "name", F.try_element_at(short, F.lit(-1))["v_str"].alias("unit"),
         col(F.col("values"), 1).alias("value_col"), start.alias("ts_start"), end.alias("ts_end"), start.isNotNull().alias("has_time_series"),
         F.try_element_at(formulas, F.lit(1))["formula_raw"].alias("formula_source"), F.lit(None).cast("string").alias("section"),
+        *_linked(F.col("name_at"), col(F.col("values"), 1)),
     )
 
 
 def parameter_items(cells: DataFrame) -> DataFrame:
     """Items of parameter sheets: name in D, value in I, unit in J, below the header; a text in B on a row without
-    values opens a section."""
-    rows = _rows(cells).where(sheet_kind(F.col("sheet")) == "parameter")
-    text = lambda k: F.when(at(F.col("cells"), k)["v_num"].isNull(), at(F.col("cells"), k)["v_str"])
-    rows = rows.select("sheet", "row", "cells", text(2).alias("b"), text(4).alias("name"), text(10).alias("unit"), at(F.col("cells"), 9).alias("value"))
-    opens = F.col("b").isNotNull() & (F.size(_values(F.col("cells"))) == 0)
-    header = F.when(F.col("name") == "参数", F.col("row"))
-    w = Window.partitionBy("sheet")
-    rows = rows.withColumn("header", F.coalesce(F.min(header).over(w), F.lit(1)))
-    rows = rows.withColumn("section", carried(rows, F.when(opens, F.col("b")), "row", "sheet")).where((F.col("row") > F.col("header")) & ~opens)
+    values (but in D and J) opens a section. Sections are carried down by one task for each sheet, of which a workbook allows a million rows."""
+    rows = _rows(cells).join(kinds(cells), "sheet").where("kind = 'parameter'")
+    text = lambda k: F.try_element_at(F.filter(_texts(F.col("cells")), lambda c: c["col_ix"] == k), F.lit(1))["v_str"]
+    unit = at(F.col("cells"), 10)
+    rows = rows.select(
+        "sheet", "row", "cells", "kind", F.trim(text(2)).alias("b"), F.trim(text(4)).alias("name"), F.coalesce(unit["v_str"], unit["v_num"].cast("string")).alias("unit"), at(F.col("cells"), 9).alias("value"),
+    )
+    opens = F.col("b").isNotNull() & ~F.exists(_values(F.col("cells")), lambda c: ~c["col_ix"].isin(2, 4, 10))
+    header = rows.groupBy("sheet").agg(F.coalesce(F.min(F.when(F.col("name") == "参数", F.col("row"))), F.lit(1)).alias("header"))
+    rows = rows.join(header, "sheet").where(F.col("row") > F.col("header"))
+    rows = rows.withColumn("section", carried(rows, F.when(opens, F.col("b")), "row", "sheet")).where(~opens)
     has_value = F.col("value.v_num").isNotNull() | F.col("value.formula_raw").isNotNull()
-    rows = rows.where(has_value & F.col("name").isNotNull() & ~is_noise(F.col("name")))
+    rows = rows.where(has_value & F.col("name").isNotNull() & ~F.col("name").isin(NO_PARAMETERS) & ~is_noise(F.col("name")))
     none = F.lit(None).cast("int")
     return rows.select(
-        F.concat_ws("_", F.lit("BI"), "sheet", "row").alias("item_id"), "sheet", "row", F.trim("name").alias("name"), "unit", F.lit(9).alias("value_col"),
+        F.concat_ws("_", F.lit("BI"), "sheet", "row").alias("item_id"), "sheet", "row", "name", "unit", F.lit(9).alias("value_col"),
         none.alias("ts_start"), none.alias("ts_end"), F.lit(False).alias("has_time_series"), F.col("value.formula_raw").alias("formula_source"), "section",
+        *_linked(F.lit(4), F.lit(9)),
     )
 
 
@@ -127,6 +154,31 @@ def items(cells: DataFrame) -> DataFrame:
     return parameter_items(cells).unionByName(table_items(cells))
 
 
+def item_edges(found: DataFrame) -> DataFrame:
+    """source, target, relation, fragment, role, period: what ties cells to the items `found`. Names and values of parameter and table
+    items BELONG_TO them, named cells are PART_OF_SECTION, and cells of a span are TIME_SERIES_OF their item, the period being
+    the column's number."""
+    empty = F.lit("")
+    pair = lambda source, role: F.struct(source.alias("source"), F.lit(role).alias("role"))
+    ends = F.explode(F.array(pair(F.col("name_cell"), "name"), pair(F.col("value_cell"), "value"))).alias("x")
+    belong = found.where("kind <> 'series'").select("item_id", ends).where("x.source IS NOT NULL")
+    belong = belong.select("x.source", F.col("item_id").alias("target"), F.lit("BELONGS_TO").alias("relation"), empty.alias("fragment"), "x.role", empty.alias("period"))
+    part = found.where("section IS NOT NULL").select(
+        F.col("name_cell").alias("source"), F.concat(F.lit("SECTION_"), "section").alias("target"), F.lit("PART_OF_SECTION").alias("relation"), empty.alias("fragment"), empty.alias("role"), empty.alias("period")
+    )
+    spans = found.where("has_time_series").select("item_id", F.explode("cell_ids").alias("source"), "ts_start", "ts_end")
+    at_col = F.element_at(F.split("source", "!"), -1).cast("int")
+    spans = spans.withColumn("k", at_col).where("k BETWEEN ts_start AND ts_end")
+    over = spans.select("source", F.col("item_id").alias("target"), F.lit("TIME_SERIES_OF").alias("relation"), empty.alias("fragment"), empty.alias("role"), F.col("k").cast("string").alias("period"))
+    return belong.unionByName(part).unionByName(over)
+
+
+def valued(found: DataFrame, values: DataFrame) -> DataFrame:
+    """item_id, name, sheet, row, unit, section, value: items with the number of their value cell (id, v_num), null where it has none."""
+    numbers = values.select(F.col("id").alias("value_cell"), F.col("v_num").alias("value"))
+    return found.join(numbers, "value_cell", "left").select("item_id", "name", "sheet", "row", "unit", "section", "value")
+
+
 def series(found: DataFrame, cells: DataFrame) -> DataFrame:
     """item_id, pos, col_ix, v_num: the numbers in each item's span, in order."""
     spans = found.where("has_time_series").select("item_id", "sheet", "row", "ts_start", "ts_end")

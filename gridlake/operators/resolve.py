@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from gridlake.operators import evaluate
+
 # Question forms and other names of common items.
 ASKS_VALUE = r"^(.+?)(?:是多少|为多少|多少钱|有多少|等于多少|的值|的数值)[？?]?$"
 WHAT_IF = r"如果(.+?)(变成|变为|改为|增加|减少)([\d.]+)(%?)[，,](.*)$"
@@ -115,3 +117,30 @@ def answers(questions: DataFrame, values: DataFrame) -> DataFrame:
     d = F.col("value") - F.col("other_value")
     percent = F.when(F.col("other_value") != 0, d / F.abs("other_value") * 100).when(F.col("other_value") == 0, 0.0)
     return rows.select("id", "kind", "name", "value", "other_name", "other_value", d.alias("difference"), percent.alias("percent"))
+
+
+def series_answers(questions: DataFrame, found: DataFrame, cells: DataFrame) -> DataFrame:
+    """id, name, year, col_ix, value for questions (id, question) that name a year: the numbers in the item's span under the columns
+    whose heading, in a row above, has that year; the whole span where no heading does. Of items with one name the last counts."""
+    asked = questions.select("id", intent(F.col("question")).alias("i")).where("i.year IS NOT NULL").select("id", "i.entity", "i.year")
+    spans = found.where("has_time_series").groupBy("name").agg(F.max_by(F.struct("sheet", "row", "ts_start", "ts_end"), F.struct("sheet", "row")).alias("s"))
+    spans = spans.select("name", "s.*")
+    wanted = asked.join(named(asked, spans), "entity").join(spans, "name").select("id", "name", "year", "sheet", "row", "ts_start", "ts_end")
+    inside = F.col("col_ix").between(F.col("ts_start"), F.col("ts_end"))
+    heads = cells.where("formula_raw IS NULL").select("sheet", F.col("row").alias("head_row"), "col_ix", F.regexp_extract(F.coalesce("v_str", F.col("v_num").cast("bigint").cast("string")), r"(?<!\d)((?:19|20)\d\d)(?!\d)", 1).alias("head"))
+    years = wanted.join(heads.where("head <> ''"), "sheet").where((F.col("head_row") < F.col("row")) & inside & (F.col("head") == F.col("year").cast("string"))).select("id", "col_ix").distinct()
+    values = wanted.join(cells.select("sheet", "row", "col_ix", F.col("v_num").alias("value")), ["sheet", "row"]).where(inside & F.col("value").isNotNull())
+    dated = years.select("id").distinct().withColumn("dated", F.lit(True))
+    picked = values.join(dated, "id", "left").join(years.withColumn("here", F.lit(True)), ["id", "col_ix"], "left")
+    return picked.where("dated IS NULL OR here").select("id", "name", "year", "col_ix", "value")
+
+
+def what_if(question: str, found: DataFrame, cells: DataFrame) -> DataFrame:
+    """item, id, old_num, old_str, new_num, new_str: the cells that change when the question comes true. The model's cells hold their
+    values; a question that is no what-if, or whose item is not found or has no value cell, changes nothing."""
+    asked = cells.sparkSession.createDataFrame([(question,)], "question string").select(intent(F.col("question")).alias("i")).select("i.*").where("kind = 'what_if' AND amount IS NOT NULL")
+    last = found.where("value_cell IS NOT NULL").groupBy("name").agg(F.max_by("value_cell", F.struct("sheet", "row")).alias("id"))
+    meant = asked.join(named(asked, last), "entity").join(last, "name").join(cells.select("id", "v_num"), "id")
+    new = changed(F.coalesce("v_num", F.lit(0.0)), F.col("action"), F.col("amount"), F.col("percent"))
+    edits = evaluate.graph.checkpoint(meant.select("name", "id", new.alias("v_num"), F.lit(None).cast("string").alias("v_str")))
+    return evaluate.recalculate(cells, edits.drop("name")).join(edits.select(F.col("name").alias("item")), how="cross")  # one row

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 NODE = "id string, type string, data string"
 EDGE = "source string, target string, relation string, fragment string, role string, period string"
 UPLOAD = "id long, filename string, file_hash string, upload_time timestamp, status string, sheet_count long, cell_count long, formula_count long, graph_path string, error string"
+VERSION = "id long, upload_id long, version_name string, created_at timestamp, graph_path string"
+COMPARISON = "id long, version_a long, version_b long, diff_path string, created_at timestamp"
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -76,3 +78,18 @@ def update_upload(registry: DataFrame, upload: int, **values: object) -> DataFra
 def uploads(registry: DataFrame, n: int | None = None) -> DataFrame:
     rows = registry.orderBy(F.desc("upload_time"), F.desc("id"))
     return rows if n is None else rows.limit(n)
+
+
+def add_version(versions: DataFrame, registry: DataFrame, upload: int, name: str) -> DataFrame:
+    """`versions` with a further one of an upload, under the next id; unchanged if there is no such upload."""
+    top = versions.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))  # one row
+    row = registry.where(F.col("id") == upload).select(F.col("id").alias("upload_id"), F.lit(name).alias("version_name"), F.current_timestamp().alias("created_at"), "graph_path")
+    return versions.unionByName(row.crossJoin(top).select(*versions.columns))
+
+
+def add_comparison(comparisons: DataFrame, versions: DataFrame, a: int, b: int, path: str) -> DataFrame:
+    """`comparisons` with one of two versions that both exist, under the next id."""
+    top = comparisons.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))  # one row
+    both = versions.where(F.col("id").isin(a, b)).agg(F.countDistinct("id").alias("n")).where(F.col("n") == len({a, b}))
+    row = both.select(F.lit(a).cast("long").alias("version_a"), F.lit(b).cast("long").alias("version_b"), F.lit(path).alias("diff_path"), F.current_timestamp().alias("created_at"))
+    return comparisons.unionByName(row.crossJoin(top).select(*comparisons.columns))
