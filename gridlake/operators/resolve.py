@@ -1,8 +1,8 @@
 """Questions about items: what is asked, which item is meant.
 
-Patterns are regular expressions over the question column; names are matched exactly, then through shared
-keywords and a similarity ratio. Questions meet only the names with which they share a pair of characters, so
-no question meets all names.
+Patterns are regular expressions over the question column; names are matched exactly, then through a similarity
+ratio. Questions meet only the names with which they share one of their rarest characters, as many as it takes to
+miss none that is alike enough.
 """
 
 from __future__ import annotations
@@ -72,19 +72,31 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def grams(name: Column) -> Column:
-    """Pairs of neighbouring characters; a single character is its own."""
-    n = F.length(name)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.substring(name, k, F.lit(2)))
-    return F.when(n > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+def letters(name: Column) -> Column:
+    """Characters of a name, each with how many of it stand before."""
+
+    def labelled(k: Column) -> Column:
+        c, before = F.substring(name, k, F.lit(1)), F.substring(name, F.lit(1), k - 1)
+        return F.struct(c.alias("c"), (F.length(before) - F.length(F.replace(before, c, F.lit("")))).alias("k"))
+
+    return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), labelled))
+
+
+def rarest(names: DataFrame, key: str, counts: DataFrame, least: float) -> DataFrame:
+    """`key` and letter: as many of a name's rarest letters as any name more than `least` alike must meet one of. Names alike share more
+    than least * n / (2 - least) letters, n being the length of either, for the other has at least as many as they share."""
+    n = F.length(key)
+    rows = names.select(key, n.alias("n"), F.explode(letters(F.col(key))).alias("letter")).join(counts, "letter", "left")
+    w = Window.partitionBy(key).orderBy(F.coalesce("names", F.lit(0)), "letter")
+    return rows.withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("n") - F.floor(F.col("n") * (least / (2 - least)) - 1e-9)).select(key, "letter")
 
 
 def fuzzy(questions: DataFrame, names: DataFrame, least: float = 0.4) -> DataFrame:
-    """entity, name, likeness: the best name for each distinct entity, the first by name of equals. Containment counts as
-    the ratio of lengths where that is more."""
-    left = questions.select("entity").distinct().withColumn("g", F.explode(grams(F.col("entity"))))
-    right = names.select("name").distinct().withColumn("g", F.explode(grams(F.col("name"))))
-    pairs = left.join(right, "g").select("entity", "name").distinct()
+    """entity, name, likeness: the best name for each distinct entity, the first by name of equals, if more than `least` alike.
+    Containment counts as the ratio of lengths where that is more. No name that alike is missed."""
+    asked, known = questions.select("entity").distinct(), names.select("name").distinct()
+    counts = known.select(F.explode(letters(F.col("name"))).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("names"))
+    pairs = rarest(asked, "entity", counts, least).join(rarest(known, "name", counts, least), "letter").select("entity", "name").distinct()
     inside = F.col("name").contains(F.col("entity")) | F.col("entity").contains(F.col("name"))
     lengths = F.least(F.length("name"), F.length("entity")) / F.greatest(F.length("name"), F.length("entity"))
     scored = pairs.withColumn("likeness", F.greatest(ratio("entity", "name"), F.when(inside, lengths).otherwise(0.0)))

@@ -1,5 +1,8 @@
 """Items, their edges, whole graphs and questions on small workbooks."""
 
+import difflib
+import itertools
+
 from pyspark.sql import functions as F
 
 from gridlake.functions import formula
@@ -71,3 +74,16 @@ def test_versions_and_comparisons(spark):
 
 def test_letters_of_columns(spark):
     assert spark.createDataFrame([("A",), ("Z",), ("AB",)], "c string").select(B._column(F.col("c")).alias("n")).collect() == [(1,), (26,), (28,)]
+
+
+def test_fuzzy_misses_no_name(spark):
+    words = ["".join(x) for n in (1, 2, 3) for x in itertools.product("ab成", repeat=n)] + ["营业收入", "入", "营业成本合计", "aabbaab成成", "x", ""]
+    asked = ["a", "成", "ab", "b成a", "收入", "入营", "成本", "zz", "aabb", "x收", ""]
+    for least in (0.35, 0.4, 0.8):
+        got = R.fuzzy(spark.createDataFrame([(q,) for q in asked], "entity string"), spark.createDataFrame([(w,) for w in words], "name string"), least)
+        want = {}
+        for q in asked:
+            best = min((-difflib.SequenceMatcher(None, q, w).ratio(), w.encode()) for w in words if w)
+            if q and -best[0] > least:
+                want[q] = best[1].decode()
+        assert {r.entity: r.name for r in got.collect()} == want
