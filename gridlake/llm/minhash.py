@@ -16,7 +16,9 @@ hold members of different components are finished exactly: all their members, le
 compared with each other, but for pairs that are in one component and pairs that cannot be alike. Those alike have
 all but `most` of the longer text's words in common, so they share one of their most + 1 rarest words (a repeated
 one told apart by its number; rare among these members), and their lengths differ by at most `most`. A passage that
-many texts share is not among the rarest words of a text unless nearly all of it is that passage. What meets is told apart
+many texts share is not among the rarest words of a text unless nearly all of it is that passage. Texts of LONG words or more
+have so many rare words that nearly any two share some, but few keys that they share with texts they are not alike to; they
+meet, and with shorter ones too, in their buckets. What meets is told apart
 by bits of its words, then by larger sketches, and only then aligned. So any two
 texts alike that have a common key end in one class. No bucket is capped or dropped.
 
@@ -58,6 +60,9 @@ LENGTH = 2
 #: Texts of fewer words have their single k-mers as keys too. Texts alike of which the shorter has up to 31 words
 #: both have, at the threshold of LEAST.
 SHORT = 40
+#: Texts of this many words or more meet by their buckets in the exact search, shorter ones by their rare words. Chosen by cost only:
+#: what is found is the same.
+LONG = 400
 #: Cells in which words, and keys, are counted to tell rare from common ones; the table of counts is what reaches the driver.
 CELLS_HELD = 1 << 17
 #: Longs that hold the bits of a text's words.
@@ -314,7 +319,7 @@ def _word_cells(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
-    """rep, size, bits, tokens: the most + 1 rarest words of each text, those after a first occurrence told apart by
+    """rep, size, bits, tokens: the most + 1 rarest words of each text under LONG words, those after a first occurrence told apart by
     their number, where `most` are the edits that the text allows; `bits` has one bit set for each word, by its hash.
     Rare is by `held`, the same for all, so that texts alike share one of these words whatever the counts are."""
 
@@ -326,20 +331,23 @@ def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
                 t = labelled_kmers(w.astype("i8"), 1)
                 bits = np.zeros(64 * BITS, "u1")
                 bits[t % np.uint64(64 * BITS)] = 1
-                order = np.lexsort((t, held[t % np.uint64(CELLS_HELD)]))
                 sizes.append(len(w))
                 all_bits.append(np.packbits(bits).view("i8"))
-                tokens.append(t[order[: int((1 - least) * len(w) + 1e-9) + 1]].view("i8"))
+                if len(w) < LONG:
+                    order = np.lexsort((t, held[t % np.uint64(CELLS_HELD)]))
+                    t = t[order[: int((1 - least) * len(w) + 1e-9) + 1]]
+                tokens.append(t.view("i8") if len(w) < LONG else None)
             lists = (pa.array(x, pa.list_(pa.int64())) for x in (all_bits, tokens))
             yield pa.RecordBatch.from_arrays([rep, pa.array(sizes, pa.int64()), *lists], names=["rep", "size", "bits", "tokens"])
 
     return texts.select(F.col("node").alias("rep"), "words").mapInArrow(run, "rep long, size long, bits array<long>, tokens array<long>")
 
 
-def _possible(texts: DataFrame, comp: DataFrame | None, least: float) -> DataFrame:
-    """leader, rep of all pairs of the texts that can be alike and are not in one component.
+def _possible(texts: DataFrame, buckets: DataFrame, comp: DataFrame | None, least: float) -> DataFrame:
+    """leader, rep of all pairs of the texts that can be alike, are not in one component and are in a common bucket of `buckets`
+    (bucket, rep); of pairs under LONG words, whatever their buckets are.
 
-    Texts meet by rare words first as groups, the members of one component that have the word, those of the smaller
+    A token is a rare word or a bucket. Texts meet by tokens first as groups, the members of one component that have the token, those of the smaller
     component first, so a large component makes no pairs with itself. Words that one text has and the other lacks are counted
     from below by the bits: of groups, by the bits that all members of one have and no member of the other. Most groups are
     single texts and settled as they meet; only those of several go back to their members."""
@@ -347,7 +355,10 @@ def _possible(texts: DataFrame, comp: DataFrame | None, least: float) -> DataFra
     about = _with_rare(texts, _sum_cells(texts.select("words"), _word_cells), least)
     about = about.withColumn("comp", F.col("rep")) if comp is None else about.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     about = cut(about)
-    members = about.select(F.explode("tokens").alias("token"), "comp", "rep")
+    # What may be alike to a text of LONG words or more.
+    shortest = LONG - int((1 - least) * LONG + 1e-9)
+    in_buckets = cut(buckets.join(about.where(F.col("size") >= shortest).select("rep", "comp"), "rep").select(F.col("bucket").alias("token"), "comp", "rep"))
+    members = about.select(F.explode("tokens").alias("token"), "comp", "rep").unionByName(in_buckets)
     shared = members.select("token", "comp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
     sharing = cut(members.join(shared.select("token"), "token", "left_semi"))
     members = sharing.join(about.select("rep", "size", "bits"), "rep")
@@ -373,7 +384,7 @@ def _possible(texts: DataFrame, comp: DataFrame | None, least: float) -> DataFra
     many = met.where("n_a > 1 OR n_b > 1").select("token", "comp_a", "comp_b")
     many = many.join(a, ["token", "comp_a"]).join(b, ["token", "comp_b"]).where(near).select("rep_a", "rep_b")
     pairs = cut(singles.unionByName(many).select(F.least("rep_a", "rep_b").alias("leader"), F.greatest("rep_a", "rep_b").alias("rep")).distinct())
-    discard(about, sharing, groups, met, whole)
+    discard(about, in_buckets, sharing, groups, met, whole)
     return _alike_by_sketch(pairs, texts, least)
 
 
@@ -469,10 +480,11 @@ def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
     compare(_apart(met, comp))
     if comp is not None:
         compare(_second(met, comp))
-    open_ = met.join(_apart(met, comp).select("bucket").distinct(), "bucket", "left_semi")
+    open_ = met.join(cut(_apart(met, comp).select("bucket").distinct()), "bucket", "left_semi")
     ids = cut(open_.select(F.explode(F.array("leader", "rep")).alias("node")).distinct())
     if not ids.isEmpty():
-        compare(_possible(cand.join(ids, "node", "left_semi"), comp, least))
+        in_open = open_.select("bucket", "rep").unionByName(open_.select("bucket", F.col("leader").alias("rep")).distinct())
+        compare(_possible(cand.join(ids, "node", "left_semi"), in_open, comp, least))
     if comp is not None:
         linked = nodes.join(comp.withColumnRenamed("rep", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         linked = cut(linked.withColumnRenamed("id", "least_id"))
