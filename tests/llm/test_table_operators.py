@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -216,6 +217,26 @@ def test_near_copies_within_a_passage_that_many_share(spark):
     assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == _brute(rows)
 
 
+def test_long_near_copies_within_a_passage_that_many_share(spark):
+    """Lengths on both sides of LONG, where texts meet in their buckets."""
+    texts = [t for k, n in enumerate((370, 400, 430, 600)) for t in _in_passage(k, n, 24, 0.6, n // 10)]
+    rows = list(enumerate(texts))
+    rows += [(len(rows) + k, " ".join(t.split(" ")[: -len(t.split(" ")) // 8])) for k, t in enumerate(texts[:60:5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == _brute(rows)
+
+
+def test_possible_pairs_of_long_texts_in_one_bucket(spark):
+    rng = random.Random(5)
+    base = [[f"{k}.{rng.randrange(200)}" for _ in range(rng.randint(340, 480))] for k in range(8)]
+    texts = base + [[f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in t] for t in base for share in (0.05, 0.15, 0.19, 0.3)]
+    rows = [(k, [zlib.crc32(w.encode()) >> 1 for w in t]) for k, t in enumerate(texts)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and minhash.alike(np.array(x), np.array(y), 0.8)}
+    buckets = spark.createDataFrame([(k % 2, n) for k in range(2) for n, _ in rows], "bucket long, rep long")
+    got = {(r.leader, r.rep) for r in minhash._possible(spark.createDataFrame(rows, "node long, words array<int>"), buckets, None, 0.8).collect()}
+    assert len(want) > 20 and want <= got
+
+
 def test_possible_pairs_hold_all_that_are_alike(spark):
     rng = random.Random(3)
     base = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 60))] for _ in range(15)]
@@ -224,8 +245,9 @@ def test_possible_pairs_hold_all_that_are_alike(spark):
     want = {(a, b) for a, x in rows for b, y in rows if a < b and minhash.alike(np.array(x), np.array(y), 0.8)}
     df = spark.createDataFrame(rows, "node long, words array<int>")
     comp = spark.createDataFrame([(k, 0) for k in range(1, 5)], "rep long, comp long")
+    none = spark.createDataFrame([], "bucket long, rep long")
     for known in (None, comp):
-        got = {(r.leader, r.rep) for r in minhash._possible(df, known, 0.8).collect()}
+        got = {(r.leader, r.rep) for r in minhash._possible(df, none, known, 0.8).collect()}
         assert {p for p in want if known is None or max(p) > 4} <= got
         assert known is None or all(b > 4 for _, b in got)
 
