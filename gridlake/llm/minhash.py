@@ -12,15 +12,17 @@ Copies (equal word sequences) are one node and take part once. In each bucket of
 node of the least id, its leader, is compared with the others, so a bucket of any size gives no more pairs than it
 has members, and where most pairs are true, as among near copies, the leader joins them all. What is not alike to the leader is
 compared with one more of each bucket, which is in one component with the leader. Buckets that still
-hold members of different components are finished exactly: all their members, leaders and linked ones too, are
-compared with each other, but for pairs that are in one component and pairs that cannot be alike. Those alike have
+hold members of different components are finished exactly: all pairs of one such bucket, leaders and linked ones too, are
+compared, but for pairs that are in one component and pairs that cannot be alike. Those alike have
 all but `most` of the longer text's words in common, so they share one of their most + 1 rarest words (a repeated
 one told apart by its number; rare among these members), and their lengths differ by at most `most`. A passage that
 many texts share is not among the rarest words of a text unless nearly all of it is that passage. Texts of LONG words or more
 have so many rare words that nearly any two share some, but few keys that they share with texts they are not alike to; they
-meet, and with shorter ones too, in their buckets. What meets is told apart
-by bits of its words, then by larger sketches, and only then aligned. So any two
-texts alike that have a common key end in one class. No bucket is capped or dropped.
+meet in their buckets, with shorter ones too, and not by words. What meets is told apart by bits of its words, then by larger
+sketches; of pairs that met by words only those of a common bucket stay; what is left is aligned. No bucket is capped or dropped.
+
+A link is a pair of texts that are alike and share a key, whatever their lengths are and whatever else the table holds; how a
+pair meets is a matter of cost. So classes are the components of these links, and any two texts alike that share a key are in one.
 
 Texts under SHORT words have each single k-mer as a further key, so any two of them with a common k-mer meet.
 
@@ -60,8 +62,8 @@ LENGTH = 2
 #: Texts of fewer words have their single k-mers as keys too. Texts alike of which the shorter has up to 31 words
 #: both have, at the threshold of LEAST.
 SHORT = 40
-#: Texts of this many words or more meet by their buckets in the exact search, shorter ones by their rare words. Chosen by cost only:
-#: what is found is the same.
+#: Texts of this many words or more meet by their buckets in the exact search, shorter ones by their rare words, of which pairs
+#: without a common bucket are dropped. Chosen by cost only: either way the pairs alike of a common bucket are found.
 LONG = 400
 #: Cells in which words, and keys, are counted to tell rare from common ones; the table of counts is what reaches the driver.
 CELLS_HELD = 1 << 17
@@ -345,7 +347,7 @@ def _with_rare(texts: DataFrame, held: np.ndarray, least: float) -> DataFrame:
 
 def _possible(texts: DataFrame, buckets: DataFrame, comp: DataFrame | None, least: float) -> DataFrame:
     """leader, rep of all pairs of the texts that can be alike, are not in one component and are in a common bucket of `buckets`
-    (bucket, rep); of pairs under LONG words, whatever their buckets are.
+    (bucket, rep); of pairs under LONG words those without a common bucket too, which `_in_one_bucket` drops.
 
     A token is a rare word or a bucket. Texts meet by tokens first as groups, the members of one component that have the token, those of the smaller
     component first, so a large component makes no pairs with itself. Words that one text has and the other lacks are counted
@@ -388,6 +390,15 @@ def _possible(texts: DataFrame, buckets: DataFrame, comp: DataFrame | None, leas
     return _alike_by_sketch(pairs, texts, least)
 
 
+def _in_one_bucket(pairs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The pairs that share a bucket, each once. Those of long texts do; those that met by words may not."""
+    pairs = cut(pairs)
+    ids = pairs.select(F.explode(F.array("leader", "rep")).alias("rep")).distinct()
+    own = cut(buckets.join(ids, "rep", "left_semi"))
+    of_leader = pairs.join(own.withColumnRenamed("rep", "leader"), "leader")
+    return of_leader.join(own, ["rep", "bucket"], "left_semi").select("leader", "rep").distinct()
+
+
 def _alike_by_sketch(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs that can be alike by sketches of their texts: bits as in `_with_rare`, but a number of them that grows with the
     text, so that those of long texts are not all set. Sketches are far smaller than texts, which only what is left needs."""
@@ -484,7 +495,8 @@ def _classed(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
     ids = cut(open_.select(F.explode(F.array("leader", "rep")).alias("node")).distinct())
     if not ids.isEmpty():
         in_open = open_.select("bucket", "rep").unionByName(open_.select("bucket", F.col("leader").alias("rep")).distinct())
-        compare(_possible(cand.join(ids, "node", "left_semi"), in_open, comp, least))
+        in_open = cut(in_open)
+        compare(_in_one_bucket(_possible(cand.join(ids, "node", "left_semi"), in_open, comp, least), in_open))
     if comp is not None:
         linked = nodes.join(comp.withColumnRenamed("rep", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         linked = cut(linked.withColumnRenamed("id", "least_id"))

@@ -226,6 +226,27 @@ def test_long_near_copies_within_a_passage_that_many_share(spark):
     assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == _brute(rows)
 
 
+def test_links_follow_neither_lengths_nor_other_rows(spark):
+    """Pairs at the threshold, and pairs with a fifth of their runs in common, of lengths on both sides of LONG: alone, and with
+    texts that share a large part of one of them. Which are linked is the same for all lengths of the first kind (no key in
+    common, so none), and for each pair whether it has company or not."""
+    alone, company = [], []
+    for n in (36, 44, 300, 395, 405, 600):
+        for kind, every in (("at", 5), ("near", 12)):
+            a = [f"{kind}{n}.{k}" for k in range(n)]
+            b = [f"{w}x" if k % every == every // 2 else w for k, w in enumerate(a)]
+            run = int(0.6 * n)
+            alone += [a, b]
+            company += [x[:run] + [f"{w}y" for w in x[run:]] for x in (a, b)]
+    rows = list(enumerate(" ".join(t) for t in alone))
+    more = list(enumerate((" ".join(t) for t in company), len(rows)))
+    frames = [spark.createDataFrame(x, "doc_id long, text string") for x in (rows, rows + more)]
+    one, two = ({r.doc_id: r.class_id for r in minhash.classes(df).collect()} for df in frames)
+    linked = [one[k] == one[k + 1] for k in range(0, len(rows), 2)]
+    assert linked == [False, True] * 6
+    assert linked == [two[k] == two[k + 1] for k in range(0, len(rows), 2)]
+
+
 def test_possible_pairs_of_long_texts_in_one_bucket(spark):
     rng = random.Random(5)
     base = [[f"{k}.{rng.randrange(200)}" for _ in range(rng.randint(340, 480))] for k in range(8)]
