@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe, chat, html_text, minhash, mixing, pii, quality, spotsigs, toxicity, urls
+from gridlake.llm import bpe, chat, html_text, minhash, mixing, negatives, pii, quality, spelling, spotsigs, tiles, toxicity, urls
 from gridlake.llm.common import table
 
 
@@ -78,5 +78,25 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_spotsigs": op5_spotsigs, "op6_minhash": op6_minhash, "op7_pii": op7_pii, "op8_urls": op8_urls, "op9_mixing": op9_mixing, "op10_html": op10_html}
-ORACLES: dict[str, str] = {"op1_quality": quality.SQL, "op2_chat": chat.SQL, "op8_urls": urls.sql(urls.RULES, urls.BLOCK_WORDS)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: Anchors are the vectors whose id is divisible by the first number; where it is divisible by the second, the label is moved on by one.
+ANCHOR_EVERY, TWIST_EVERY = 100, 7
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twisted = F.when(F.col("vec_id") % TWIST_EVERY == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % ANCHOR_EVERY == 0, label=twisted)
+
+
+def op13_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_spotsigs": op5_spotsigs, "op6_minhash": op6_minhash, "op7_pii": op7_pii, "op8_urls": op8_urls, "op9_mixing": op9_mixing, "op10_html": op10_html, "op11_spelling": op11_spelling, "op12_negatives": op12_negatives, "op13_tiles": op13_tiles}
+ORACLES: dict[str, str] = {
+    "op1_quality": quality.SQL, "op2_chat": chat.SQL, "op8_urls": urls.sql(urls.RULES, urls.BLOCK_WORDS),
+    "op12_negatives": negatives.SQL.format(every=ANCHOR_EVERY, twist=TWIST_EVERY), "op13_tiles": tiles.SQL,
+}
