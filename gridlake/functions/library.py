@@ -1,8 +1,8 @@
 """The spreadsheet function library as column expressions.
 
 Ranges are arrays of doubles in row-major order, blanks as nulls; a blank counts as 0 in SUM, AVERAGE, MIN, MAX
-and COUNT. Functions that iterate to a solution (IRR, XIRR) are vectorised Python functions over arrays, as is
-ROUND, whose ties follow the exact binary value. Everything else stays in the JVM. ``FUNCTIONS`` lists all by
+and COUNT. Functions that iterate to a solution (IRR, XIRR) are vectorised Python functions over arrays. Everything
+else stays in the JVM. ``FUNCTIONS`` lists all by
 name, and ``register`` makes the scalar ones callable from SQL.
 """
 
@@ -24,13 +24,48 @@ EPOCH = "1899-12-30"
 # Arithmetic -----------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(DoubleType())
-def _round(x: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else round(float(a), int(b)) for a, b in zip(x, n, strict=True)], dtype="float64")
+#: Powers of ten that a double holds exactly.
+_TENS = [10.0**k for k in range(23)]
+_SPLIT, _WHOLE = 134217729.0, 2.0**52
+
+
+def ten_to(n: Column) -> Column:
+    """10 to the absolute value of n, up to 22."""
+    return F.element_at(F.array(*map(F.lit, _TENS)), F.least(F.abs(n), F.lit(22)) + 1)
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as a sum of two with half as many digits."""
+    high = x * _SPLIT - (x * _SPLIT - x)
+    return high, x - high
+
+
+def _at_places(x: Column, n: Column) -> Column:
+    """|x| rounded to n >= 0 places. The product with a power of ten is kept with its rounding error, so that ties are those of the exact binary value."""
+    power = ten_to(n)
+    p = x * power
+    (a, b), (c, d) = _halves(x), _halves(power)
+    error = ((a * c - p) + a * d + b * c) + b * d
+    whole = F.floor(p).cast("double")
+    beyond = (p - (whole + 0.5)) + error
+    up = (beyond > 0) | ((beyond == 0) & (whole % 2 == 1))
+    return F.when((p >= _WHOLE) | F.isnan(p), x).otherwise(F.when(up, whole + 1).otherwise(whole) / power)
+
+
+def _at_tens(x: Column, n: Column) -> Column:
+    """|x| rounded to a multiple of 10^-n, n < 0; the remainder of doubles is exact."""
+    power = ten_to(n)
+    rest = x % power
+    low = (x - rest) / power
+    up = (rest > power / 2) | ((rest == power / 2) & (low % 2 == 1))
+    return F.when(up, low + 1).otherwise(low) * power
 
 
 def ROUND(x: Column, n: Column | int = 0) -> Column:
-    return _round(x.cast("double"), F.lit(n) if isinstance(n, int) else n)
+    """To the nearest; ties, of the exact binary value, to the even digit. Stays in the JVM."""
+    x, n = x.cast("double"), F.lit(n) if isinstance(n, int) else n
+    size = F.abs(x)
+    return F.when(x < 0, -1.0).otherwise(1.0) * F.when(n >= 0, _at_places(size, n)).otherwise(_at_tens(size, n))
 
 
 def _scaled(x: Column, n: int, how: Callable[[Column], Column]) -> Column:
@@ -141,13 +176,26 @@ def CONCATENATE(*parts: Column) -> Column:
 # Dates: serial numbers count days from EPOCH ---------------------------------------------------------------------
 
 
-def to_date(x: Column) -> Column:
-    """A date from a date, a serial number above 1000 or text in one of five forms; otherwise 1900-01-01."""
-    text = x.cast("string")
+#: The day of what is no date, and the number above which a number counts days.
+NO_DATE, LEAST_SERIAL = "1900-01-01", 1000
+
+
+def of_serial(x: Column) -> Column:
+    """The date of a serial number above LEAST_SERIAL, else null."""
+    return F.when(x > LEAST_SERIAL, F.date_add(F.lit(EPOCH).cast("date"), F.floor(x).cast("int")))
+
+
+def dated(text: Column) -> Column:
+    """The date of a text in one of five forms, else null."""
     forms = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/M/d", "M/d/yyyy", "d-M-yyyy"]
-    number = text.try_cast("double")
-    serial = F.when(number > 1000, F.date_add(F.lit(EPOCH).cast("date"), F.floor(number).cast("int")))
-    return F.coalesce(serial, *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in forms], F.lit("1900-01-01").cast("date"))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in forms])
+
+
+def to_date(x: Column, is_text: bool = False) -> Column:
+    """A date from a date, a serial number or a text in one of five forms; otherwise NO_DATE. With `is_text` digits are no serial number."""
+    text = x.cast("string")
+    serial = F.lit(None).cast("date") if is_text else of_serial(text.try_cast("double"))
+    return F.coalesce(serial, dated(text), F.lit(NO_DATE).cast("date"))
 
 
 def serial(d: Column) -> Column:
@@ -318,6 +366,18 @@ FUNCTIONS: dict[str, Callable] = {
 ERRORS = {"MATCH": NA, "VLOOKUP": NA, "INDEX": REF, "CHOOSE": VALUE}
 
 
+def _round_sql() -> str:
+    """ROUND of x and n as SQL text."""
+    size, ten = "abs(x)", f"element_at(array({', '.join(f'{t!r}D' for t in _TENS)}), least(abs(n), 22) + 1)"
+    halves = lambda v: (h := f"({v} * {_SPLIT}D - ({v} * {_SPLIT}D - {v}))", f"({v} - {h})")
+    (a, b), (c, d), p = halves(size), halves(ten), f"({size} * {ten})"
+    beyond = f"(({p} - (floor({p}) + 0.5D)) + ((({a} * {c} - {p}) + {a} * {d} + {b} * {c}) + {b} * {d}))"
+    places = f"CASE WHEN {p} >= {_WHOLE}D OR isnan({p}) THEN {size} ELSE CAST(floor({p}) + CASE WHEN {beyond} > 0 OR ({beyond} = 0 AND floor({p}) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / {ten} END"
+    rest = f"({size} % {ten})"
+    tens = f"(({size} - {rest}) / {ten} + CASE WHEN {rest} > {ten} / 2 OR ({rest} = {ten} / 2 AND (({size} - {rest}) / {ten}) % 2 = 1) THEN 1 ELSE 0 END) * {ten}"
+    return f"sign(x) * CASE WHEN n >= 0 THEN {places} ELSE {tens} END"
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes scalar functions callable from SQL, as SQL functions of the session; returns their names."""
     bodies = {
@@ -326,9 +386,9 @@ def register(spark: SparkSession) -> list[str]:
         "xl_edate": ("d DATE, m INT", "INT", f"datediff(add_months(d, m), DATE'{EPOCH}')"),
         "xl_pmt": ("rate DOUBLE, nper DOUBLE, pv DOUBLE", "DOUBLE", "CASE WHEN nper = 0 THEN NULL WHEN rate = 0 THEN -pv / nper ELSE -rate * pv * pow(1 + rate, nper) / nullif(pow(1 + rate, nper) - 1, 0D) END"),
         "xl_num": ("s STRING", "DOUBLE", "coalesce(try_cast(s AS DOUBLE), 0D)"),
+        "xl_round": ("x DOUBLE, n INT", "DOUBLE", _round_sql()),
     }
     for name, (args, kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
-    spark.udf.register("xl_round", _round)
     spark.udf.register("xl_irr", IRR)
-    return [*bodies, "xl_round", "xl_irr"]
+    return [*bodies, "xl_irr"]

@@ -37,8 +37,8 @@ def loose_edges(parsed: DataFrame) -> DataFrame:
 def dependencies(cells: DataFrame) -> DataFrame:
     """src, tgt: what formulas name, read or not, among cells that exist; each pair once."""
     parsed = formula.parsed(cells)
-    named = evaluate.reference_cells(parsed.where("error IS NULL")).select("src", "tgt").unionByName(loose_edges(parsed)).distinct()
-    return named.join(cells.select(F.col("id").alias("tgt")), "tgt", "left_semi").select("src", "tgt")
+    loose = loose_edges(parsed).join(cells.select(F.col("id").alias("tgt")), "tgt", "left_semi").select("src", "tgt")
+    return evaluate.edges_of(cells, parsed.where("error IS NULL")).unionByName(loose).distinct()
 
 
 def build(cells: DataFrame) -> Graph:

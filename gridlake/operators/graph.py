@@ -7,21 +7,46 @@ follow the depth of the graph, not its size.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder that spark.checkpoint.dir names; where that is unset, in a local one if Spark runs on one
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where that is unset, a local one if Spark runs on one
     machine, otherwise it is an error, for executors would write where others cannot read."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridlake-"))
-    return df.checkpoint()
+        named = "file://" + tempfile.mkdtemp(prefix="gridlake-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage: the table is written into the shared folder, once, and read from there, until the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gridlake-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def clean() -> None:
+    """Deletes what `checkpoint` has written."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def precedents(edges: DataFrame, node: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.functions import formula, kernel
+from gridlake.functions import compile as C
+from gridlake.functions import formula
 from gridlake.operators import evaluate as E
 from gridlake.operators import items as I
 from gridlake.plans.registry import load, query
@@ -107,7 +108,7 @@ SELECT count(*)::bigint AS total, count(*) FILTER (form IN ('1', '2', '3'))::big
 def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many formulas can be read and use known functions only."""
     p = formula.parsed(formulas(spark, sf_dir)).withColumn("calls", F.filter("program", lambda i: i["op"] == "call")["text"])
-    known = F.forall("calls", lambda c: c.isin(*kernel.FUNCTIONS))
+    known = F.forall("calls", lambda c: c.isin(*C.KNOWN))
     covered = F.col("error").isNull() & known
     n, all_ = F.count_if(covered), F.count(F.lit(1))
     return p.agg(
