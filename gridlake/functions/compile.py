@@ -262,7 +262,8 @@ def _aggregated(name: str, args: list) -> V:
 
 def _rounded(args: list[V], up: bool | None) -> V:
     x, n = number(args[0]), (number(args[1]).cast("int") if len(args) > 1 else F.lit(0))
-    near = L.ROUND(x, n)
+    # Inside a lambda the argument is computed once and the generated code stays small.
+    near = F.transform(F.array(F.struct(x.alias("x"), n.alias("n"))), lambda v: L.ROUND(v["x"], v["n"]))[0]
     if up is None:
         return _num(near)
     power = L.ten_to(n)
@@ -342,6 +343,8 @@ def value(tree: list) -> V:
     if op == "part":
         held = F.try_element_at("env", F.lit(-1 - rest[0]))
         return V(held["n"], held["s"], "any")
+    if op == "held":
+        return V(F.col(f"_n{rest[0]}"), no_text() if rest[1] in ("num", "bool") else F.col(f"_s{rest[0]}"), rest[1])
     if op == "op":
         return _operated(rest[0], [value(x) for x in rest[1:]])
     name, args = rest[0], rest[1:]
@@ -353,6 +356,32 @@ def value(tree: list) -> V:
     return made([value(a) for a in args]) if least <= len(args) <= most else _text(f"#ERROR: {name}")
 
 
+def bound(trees: dict[str, list], whole: bool) -> tuple[list[dict[str, dict[str, Column]]], dict[str, list]]:
+    """Columns to compute first, stage by stage, and what is left of each tree: every reference, operation and call of a tree becomes two columns (_n and _s with its
+    place), so that what reads it several times does not compute it again, and expressions grow with the formula, not with the power of its depth. The
+    trees share columns. A tree that is not taken `whole` keeps its outermost call."""
+    stages: list[dict[str, dict[str, Column]]] = []
+
+    def walked(tree: list, name: str, used: dict[int, int], keep: bool = False) -> tuple[list, int]:
+        if tree[0] not in ("ref", "part", "op", "call"):
+            return tree, 0
+        below = [walked(x, name, used) for x in tree[2:]] if tree[0] in ("op", "call") else []
+        tree = [*tree[:2], *(x for x, _ in below)]
+        height = max([0, *(h for _, h in below)])
+        if keep:
+            return tree, height
+        v = value(tree)
+        while len(stages) <= height:
+            stages.append({})
+        at = f"{height}_{used.setdefault(height, 0)}"
+        used[height] += 1
+        stages[height].setdefault(f"_n{at}", {})[name] = v.num
+        stages[height].setdefault(f"_s{at}", {})[name] = v.txt
+        return ["held", at, v.kind], height + 1
+
+    return stages, {name: walked(tree, name, {}, not whole)[0] for name, tree in trees.items()}
+
+
 def refs_in(tree: list) -> set[int]:
     return {tree[1]} if tree[0] == "ref" else {k for x in tree[2:] for k in refs_in(x)} if tree[0] in ("op", "call") else set()
 

@@ -133,16 +133,27 @@ def _stats(model: _Model, todo: DataFrame, values: DataFrame) -> DataFrame:
 STATS = "map<int,struct<area:double,total:double,lo:double,hi:double,cells:double,bad:double,texts:double,true:double>>"
 
 
-def _by_shape(rows: DataFrame, shapes: list[str], made) -> DataFrame:
-    """`rows` with the columns that `made` gives for the tree of their shape (names and expressions), a few shapes in one projection."""
+def _by_shape(rows: DataFrame, shapes: list[str], made, whole: bool | None = True) -> DataFrame:
+    """`rows` with the columns that `made` gives for the tree of their shape (names and expressions), a few shapes in one projection. What the trees hold
+    is computed first, stage by stage, but for their outermost call if they are not taken `whole`, and not at all if that is None."""
     out = None
     for k in range(0, len(shapes), SHAPES):
-        some = shapes[k : k + SHAPES]
-        each = [made(json.loads(s)) for s in some]
-        pick = lambda c: reduce(lambda w, x: w.when(F.col("shape") == x[0], x[1][c]), zip(some[1:], each[1:], strict=True), F.when(F.col("shape") == some[0], each[0][c]))  # noqa: B023, E731
-        part = rows.where(F.col("shape").isin(some)) if len(shapes) > SHAPES else rows
-        part = part.withColumns({c: pick(c) for c in each[0]})
-        out = part if out is None else out.unionByName(part)
+        trees = {s: json.loads(s) for s in shapes[k : k + SHAPES]}
+        part = rows.where(F.col("shape").isin(list(trees))) if len(shapes) > SHAPES else rows
+        stages, trees = ([], trees) if whole is None else C.bound(trees, whole)
+        for stage in stages:
+            part = part.withColumns({c: _picked(each) for c, each in stage.items()})
+        each = {s: made(t) for s, t in trees.items()}
+        part = part.withColumns({c: _picked({s: e[c] for s, e in each.items()}) for c in next(iter(each.values()))})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _picked(each: dict[str, Column]) -> Column:
+    """The expression of a row's shape."""
+    out = F
+    for shape, column in each.items():
+        out = out.when(F.col("shape") == shape, column)
     return out
 
 
@@ -182,7 +193,7 @@ def _with_arguments(rows: DataFrame, shapes: list[str]) -> DataFrame:
             each.append(one(C.no_num(), C.no_text(), a[1]) if v is None else one(v.num, v.txt, None))
         return {"args": F.array(*each)}
 
-    return _by_shape(rows, shapes, made).select("id", "args")
+    return _by_shape(rows, shapes, made, whole=False).select("id", "args")
 
 
 def _spans(model: _Model, asked: DataFrame, at: str) -> DataFrame:
@@ -355,7 +366,7 @@ def _along_chains(model: _Model, rest: DataFrame, ready: DataFrame, edges: DataF
         pick = lambda c: reduce(lambda w, k: F.when(F.col("unknown") == k, ways[k][c]).otherwise(w), [k for k, w in ways.items() if w], C.no_num())
         return {"a": pick(0), "b": pick(1)}
 
-    maps = graph.checkpoint(_by_shape(rows, shapes, made).where("a IS NOT NULL AND b IS NOT NULL").select("id", "prev", "a", "b"))
+    maps = graph.checkpoint(_by_shape(rows, shapes, made, whole=None).where("a IS NOT NULL AND b IS NOT NULL").select("id", "prev", "a", "b"))
     if maps.join(maps.select(F.col("id").alias("prev")), "prev", "left_semi").count() < CHAINED:
         return None
     base = graph.checkpoint(_step(model, ready, values))

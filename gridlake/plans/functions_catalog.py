@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import coerce
 from gridlake.functions import library as L
+from gridlake.operators import lookup
 from gridlake.plans.registry import load, money, query
 
 
@@ -232,24 +233,14 @@ SELECT p_partkey AS partkey, (SELECT max(starts) FROM bands b WHERE b.starts <=
   (SELECT min(size) FROM bands c WHERE c.starts = (SELECT max(starts) FROM bands b WHERE b.starts <= p.p_retailprice))::int AS band FROM part p
 """)
 def lookup_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VLOOKUP with an approximate match is an as-of join: keys and values in one order, the last key carried on.
-    Rows are dealt by ranges of price, so no task sees them all; each range starts from the last band before it."""
+    """VLOOKUP with an approximate match is an as-of join: keys and values in one order, dealt by ranges of it, the last key
+    carried over the borders."""
     part = load(spark, sf_dir, "part")
-    bands = part.groupBy(F.col("p_size").alias("size")).agg(F.min("p_retailprice").alias("starts")).groupBy("starts").agg(F.min("size").alias("band"))
-    width = 50.0
-    slot = lambda x: F.floor(x / width)
-    # Every slot of prices knows the bands inside it and the last one before it. There are few slots.
-    inside = bands.withColumn("slot", slot(F.col("starts")))
-    tops = inside.groupBy("slot").agg(F.max_by(F.struct("starts", "band"), "starts").alias("top"))
-    slots = part.select(slot(F.col("p_retailprice")).alias("slot")).distinct().join(tops, "slot", "full_outer")
-    above = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = slots.select("slot", F.last("top", ignorenulls=True).over(above).alias("before"))
-    within = inside.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("starts", "band"))).alias("here"))
-    p = part.select(F.col("p_partkey").alias("partkey"), F.col("p_retailprice").alias("price"), slot(F.col("p_retailprice")).alias("slot"))
-    joined = p.join(within, "slot", "left").join(earlier, "slot", "left")
-    fits = F.filter(F.coalesce("here", F.array().cast("array<struct<starts:double,band:int>>")), lambda b: b["starts"] <= F.col("price"))
-    found = F.when(F.size(fits) > 0, F.element_at(fits, -1)).otherwise(F.col("before"))
-    return joined.select("partkey", found["starts"].alias("band_start"), found["band"].cast("int").alias("band"))
+    bands = part.groupBy(F.col("p_size").alias("size")).agg(F.min("p_retailprice").alias("price")).groupBy("price").agg(F.min("size").alias("size"))
+    entries = bands.select(F.lit(0).alias("sheet"), "price", F.struct("price", "size").alias("band"))
+    asked = part.select(F.lit(0).alias("sheet"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("partkey"))
+    found = lookup.last_not_after(entries, asked, ["sheet"], "price", "band")
+    return found.select("partkey", F.col("band.price").alias("band_start"), F.col("band.size").cast("int").alias("band"))
 
 
 @query("""

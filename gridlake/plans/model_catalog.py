@@ -76,6 +76,76 @@ def model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.groupBy(at[1].cast("int").alias("row")).agg(col(6).alias("picked"), F.round(col(7), 6).alias("found"))
 
 
+def _sheet(rows: DataFrame, sheet: str, row: str, columns: dict[int, F.Column]) -> DataFrame:
+    """Cells of a sheet: for each row a cell in each of the columns, a number or, if the expression is text, a formula."""
+    kinds = dict(rows.select(*[c.alias(str(k)) for k, c in columns.items()]).dtypes)
+    cell = lambda k, c: F.struct(F.lit(k).alias("col_ix"), (F.lit(None) if kinds[str(k)] == "string" else c).cast("double").alias("v_num"), (c if kinds[str(k)] == "string" else F.lit(None)).cast("string").alias("formula_raw"))
+    each = F.explode(F.array(*[cell(k, c) for k, c in columns.items()]))
+    return E.with_ids(rows.select(F.lit(sheet).alias("sheet"), F.col(row).cast("int").alias("row"), each.alias("x")).select("sheet", "row", "x.col_ix", "x.v_num", F.lit(None).cast("string").alias("v_str"), "x.formula_raw"))
+
+
+def _wide(values: DataFrame, sheet: str, columns: dict[int, str]) -> DataFrame:
+    """row and the named columns of a sheet's values."""
+    at = F.split("id", "!")
+    picked = [F.max(F.when(at[2] == str(k), F.col("v_num"))).alias(c) for k, c in columns.items()]
+    return values.where(at[0] == sheet).groupBy(at[1].cast("int").alias("row")).agg(*picked)
+
+
+@query("""
+WITH c AS (SELECT c_custkey + 1 AS k, c_acctbal::decimal(18,2) AS a, count(*) OVER w AS n, sum(c_acctbal::decimal(18,2)) OVER w AS total, max(c_acctbal) OVER w AS top, min(c_acctbal) OVER w AS low FROM customer WINDOW w AS (ORDER BY c_custkey))
+SELECT k::int AS "row", round(total::double, 2) AS total, round(total::double, 2) / k AS mean, CASE WHEN n < k THEN greatest(top, 0) ELSE top END AS top, CASE WHEN n < k THEN least(low, 0) ELSE low END AS low, k::double AS n FROM c
+""")
+def running_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of all balances so far, a range from the first row to each: SUM(A$1:Ak), as in a year-to-date column."""
+    c = load(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("row"), "c_acctbal")
+    upto = F.concat(F.lit("(A$1:A"), F.col("row").cast("string"), F.lit(")"))
+    made = {k: F.concat(F.lit(f"={f}"), upto) for k, f in ((2, "SUM"), (4, "MAX"), (5, "MIN"), (6, "COUNT"))}
+    # Rounded to cents in the model, so that the order of the sum does not show.
+    made[2], made[3] = F.concat(F.lit("=ROUND(SUM"), upto, F.lit(",2)")), F.concat(F.lit("=ROUND(SUM"), upto, F.lit(",2)/COUNT"), upto)
+    values = E.evaluate(_sheet(c, "Flow", "row", {1: F.col("c_acctbal"), **made}))
+    return _wide(values, "Flow", {2: "total", 3: "mean", 4: "top", 5: "low", 6: "n"})
+
+
+@query("""
+SELECT (c_custkey + 1)::int AS "row", round((sum(c_acctbal::decimal(18,2)) OVER (ORDER BY c_custkey))::double, 2) AS closing FROM customer
+""")
+def roll_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closing balances, each the one above plus the row's own: a chain as long as the table."""
+    c = load(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("row"), "c_acctbal")
+    r = F.col("row").cast("string")
+    above = F.when(F.col("row") > 1, F.concat(F.lit("=B"), (F.col("row") - 1).cast("string"), F.lit("+A"), r)).otherwise(F.concat(F.lit("=A"), r))
+    values = E.evaluate(_sheet(c, "Roll", "row", {1: F.col("c_acctbal"), 2: above}))
+    return _wide(values, "Roll", {2: "closing"}).select("row", F.round("closing", 2).alias("closing"))
+
+
+@query("""
+SELECT (c_custkey + 1)::int AS "row", round((c_acctbal + 0.5) / 0.75, 2) AS debt, round((c_acctbal + 2) / 1.5, 2) AS interest FROM customer
+""")
+def circular_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debt that follows from interest that follows from debt: a cycle of two cells for each customer, all iterated together."""
+    c = load(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("row"), "c_acctbal")
+    r = F.col("row").cast("string")
+    debt, interest = F.concat(F.lit("=C"), r, F.lit("*0.5+A"), r), F.concat(F.lit("=B"), r, F.lit("*0.5+1"))
+    values = E.evaluate(_sheet(c, "Loan", "row", {1: F.col("c_acctbal"), 2: debt, 3: interest}))
+    return _wide(values, "Loan", {2: "debt", 3: "interest"}).select("row", F.round("debt", 2).alias("debt"), F.round("interest", 2).alias("interest"))
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS k, c_custkey + 1 AS c_custkey, c_acctbal::decimal(18,2) AS a FROM customer), t AS (SELECT k, sum(a)::double AS total, count(*)::double AS n, min(c_custkey)::double AS first FROM c GROUP BY 1)
+SELECT (n_nationkey + 1)::int AS "row", round(coalesce(total, 0), 2) AS total, coalesce(t.n, 0) AS n, t.first AS first, (SELECT count(*) FROM c WHERE c.k <= n_nationkey)::double AS upto FROM nation LEFT JOIN t ON t.k = n_nationkey
+""")
+def nation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second sheet that looks into whole columns of the first: sums and counts by nation, the first row of each, and a count by a comparison."""
+    c = load(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("row"), "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    last = c.agg(F.max("row")).first()[0] or 1
+    n = load(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("row"), F.col("n_nationkey").cast("double").alias("nation"))
+    a = F.concat(F.lit("A"), F.col("row").cast("string"))
+    by, add = f"Data!$B$1:$B${last}", f"Data!$A$1:$A${last}"
+    made = {2: F.concat(F.lit(f"=SUMIF({by},"), a, F.lit(f",{add})")), 3: F.concat(F.lit(f"=COUNTIF({by},"), a, F.lit(")")), 4: F.concat(F.lit("=MATCH("), a, F.lit(f",{by},0)")), 5: F.concat(F.lit(f'=COUNTIF({by},"<="&'), a, F.lit(")"))}
+    cells = _sheet(c, "Data", "row", {1: F.col("c_acctbal"), 2: F.col("nation")}).unionByName(_sheet(n, "Totals", "row", {1: F.col("nation"), **made}))
+    return _wide(E.evaluate(cells), "Totals", {2: "total", 3: "n", 4: "first", 5: "upto"}).withColumn("total", F.round("total", 2))
+
+
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One formula for each part, of five forms, by the brand's last digit."""
     r, brand = F.col("p_partkey").cast("string"), F.substring("p_brand", -1, 1)
