@@ -241,60 +241,130 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
     return edges
 
 
+#: Differences of costs below this are ties.
+TIE = 1e-9
+
+
 def source_side(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """Which nodes lie on the source's side of a minimum cut. A positive score is the capacity from the source,
-    a negative one that to the sink; edges go both ways."""
+    a negative one that to the sink; edges go both ways.
+
+    Nodes are settled where the terminals outweigh all edges. A node with at most two edges is taken out: what it costs at best for
+    each placing of its neighbours is again a score for each and an edge between them, so the cut of the rest is that of the whole,
+    and the node's own side follows from its neighbours'. Pages are sequences with few other edges, of which this leaves little or nothing;
+    only that goes through max-flow."""
     n = len(scores)
     around: list[dict[int, float]] = [{} for _ in range(n)]
     for (a, b), c in edges.items():
         around[a][b] = around[a].get(b, 0.0) + c
         around[b][a] = around[b].get(a, 0.0) + c
-    scores, side = list(scores), [None] * n
+    scores, side, out = list(scores), [None] * n, [False] * n
+    later: list[tuple[int, float, list[tuple[int, float]]]] = []
     left = deque(range(n))
     while left:
         k = left.popleft()
-        if side[k] is None and abs(scores[k]) >= sum(around[k].values()):
+        if out[k]:
+            continue
+        near = around[k]
+        if abs(scores[k]) >= sum(near.values()):
             side[k] = scores[k] > 0
-            for j, c in around[k].items():
+            for j, c in near.items():
                 del around[j][k]
                 scores[j] += c if side[k] else -c
-                left.append(j)
-            around[k] = {}
-    rest = [k for k in range(n) if side[k] is None]
+        elif len(near) <= 2:
+            later.append((k, scores[k], list(near.items())))
+            _take_out(k, scores, around)
+        else:
+            continue
+        out[k] = True
+        left.extend(near)
+        around[k] = {}
+    rest = [k for k in range(n) if not out[k]]
     if rest:
         reached = _max_flow_side(rest, scores, around)
         for k in rest:
             side[k] = k in reached
+    for k, score, near in reversed(later):
+        side[k] = sum(c if side[j] else -c for j, c in near) + score > TIE
     return side
 
 
+def _take_out(k: int, scores: list[float], around: list[dict[int, float]]) -> None:
+    """Puts the least cost of a node with one or two edges, as a function of its neighbours' sides, in its place."""
+    near = [(j, around[k][j]) for j in around[k]]
+    cost = lambda *sides: min(sum(c for (_, c), s in zip(near, sides, strict=True) if s), -scores[k] + sum(c for (_, c), s in zip(near, sides, strict=True) if not s))
+    if len(near) == 1:
+        ((a, _),) = near
+        scores[a] -= cost(True) - cost(False)
+    else:
+        (a, _), (b, _) = near
+        none, first, second, both = cost(False, False), cost(True, False), cost(False, True), cost(True, True)
+        edge = (first + second - none - both) / 2
+        scores[a] -= first - none - edge
+        scores[b] -= second - none - edge
+        if edge > 0:
+            around[a][b] = around[a].get(b, 0.0) + edge
+            around[b][a] = around[b].get(a, 0.0) + edge
+    for j, _ in near:
+        del around[j][k]
+
+
 def _max_flow_side(rest: list[int], scores: list[float], around: list[dict[int, float]]) -> set[int]:
-    """Max-flow by shortest augmenting paths; the nodes that the source still reaches."""
-    residual = {k: dict(around[k]) for k in rest}
-    source, sink = -1, -2
-    residual[source] = {k: scores[k] for k in rest if scores[k] > 0}
-    residual[sink] = {}
+    """Max-flow by blocking flows in levels; the nodes that the source still reaches."""
+    place = {k: i for i, k in enumerate(rest)}
+    source, sink = len(rest), len(rest) + 1
+    heads: list[list[int]] = [[] for _ in range(len(rest) + 2)]
+    to, room = [], []
+
+    def link(a: int, b: int, forth: float, back: float) -> None:
+        heads[a].append(len(to))
+        heads[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((forth, back))
+
     for k in rest:
-        if scores[k] < 0:
-            residual[k][sink] = -scores[k]
+        i = place[k]
+        if scores[k] > 0:
+            link(source, i, scores[k], 0.0)
+        elif scores[k] < 0:
+            link(i, sink, -scores[k], 0.0)
+        for j, c in around[k].items():
+            if k < j:
+                link(i, place[j], c, c)
     while True:
-        before, queue = {source: source}, deque([source])
-        while queue and sink not in before:
-            k = queue.popleft()
-            for j, c in residual[k].items():
-                if c > 1e-9 and j not in before:
-                    before[j] = k
-                    queue.append(j)
-        if sink not in before:
-            return set(before) - {source}
-        path, j = [], sink
-        while j != source:
-            path.append((before[j], j))
-            j = before[j]
-        push = min(residual[a][b] for a, b in path)
-        for a, b in path:
-            residual[a][b] -= push
-            residual[b][a] = residual[b].get(a, 0.0) + push
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            a = queue.popleft()
+            for e in heads[a]:
+                if room[e] > TIE and to[e] not in level:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if sink not in level:
+            return {rest[i] for i in level if i < source}
+        next_, path, a = [0] * len(heads), [], source
+        while True:
+            if a == sink:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                cut = next(i for i, e in enumerate(path) if room[e] <= TIE)
+                a = to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while next_[a] < len(heads[a]):
+                e = heads[a][next_[a]]
+                if room[e] > TIE and level.get(to[e]) == level[a] + 1:
+                    break
+                next_[a] += 1
+            if next_[a] < len(heads[a]):
+                path.append(e)
+                a = to[e]
+            elif path:
+                a = to[path.pop() ^ 1]
+                next_[a] += 1
+            else:
+                break
 
 
 def main_text(source: str | None) -> str:

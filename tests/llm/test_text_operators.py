@@ -1,7 +1,9 @@
 """Operators on single texts: encoding, chat, HTML, personal data, toxicity, fingerprints."""
 
 import hashlib
+import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -213,6 +215,21 @@ def test_minimum_cut_is_minimal(data):
     assert cost(found) == min(cost([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
 
 
+def test_minimum_cut_of_many_blocks_takes_seconds():
+    """Long pages of short blocks of all kinds, and a graph without structure, where max-flow has to run."""
+    rng = random.Random(4)
+    kinds = ["<p>%s</p>", "<li>%s</li>", "<div>%s</div>", "<ul><li><a href=x>%s</a></li>", "</ul><div><p>%s</p></div>"]
+    page = "".join(rng.choice(kinds) % " ".join(rng.choice(["menu", "the", "story", "long"]) for _ in range(rng.randint(1, 6))) for _ in range(100_000))
+    start = time.perf_counter()
+    blocks = html_text.blocks_of(page)
+    edges = html_text.edges_of(blocks)
+    for scores in ([b.score for b in blocks], [rng.uniform(-1, 1) for _ in blocks]):
+        assert len(html_text.source_side(scores, edges)) == len(blocks) >= 100_000
+    tangle = {tuple(sorted(rng.sample(range(2000), 2))): 1.0 for _ in range(8000)}
+    html_text.source_side([rng.uniform(-1, 1) for _ in range(2000)], tangle)
+    assert time.perf_counter() - start < 60
+
+
 def test_html_of_deep_nesting_takes_seconds():
     import time
 
