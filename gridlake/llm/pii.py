@@ -14,7 +14,7 @@ driver, where the trees are fitted, and the trees come back as CASE expressions.
 
 The patterns match what the plain forms in FIXED match, but without backtracking: repeated groups are
 possessive, and a match may not start inside a run whose start has failed already, so long runs of letters or
-digits cost linear time and no stack.
+digits cost linear time and no stack. Spans are placed and compared piece by piece, which costs the number of spans to the power of 1.5.
 
 Cases: a null text is empty and has no spans. Texts are searched whole; positions are code points, ends
 exclusive. Repeated rows give repeated results; an empty table gives an empty one. `find` returns the id and
@@ -65,28 +65,72 @@ TOLD_BY = r"(?i)\b(?:tel|telefon|phone|fax|call|mobile|mail|e-mail|contact|card|
 MOST_COMBINATIONS = 20_000
 ROUNDS, DEPTH, RATE, PRECISION = 12, 3, 0.4, 0.95
 
-SPAN = "array<struct<start:int,end:int,s:string>>"
+SPAN = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
 Tree = tuple | float
 
 
+def _chunks(items: Column) -> Column:
+    """An array cut into about as many pieces as each has elements, so that what costs the square of a piece costs n ** 1.5 in all."""
+    each = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), each)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(items, at, each))
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def spans_of(text: Column, pattern: str, hint: str | None = None) -> Column:
-    """All matches with their positions: what stands between matches is split off and measured."""
+    """All matches with their positions, and with what stands before and after them: what stands between matches is split off and
+    measured. Positions are summed up piece by piece."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)),
-        found,
-        lambda gap, s: F.struct(F.length(gap).alias("gap"), s.alias("s")),
-    )
+    size = F.length
+
+    def placed(gaps: Column, found: Column) -> Column:
+        """start, end, s, before, after from the matches and what stands before each of them and after the last one."""
+        pair = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, s: F.struct(gap.alias("gap"), s.alias("s"), (size(gap) + size(s)).alias("n")))
+
+        def spans(pairs: Column) -> Column:
+            def step(at: Column, x: Column) -> Column:
+                end = at["pos"] + x["n"]
+                span = F.struct((end - size(x["s"])).alias("start"), end.alias("end"))
+                return F.struct(end.alias("pos"), F.concat(at["out"], F.array(span)).alias("out"))
+
+            none = F.array().cast("array<struct<start:int,end:int>>")
+
+            def summed(chunks: Column) -> Column:
+                offsets = F.aggregate(
+                    chunks, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
+                    lambda at, c: F.struct(F.aggregate(c, at["pos"], lambda p, x: p + x["n"]).alias("pos"), F.concat(at["out"], F.array(at["pos"])).alias("out")),
+                )["out"]
+                return F.flatten(F.zip_with(chunks, offsets, lambda c, o: F.aggregate(c, F.struct(o.alias("pos"), none.alias("out")), step)["out"]))
 
-    def step(at: Column, x: Column) -> Column:
-        start = at["pos"] + x["gap"]
-        end = start + F.length(x["s"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"))
-        return F.struct(end.alias("pos"), F.concat(at["out"], F.array(span)).alias("out"))
+            places = _bound(_chunks(pairs), summed)
+            around = lambda k: F.try_element_at(pairs, k)
+            # Context reaches over the match before, and for what follows to the next match.
+            before = lambda i: F.concat(F.coalesce(around(F.nullif(i, F.lit(0)))["gap"], F.lit("")), F.coalesce(around(F.nullif(i, F.lit(0)))["s"], F.lit("")), around(i + 1)["gap"])
+            after = lambda i: F.concat(F.coalesce(F.try_element_at(gaps, i + 2), F.lit("")), F.coalesce(around(i + 2)["s"], F.lit("")))
+            return F.transform(places, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), around(i + 1)["s"].alias("s"), F.right(before(i), F.lit(BEFORE)).alias("before"), F.left(after(i), F.lit(1)).alias("after")))
 
-    none = F.array().cast(SPAN)
-    out = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), none.alias("out")), step)["out"]
-    return F.when(text.rlike(hint or pattern), out).otherwise(none)
+        return _bound(pair, spans)
+
+    pieces = F.split(text, pattern, -1)
+    out = _bound(F.struct(pieces.alias("gaps"), found.alias("found")), lambda x: placed(x["gaps"], x["found"]))
+    return F.when(text.rlike(hint or pattern), out).otherwise(F.array().cast(SPAN))
+
+
+def _against(items: Column, others: Column, f) -> Column:
+    """f(item, those of `others` that may overlap it) for each item. Both have start and end; items in order of their starts meet few others, as those
+    that a piece of them cannot overlap are left out for all of the piece."""
+
+    def piece(chunk: Column) -> Column:
+        start, end = F.array_min(F.transform(chunk, lambda x: x["start"])), F.array_max(F.transform(chunk, lambda x: x["end"]))
+        sides = F.struct(start.alias("start"), end.alias("end"))
+        near = _bound(sides, lambda w: F.filter(others, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
+        return _bound(near, lambda few: F.transform(chunk, lambda x: f(x, few)))
+
+    return F.flatten(F.transform(_chunks(items), piece))
 
 
 def digits(s: Column) -> Column:
@@ -121,11 +165,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(spans_of(text, LINEAR[k], "@" if k == "email" else "[0-9]"), valid(k)) for k in KINDS}
 
 
-def _features(text: Column, kind: str, c: Column) -> dict[str, Column]:
+def _features(kind: str, c: Column) -> dict[str, Column]:
     """Yes-or-no features of a candidate's format and context."""
-    s, n = c["s"], F.length(digits(c["s"]))
-    before = F.substring(text, F.greatest(c["start"] - BEFORE + 1, F.lit(1)), F.least(c["start"], F.lit(BEFORE)))
-    after = F.substring(text, c["end"] + 1, F.lit(1))
+    s, n, before, after = c["s"], F.length(digits(c["s"])), c["before"], c["after"]
     return {
         **{f"is_{k}": F.lit(k == kind) for k in KINDS},
         **{f"digits_{m}": n >= m for m in (7, 9, 11, 13, 16, 20)},
@@ -145,18 +187,18 @@ def _features(text: Column, kind: str, c: Column) -> dict[str, Column]:
 def _candidates(text: Column, kind: str, base: Column) -> Column:
     """Loose matches with features and: is it an example of its kind, does any base span overlap it."""
 
-    def full(c: Column) -> Column:
+    def full(c: Column, near: Column) -> Column:
         def shared(b: Column) -> Column:
             return F.least(b["end"], c["end"]) - F.greatest(b["start"], c["start"])
 
         def united(b: Column) -> Column:
             return F.greatest(b["end"], c["end"]) - F.least(b["start"], c["start"])
 
-        features = [e.alias(n) for n, e in _features(text, kind, c).items()]
-        good = F.exists(base, lambda b: shared(b) * 2 >= united(b))
+        features = [e.alias(n) for n, e in _features(kind, c).items()]
+        good = F.exists(near, lambda b: shared(b) * 2 >= united(b))
         return F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *features, good.alias("good"))
 
-    return F.transform(spans_of(text, LOOSE[kind], HINT[kind]), full)
+    return _bound(spans_of(text, LOOSE[kind], HINT[kind]), lambda found: _against(found, base, full))
 
 
 FEATURES = [
@@ -272,10 +314,13 @@ def _judged(docs: DataFrame, text_col: str, keep: list[str], model: tuple[list[T
         lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), score(c).alias("score")),
     )
     rows = rows.select("_kept", "_text", F.concat(*named).alias("base"), scored.alias("_scored"))
-    chosen = F.filter("_scored", lambda c: (c["score"] >= threshold) & ~F.exists("base", lambda b: _overlaps(b, c)))
-    rows = rows.select("_kept", "_text", "base", chosen.alias("_chosen"))
+    likely = F.filter("_scored", lambda c: c["score"] >= threshold)
+    free = _bound(likely, lambda found: _against(found, F.col("base"), lambda c, near: F.struct(c.alias("c"), F.exists(near, lambda b: _overlaps(b, c)).alias("taken"))))
+    by_start = F.array_sort(F.transform(F.filter(free, lambda x: ~x["taken"]), lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["end"].alias("end"), x["c"]["kind"].alias("kind"), x["c"]["score"].alias("score"))))
+    rows = rows.select("_kept", "_text", "base", by_start.alias("_chosen"))
     rank = lambda c: F.struct(-c["score"], c["start"], -c["end"], c["kind"])
-    best = F.filter("_chosen", lambda c: ~F.exists("_chosen", lambda o: _overlaps(o, c) & (rank(o) < rank(c))))
+    beaten = _against(F.col("_chosen"), F.col("_chosen"), lambda c, near: F.struct(c.alias("c"), F.exists(near, lambda o: _overlaps(o, c) & (rank(o) < rank(c))).alias("beaten")))
+    best = F.transform(F.filter(beaten, lambda x: ~x["beaten"]), lambda x: x["c"])
     order = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     added = F.transform(best, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     every = F.array_sort(F.transform(F.concat("base", added), order))
@@ -308,13 +353,25 @@ def redact(docs: DataFrame, text_col: str = "text", model: tuple | None = None)
     rows = _judged(docs, text_col, kept, model or train(docs, text_col))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(at: Column, s: Column) -> Column:
-        new = s["start"] >= at["pos"]
-        gap = F.substring(F.col("_text"), at["pos"] + 1, s["start"] - at["pos"])
-        out = F.when(new, F.concat(at["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(at["out"])
-        return F.struct(out.alias("out"), F.greatest(at["pos"], s["end"]).alias("pos"))
+    def step(from_: Column, piece: Column):
+        """Puts a span into the piece of the text that starts at `from_`."""
+
+        def put(at: Column, s: Column) -> Column:
+            start, end = s["start"] - from_, s["end"] - from_
+            gap = F.substring(piece, at["pos"] + 1, start - at["pos"])
+            out = F.when(start >= at["pos"], F.concat(at["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(at["out"])
+            return F.struct(out.alias("out"), F.greatest(at["pos"], end).alias("pos"))
+
+        return put
+
+    def several(at: Column, chunk: Column) -> Column:
+        """The text up to the last end of some spans, cut out once for all of them."""
+        end = F.greatest(at["pos"], F.array_max(F.transform(chunk, lambda s: s["end"])))
+        piece = F.substring(F.col("_text"), at["pos"] + 1, end - at["pos"])
+        put = _bound(piece, lambda p: F.aggregate(chunk, F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), step(at["pos"], p))["out"])
+        return F.struct(F.concat(at["out"], put).alias("out"), end.alias("pos"))
 
-    done = F.aggregate(by_start, F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), step,
+    done = F.aggregate(_chunks(by_start), F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), several,
                        lambda at: F.concat(at["out"], F.substring(F.col("_text"), at["pos"] + 1, F.length("_text"))))
     text = F.when(F.size("spans") > 0, done).otherwise(F.col("_text"))
     others = dict(zip(kept, unboxed("_kept", kept), strict=True))
