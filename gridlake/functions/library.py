@@ -342,8 +342,9 @@ def MATCH(value: Column, cells: Column, kind: int = 0) -> Column:
 
 def INDEX(cells: Column, row: Column, column: Column | int = 1, width: int = 1) -> Column:
     """An element of a rectangle given in row-major order with its width; null (a reference error) outside."""
-    at = (row - 1) * width + (F.lit(column) if isinstance(column, int) else column)
-    return F.when(at >= 1, F.try_element_at(cells, at.cast("int")))
+    column = F.lit(column) if isinstance(column, int) else column
+    at = (row - 1) * width + column
+    return F.when((row >= 1) & (column >= 1) & (column <= width), F.try_element_at(cells, F.greatest(at, F.lit(1)).cast("int")))
 
 
 def CHOOSE(index: Column, *values: Column) -> Column:

@@ -16,9 +16,9 @@ NOISE = [
     r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}",
     r"^\d{4}$",
     r"^[A-Z]{1,3}$",
-    r"^[+-]?[\d,]+(\.\d+)?$",
+    r"^[+-]?[\d,]+\.?\d*$",
     r"\d{4}年\d{1,2}月.*自动取时点",
-    r"第\d+[年期间次月]",
+    r".+第\d+[年期间次月]+",
 ]
 TOTALS = ["合计", "总计", "小计", "一、", "二、", "三、", "四、", "五、", "六、", "七、", "八、", "九、", "十、"]
 PARAMETER_NAMES, SERIES_NAMES = ("参数输入", "param"), ("时间序列", "time")

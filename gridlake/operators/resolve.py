@@ -20,7 +20,7 @@ from gridlake.operators import evaluate
 ASKS_VALUE = r"^(.+?)(?:是多少|为多少|多少钱|有多少|等于多少|的值|的数值)[？?]?$"
 WHAT_IF = r"如果(.+?)(变成|变为|改为|增加|减少)([\d.]+)(%?)[，,](.*)$"
 COMPARE = r"^(.+?)(?:和|与)(.+?)(?:的)?(?:对比|区别|比较|差异)"
-YEAR, QUARTER = r"(\d{4})[年度]", r"([1-4一二三四])季度"
+YEAR, QUARTER = r"(\d{4})[年度]", r"([1-4一二三四])季"
 ALIASES = {
     "总投资": ["总投资", "投资"],
     "动态投资": ["动态总投资", "动态投"],
@@ -46,16 +46,20 @@ def keywords(name: Column) -> Column:
 
 
 def intent(question: Column) -> Column:
-    """kind (what_if, compare, value, other), entity, other, action, amount, percent (whether the amount is one), year, quarter."""
+    """kind (what_if, compare, value, other), entity, other, action, amount, percent (whether the amount is one), year, quarter (1 to 4), period (like 2025
+    or 2025Q3)."""
     q = F.trim(question)
     some = lambda pattern, k: F.nullif(F.regexp_extract(q, pattern, k), F.lit(""))
     year = F.nullif(F.regexp_extract(q, YEAR, 1), F.lit("")).try_cast("int")
     kind = F.when(some(WHAT_IF, 1).isNotNull(), "what_if").when(some(COMPARE, 1).isNotNull(), "compare").when(some(ASKS_VALUE, 1).isNotNull(), "value").otherwise("other")
     entity = F.coalesce(some(WHAT_IF, 1), some(COMPARE, 1), some(ASKS_VALUE, 1), q)
-    entity = F.trim(F.regexp_replace(F.regexp_replace(entity, YEAR, ""), r"的$", ""))
+    # The period is asked for beside the entity, and is no part of its name.
+    entity = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(entity, YEAR, ""), rf"第?{QUARTER}度?的?", ""), r"的$", ""))
+    quarter = F.translate(some(QUARTER, 1), "一二三四", "1234")
+    period = F.when(year.isNotNull(), F.concat(year.cast("string"), F.coalesce(F.concat(F.lit("Q"), quarter), F.lit(""))))
     return F.struct(
         kind.alias("kind"), entity.alias("entity"), F.when(kind == "compare", some(COMPARE, 2)).alias("other"), some(WHAT_IF, 2).alias("action"),
-        some(WHAT_IF, 3).try_cast("double").alias("amount"), F.coalesce(some(WHAT_IF, 4) == "%", F.lit(False)).alias("percent"), year.alias("year"), some(QUARTER, 1).alias("quarter"),
+        some(WHAT_IF, 3).try_cast("double").alias("amount"), F.coalesce(some(WHAT_IF, 4) == "%", F.lit(False)).alias("percent"), year.alias("year"), quarter.alias("quarter"), period.alias("period"),
     )
 
 

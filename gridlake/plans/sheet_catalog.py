@@ -186,7 +186,7 @@ def inputs_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+')) AS w FROM documents)
 SELECT doc_id, count(*)::bigint AS names, count(*) FILTER (length(w) < 3)::bigint AS short, count(*) FILTER (regexp_matches(w, '^[A-Z]{1,3}$'))::bigint AS letters,
-  count(*) FILTER (regexp_matches(w, '^[+-]?[0-9,]+(\\.[0-9]+)?$'))::bigint AS numbers FROM w WHERE w <> '' GROUP BY 1
+  count(*) FILTER (regexp_matches(w, '^[+-]?[0-9,]+\\.?[0-9]*$'))::bigint AS numbers FROM w WHERE w <> '' GROUP BY 1
 """)
 def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of a text's words are no item names, by reason. Counted inside each row, without a shuffle."""
@@ -195,7 +195,7 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda test: F.size(F.filter("w", test)).cast("long")
     return rows.select(
         "doc_id", F.size("w").cast("long").alias("names"), count(lambda w: F.length(w) < I.SHORTEST).alias("short"),
-        count(lambda w: w.rlike(I.NOISE[2])).alias("letters"), count(lambda w: w.rlike(r"^[+-]?[0-9,]+(\.[0-9]+)?$")).alias("numbers"),
+        count(lambda w: w.rlike(I.NOISE[2])).alias("letters"), count(lambda w: w.rlike(I.NOISE[3])).alias("numbers"),
     )
 
 

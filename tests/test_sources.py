@@ -52,9 +52,9 @@ def test_workbook_to_values_and_items(spark, tmp_path):
 
 
 def test_noise_names(spark):
-    names = ["ab", "2024", "ABC", "1,234.5", "2024-01-02 x", "第3年", "营业收入", None, "2024年3月末自动取时点"]
+    names = ["ab", "2024", "ABC", "1,234.5", "2024-01-02 x", "第3年", "还款第3年", "5.", "营业收入", None, "2024年3月末自动取时点"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", I.is_noise(F.col("n")).alias("x")).collect()
-    assert [r.n for r in got if not r.x] == ["营业收入"]
+    assert [r.n for r in got if not r.x] == ["第3年", "营业收入"]
 
 
 def test_questions(spark):
@@ -62,6 +62,9 @@ def test_questions(spark):
     got = [r.i for r in spark.createDataFrame([(q,) for q in asked], "q string").select(R.intent(F.col("q")).alias("i")).collect()]
     assert [g.kind for g in got] == ["value", "value", "what_if", "compare", "other"] and [g.entity for g in got] == ["营业收入", "营业收入", "总投资", "资本金", "建设期"]
     assert got[1].year == 2025 and got[2].action == "增加" and got[2].amount == 10 and got[3].other == "贷款"
+    asked = ["2025年第3季度收入是多少", "2026年二季度的营业成本为多少", "2025年收入是多少"]
+    got = [r.i for r in spark.createDataFrame([(q,) for q in asked], "q string").select(R.intent(F.col("q")).alias("i")).collect()]
+    assert [(g.entity, g.year, g.quarter, g.period) for g in got] == [("收入", 2025, "3", "2025Q3"), ("营业成本", 2026, "2", "2026Q2"), ("收入", 2025, None, "2025")]
     names = spark.createDataFrame([("建设期长度",), ("营业收入合计",), ("其他",)], "name string")
     found = R.fuzzy(spark.createDataFrame([("建设期",), ("营业收入",), ("完全无关",)], "entity string"), names)
     assert {r.entity: r.name for r in found.collect()} == {"建设期": "建设期长度", "营业收入": "营业收入合计"}
