@@ -9,9 +9,11 @@ element at a time. `write_workbook` makes small files for tests.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import glob
 import hashlib
+import heapq
 import os
 import re
 import zipfile
@@ -109,10 +111,42 @@ def _shift(formula: str, rows: int, cols: int) -> str:
     return "".join(p if k % 2 else re.sub(r"(\$?)\b([A-Z]{1,3})(\$?)(\d+)\b(?!\()", move, p) for k, p in enumerate(parts))
 
 
+class MergedCells:
+    """Which cells lie in merged ranges (first row, first column, last row, last column), asked row by row: ranges that have begun and not
+    ended are held by their first column, so a cell is found among them by bisection and each range enters and leaves once. Ranges do not overlap."""
+
+    def __init__(self, boxes: list[tuple[int, int, int, int]]) -> None:
+        self.boxes = sorted(boxes, reverse=True)
+        self._restart()
+
+    def _restart(self) -> None:
+        self.row, self.coming, self.open, self.ends = 0, list(self.boxes), [], []
+
+    def _move_to(self, row: int) -> None:
+        self.row = row
+        while self.ends and self.ends[0][0] < row:
+            _, first, last = heapq.heappop(self.ends)
+            del self.open[bisect.bisect_left(self.open, (first, last))]
+        while self.coming and self.coming[-1][0] <= row:
+            _, first, end, last = self.coming.pop()
+            if end >= row:
+                bisect.insort(self.open, (first, last))
+                heapq.heappush(self.ends, (end, first, last))
+
+    def holds(self, row: int, col: int) -> bool:
+        if row < self.row:
+            self._restart()
+        if row > self.row:
+            self._move_to(row)
+        at = bisect.bisect_right(self.open, (col, float("inf"))) - 1
+        return at >= 0 and self.open[at][1] >= col
+
+
 def read_sheet(path: str, sheet: str, entry: str) -> Iterator[tuple]:
     book = os.path.basename(path)
     with zipfile.ZipFile(path) as z:
         strings, formats, (heads, boxes), shared = _shared(z), _formats(z), _merged(z, entry), {}
+        merged = MergedCells(boxes)
         with z.open(entry) as f:
             for _, e in ElementTree.iterparse(f):
                 if e.tag == _MAIN + "row":
@@ -150,7 +184,7 @@ def read_sheet(path: str, sheet: str, entry: str) -> Iterator[tuple]:
                         if is_date and 0 < num < 2958466:
                             date = dt.date(1899, 12, 30) + dt.timedelta(days=int(num))
                 what = "formula" if text else "boolean" if flag is not None else "date" if date else "number" if num is not None else "text"
-                inside = any(r1 <= row <= r2 and c1 <= col <= c2 for r1, c1, r2, c2 in boxes)
+                inside = merged.holds(row, col)
                 name = letters(col)
                 yield (book, f"{sheet}_{row}_{name}", sheet, row, name, col, num, string, flag, date, text, what, inside, heads.get((row, col)), code)
 

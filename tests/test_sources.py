@@ -1,6 +1,8 @@
 """Workbooks, stores, items, questions, diffs, streams."""
 
 import datetime as dt
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -51,6 +53,26 @@ def test_workbook_to_values_and_items(spark, tmp_path):
     assert {(r.sheet, r.col_ix): r.n_formula for r in I.profile(cells).collect()}["利润表", 6] == 1
 
 
+def test_merged_ranges_are_swept():
+    rng = random.Random(2)
+    boxes, taken = [], set()
+    for _ in range(400):
+        r, c, h, w = rng.randint(1, 60), rng.randint(1, 30), rng.randint(0, 9), rng.randint(0, 4)
+        cells = {(y, x) for y in range(r, r + h + 1) for x in range(c, c + w + 1)}
+        if not cells & taken:
+            taken |= cells
+            boxes.append((r, c, r + h, c + w))
+    merged = xlsx.MergedCells(boxes)
+    order = [(y, x) for y in range(1, 75) for x in range(1, 40)]
+    assert all(merged.holds(*at) == (at in taken) for at in order)
+    assert all(merged.holds(*at) == (at in taken) for at in rng.sample(order, 500))
+    # Ten thousand ranges cost no more than the cells and the ranges.
+    tall = xlsx.MergedCells([(2 * k + 1, 1, 2 * k + 2, 3) for k in range(10_000)])
+    start = time.perf_counter()
+    assert sum(tall.holds(y, x) for y in range(1, 20_001) for x in range(1, 6)) == 60_000
+    assert time.perf_counter() - start < 20
+
+
 def test_noise_names(spark):
     names = ["ab", "2024", "ABC", "1,234.5", "2024-01-02 x", "第3年", "还款第3年", "5.", "营业收入", None, "2024年3月末自动取时点"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", I.is_noise(F.col("n")).alias("x")).collect()
