@@ -477,7 +477,8 @@ def _reached(cells: DataFrame, edits: DataFrame) -> DataFrame:
     parsed = programs(cells).where("error IS NULL")
     model = _Model(cells, graph.checkpoint(parsed))
     edges = graph.checkpoint(model.edges(cells.select("id").unionByName(model.nodes.select("id")).distinct()))
-    return graph.downstream(edges, edits.select("id")).where("depth > 0").join(cells.select("id"), "id", "left_semi").select("id")
+    start = edits.select("id")
+    return graph.reached(edges, start).join(start, "id", "left_anti").join(cells.select("id"), "id", "left_semi").select("id")
 
 
 def recalculate(cells: DataFrame, edits: DataFrame) -> DataFrame:

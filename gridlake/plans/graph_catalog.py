@@ -106,6 +106,33 @@ def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(hierarchy(spark, sf_dir))
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """src, tgt of the customers' orders, which are numbered below zero, and the customers' keys."""
+    orders, customer = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    return orders.select(F.col("o_custkey").cast("long").alias("src"), (-1 - F.col("o_orderkey")).cast("long").alias("tgt")), customer
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, min(c_custkey) OVER () AS k0 FROM customer), j AS (SELECT min(o_custkey) AS j0 FROM orders)
+SELECT k AS id, greatest(k - k0, CASE WHEN k >= j0 THEN k - j0 + 1 ELSE 0 END)::int AS level FROM c, j UNION ALL SELECT -1 - o_orderkey, 0 FROM orders
+""")
+def chain_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer depends on the one before it and on its own orders: a chain as long as the table, with inputs on the way."""
+    orders, customer = accounts(spark, sf_dir)
+    chain = customer.join(customer.select((F.col("k") + 1).alias("k")), "k", "left_semi").select(F.col("k").alias("src"), (F.col("k") - 1).alias("tgt"))
+    return graph.levels(chain.unionByName(orders))
+
+
+@query("SELECT c_custkey AS id, c_custkey % 25 AS scc FROM customer")
+def ring_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 25th customer is on one ring, so rings grow with the table; orders hang on them."""
+    orders, customer = accounts(spark, sf_dir)
+    n = customer.agg(F.max("k")).first()[0] or 0
+    k = F.col("k")
+    ring = customer.select(k.alias("src"), F.when(k + 25 <= n, k + 25).otherwise(k % 25).alias("tgt"))
+    return graph.components(ring.unionByName(orders))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph over the parts, in blocks of five keys: even blocks are cycles, odd ones chains, some are bridged."""
     part = load(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("k"))
