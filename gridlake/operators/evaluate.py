@@ -13,6 +13,7 @@ cycles at once, from stored values, until each has settled or is marked `#CIRC!`
 
 from __future__ import annotations
 
+import copy
 import json
 from functools import reduce
 
@@ -73,6 +74,9 @@ def edges_of(cells: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
 class _Model:
     """The nodes of a table of cells, and what they name. All tables are written."""
 
+    #: Aggregates of tiles, where they are kept.
+    sums: DataFrame | None = None
+
     def __init__(self, cells: DataFrame, parsed: DataFrame) -> None:
         cut = graph.checkpoint
         node = F.explode(C.nodes("program", "refs")).alias("x")
@@ -113,21 +117,34 @@ def _env(model: _Model, todo: DataFrame, values: DataFrame) -> DataFrame:
 ENV = "map<int,struct<n:double,s:string>>"
 
 
+AGGREGATES = ("total", "lo", "hi", "cells", "bad", "texts", "true")
+
+
+def parts_of_value(num: str, text: str) -> dict[str, Column]:
+    """What a cell adds to each aggregate; all null for a blank."""
+    n, s = F.nanvl(num, F.lit(None).cast("double")), F.col(text)
+    x, there = F.coalesce(n, s.try_cast("double")), n.isNotNull() | s.isNotNull()
+    flag = lambda c: F.when(there, c.cast("double"))
+    return {"total": x, "lo": x, "hi": x, "cells": flag(F.lit(1)), "bad": flag(x.isNull()), "texts": flag(s.isNotNull()), "true": flag(F.coalesce(s != "", n != 0, F.lit(False)))}
+
+
+def tile_sums(inside: DataFrame, values: DataFrame) -> DataFrame:
+    """TILE and AGGREGATES of the tiles that `inside` (TILE, id) lists the cells of."""
+    held = inside.select("id", *ranges.TILE).join(values, "id").select(*ranges.TILE, *(c.alias(k) for k, c in parts_of_value("v_num", "v_str").items()))
+    of = lambda c: F.min(c) if c == "lo" else F.max(c) if c == "hi" else F.sum(c)
+    return held.where("cells = 1").groupBy(*ranges.TILE).agg(*[of(c).alias(c) for c in AGGREGATES])
+
+
 def _stats(model: _Model, todo: DataFrame, values: DataFrame) -> DataFrame:
     """src, stats: the aggregates of ranges by their number. Each tile is aggregated once, then tiles make up ranges."""
     mine = model.rects.where("kind = 'value'").join(todo.select(F.col("id").alias("src")), "src", "left_semi")
     tiles = model.tiles.join(mine.select("rect").distinct(), "rect", "left_semi")
-    n, s = F.nanvl("v_num", F.lit(None).cast("double")), F.col("v_str")
-    x = F.coalesce(n, s.try_cast("double"))
-    held = model.inside.join(tiles.select(*ranges.TILE).distinct(), ranges.TILE, "left_semi").join(values, "id").where(n.isNotNull() | s.isNotNull())
-    flag = lambda c: F.sum(c.cast("double"))
-    aggregates = {"total": F.sum(x), "lo": F.min(x), "hi": F.max(x), "cells": F.count(F.lit(1)).cast("double"), "bad": flag(x.isNull()), "texts": flag(s.isNotNull()), "true": flag(F.coalesce(s != "", n != 0, F.lit(False)))}
-    by_tile = held.groupBy(*ranges.TILE).agg(*[a.alias(c) for c, a in aggregates.items()])
-    again = {c: F.min(c) if c == "lo" else F.max(c) if c == "hi" else F.sum(c) for c in aggregates}
+    by_tile = tile_sums(model.inside.join(tiles.select(*ranges.TILE).distinct(), ranges.TILE, "left_semi"), values) if model.sums is None else model.sums
+    again = {c: F.min(c) if c == "lo" else F.max(c) if c == "hi" else F.sum(c) for c in AGGREGATES}
     by_rect = tiles.select("rect", *ranges.TILE).join(by_tile, ranges.TILE).groupBy("rect").agg(*[a.alias(c) for c, a in again.items()])
     area = ((F.col("end_row") - F.col("row") + 1) * (F.col("end_col") - F.col("col") + 1)).cast("double").alias("area")
     full = mine.select("src", "at", "rect", area).join(by_rect, "rect", "left")
-    return full.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("area", *aggregates)))).alias("stats"))
+    return full.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("area", *AGGREGATES)))).alias("stats"))
 
 
 STATS = "map<int,struct<area:double,total:double,lo:double,hi:double,cells:double,bad:double,texts:double,true:double>>"
@@ -166,7 +183,10 @@ def _known(model: _Model, todo: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def _step(model: _Model, todo: DataFrame, values: DataFrame) -> DataFrame:
-    """id, v_num, v_str of the nodes `todo`, from `values`."""
+    """id, v_num, v_str of the nodes `todo`, of which there are some, from `values`. Only their own shapes are looked at."""
+    present = todo.select("kind", "shape").distinct().collect()
+    model = copy.copy(model)
+    model.shapes = {k: sorted(r["shape"] for r in present if r["kind"] == k) for k in sorted({r["kind"] for r in present})}
     rows = _known(model, todo, values)
     out = []
     for kind, shapes in model.shapes.items():
@@ -432,6 +452,11 @@ def _cycles(model: _Model, todo: DataFrame, values: DataFrame, stored: DataFrame
 def evaluate(cells: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """id, v_num, v_str of all cells after evaluation. `cells` as `with_ids` gives them; `only` (column id) limits what is
     evaluated, the others keep their stored values. A formula that cannot be read keeps its stored value."""
+    return nodes_and_values(cells, only)[1].join(cells.select("id"), "id", "left_semi")
+
+
+def nodes_and_values(cells: DataFrame, only: DataFrame | None = None) -> tuple[_Model, DataFrame]:
+    """The model that `evaluate` makes, and id, v_num, v_str of cells and of what is looked up inside formulas."""
     parsed = programs(cells).where("error IS NULL")
     if only is not None:
         parsed = parsed.join(only.select("id"), "id", "left_semi")
@@ -450,7 +475,7 @@ def evaluate(cells: DataFrame, only: DataFrame | None = None) -> DataFrame:
             new = _along_chains(model, rest, ready, edges, values) if rounds % LOOKED == 0 else None
             new = graph.checkpoint(_step(model, ready, values)) if new is None else new
         elif rest.isEmpty():
-            return values.join(cells.select("id"), "id", "left_semi")
+            return model, values
         else:
             # All that is left lies on cycles or behind them: cycles that wait for nothing else are next.
             if scc is None:

@@ -34,12 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage: the table is written into the shared folder, once, and read from there, until the program ends."""
+def checkpoint(df: DataFrame, *by: str) -> DataFrame:
+    """Cuts lineage: the table is written into the shared folder, once, in folders for the values of the columns `by`, and read from there, until the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridlake-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,32 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridlake.operators import evaluate, graph
+from gridlake.operators import live
 
 
-class Model:
-    """The cells of a model (as `evaluate.with_ids` gives them), kept up to date by `apply`."""
-
-    def __init__(self, cells: DataFrame) -> None:
-        self.cells = graph.checkpoint(cells)
-
-    def apply(self, edits: DataFrame) -> DataFrame:
-        """Sets the last edit (by ts) of each cell and returns what else changes."""
-        w = Window.partitionBy("id").orderBy(F.desc("ts"))
-        last = graph.checkpoint(edits.withColumn("k", F.row_number().over(w)).where("k = 1").select("id", "v_num", "v_str"))
-        changes = graph.checkpoint(evaluate.recalculate(self.cells, last))
-        new = last.select("id", F.col("v_num").alias("n"), F.col("v_str").alias("s"), F.lit(True).alias("set")).unionByName(
-            changes.select("id", F.col("new_num").alias("n"), F.col("new_str").alias("s"), F.lit(False).alias("set"))
-        )
-        joined = self.cells.join(new, "id", "left")
-        value = lambda old, new: F.when(F.col("set").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
-        formula = F.when(F.coalesce("set", F.lit(False)), None).otherwise(F.col("formula_raw")).alias("formula_raw")
-        self.cells = graph.checkpoint(joined.select("id", *evaluate.KEY, value("v_num", "n"), value("v_str", "s"), formula))
-        return changes
+class Model(live.Live):
+    """The cells of a model (as `evaluate.with_ids` gives them), kept up to date by `apply`, which takes edits with their time ts."""
 
 
 def follow(edits: DataFrame, model: Model, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
