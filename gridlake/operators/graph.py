@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Chains are contracted where so many of their nodes hang to another one; every so many rounds they are looked for.
 CHAINED, LOOKED = 50, 4
+#: How many times larger a written table of keys may be in memory than in its file; by the bare size of files, Spark would send tables of millions of rows
+#: through the driver. What is small by this measure is broadcast at once, other tables where a shuffle has shown that they are.
+UNPACKED = 30
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def checkpoint(df: DataFrame, *by: str) -> DataFrame:
     """Cuts lineage: the table is written into the shared folder, once, in folders for the values of the columns `by`, and read from there, until the program ends."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", UNPACKED)
     path = f"{shared_dir(spark)}/gridlake-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridlake.operators import graph
 
@@ -77,3 +78,12 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     found = graph.components(ring.unionByName(spark.createDataFrame([(1, 50_000), (50_000, 50_001)], "src long, tgt long")))
     assert found.agg({"scc": "max"}).first()[0] == 1 and found.count() == n - 1
     assert len(written) < 150
+
+
+def test_written_tables_of_many_keys_are_not_sent_through_the_driver(spark):
+    """300 000 consecutive keys take a small file, but not a small table."""
+    many = graph.checkpoint(spark.range(300_000, numPartitions=1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("tgt")))
+    few = graph.checkpoint(spark.range(10).select(F.col("id").alias("src")))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan(many.join(many.select(F.col("tgt").alias("src"), F.lit(1).alias("x")), "src"))
+    assert "BroadcastHashJoin" in plan(many.join(few, "src"))
