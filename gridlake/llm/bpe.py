@@ -37,8 +37,10 @@ NO_MERGE = 1 << 60
 END_PAIR = 1 << 16
 #: Fragments of more symbols are merged with a heap.
 LONG = 100
-#: Pieces that a worker remembers before it starts afresh (under 400 bytes each).
+#: Pieces, and words, that a worker remembers before it starts afresh (under 400 bytes each).
 REMEMBERED = 300_000
+#: Words of up to so many bytes are merged whole, for looking where they may be cut costs more than it saves.
+UNCUT = 24
 
 
 def byte_letters() -> list[str]:
@@ -83,6 +85,8 @@ class WordBpe:
                 pairs[-1] |= END_PAIR
             self.inside.update(pairs)
         self.known = Known(self.encode_piece)
+        # Most new pieces are known words beside signs, so words are remembered too.
+        self.known_words = Known(self.encode_word)
 
     def cuts(self, word: bytes) -> list[int]:
         """Where the word's fragments start: 0, and between neighbours that stand side by side in no token."""
@@ -134,7 +138,7 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         data, ids = word.encode(), []
-        starts = self.cuts(data)
+        starts = self.cuts(data) if len(data) > UNCUT else [0]
         for start, end in zip(starts, [*starts[1:], len(data)], strict=True):
             fragment = [self.byte_ids[b] for b in data[start:end]]
             if end == len(data):
@@ -161,7 +165,7 @@ class WordBpe:
         return b"".join([p[0] for p in self.pieces(text)])
 
     def encode_piece(self, piece: str) -> tuple[bytes, int, str]:
-        ids = [i for word in self.words.findall(piece) for i in self.encode_word(word)]
+        ids = [i for word in self.words.findall(piece) for i in self.known_words[word]]
         return pack(ids), len(ids), self.decode(ids)
 
     def encode(self, text: str | None) -> list[int]:
@@ -174,13 +178,13 @@ class WordBpe:
 
 
 class Known(dict):
-    """Packed ids, their number and decoded text by piece; works out and remembers what is missing."""
+    """What `encode` gives (for a piece packed ids, their number and decoded text; for a word its ids); works out and remembers what is missing."""
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, piece: str) -> tuple[bytes, int, str]:
+    def __missing__(self, piece: str) -> tuple[bytes, int, str] | list[int]:
         got = self.encode(piece)
         if len(piece) < 64:
             if len(self) >= REMEMBERED:

@@ -484,3 +484,17 @@ def test_scored_clauses_equal_the_transducers_run_by_hand(spark):
         assert np.allclose(got, want)
         found += len(got)
     assert found > 100
+
+
+def test_bpe_merges_a_word_beside_other_signs_once(monkeypatch):
+    encoder, made = bpe.WordBpe(vocabulary()), []
+    plain = encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda s: made.append(1) or plain(s))
+    texts = ["(vexillology), vexillology; vexillology!", "vexillology... \"vexillology\""]
+    whole = bpe.WordBpe(vocabulary())
+    monkeypatch.setattr(bpe, "UNCUT", 0, raising=False)
+    want = [whole.encode(t) for t in texts]
+    monkeypatch.undo()
+    monkeypatch.setattr(encoder, "merge", lambda s: made.append(1) or plain(s))
+    assert [encoder.encode(t) for t in texts] == want
+    assert len(made) == len({w for t in texts for p in t.split() for w in encoder.words.findall(p)})
