@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from gridlake.functions import library as L
 from gridlake.functions.coerce import DIV0, NUM, VALUE, as_text
-from gridlake.functions.formula import REFERENCE
+from gridlake.functions.formula import INSTRUCTION, REFERENCE, literal, parse, reference, tokens_of
 
 #: Calls that become nodes of their own if they look into a range, and those that need the range's aggregates only.
 LOOKUPS, LISTS, AGGREGATES = ("COUNTIF", "SUMIF", "MATCH", "INDEX", "VLOOKUP"), ("IRR", "XIRR", "CONCATENATE"), ("SUM", "MAX", "MIN", "AVERAGE", "COUNT", "AND", "OR")
@@ -111,9 +111,56 @@ def parts(program: list[dict], refs: list[dict]) -> list[dict]:
     return [node.row(node.numbered(scalar(stack.pop()), refs)), *out]
 
 
-@F.pandas_udf(ArrayType(NODE))
-def nodes(program: pd.Series, refs: pd.Series) -> pd.Series:
-    return pd.Series([parts(list(p), list(r)) for p, r in zip(program, refs, strict=True)])
+#: What a worker remembers: nodes by the structure of a formula, with places instead of numbers, texts and references.
+_STRUCTURES: dict[tuple, list[dict]] = {}
+REMEMBERED = 10_000
+
+
+def _structure(text: str | None) -> list[dict]:
+    """The nodes of a formula with the places of its numbers (-1 less theirs), texts and references (row; `end_row` is -1, but not where a range's first cell is meant)."""
+    error, program, refs = parse(text)
+    if error:
+        return []
+    program, n, t = [dict(zip(INSTRUCTION.names, i, strict=True)) for i in program], 0, 0
+    for i in program:
+        if i["op"] == "num":
+            i["num"], n = -1.0 - n, n + 1
+        elif i["op"] == "text":
+            i["text"], t = str(t), t + 1
+    return parts(program, [dict(zip(REFERENCE.names, r, strict=True)) | {"row": k, "end_row": -1} for k, r in enumerate(refs)])
+
+
+def nodes_of(text: str | None) -> list[dict]:
+    """The nodes of a formula's text; none if it cannot be read. Formulas that differ in numbers, texts and references only are put together once."""
+    try:
+        tokens = tokens_of((text or "").lstrip("="))
+        refs = [dict(zip(REFERENCE.names, reference(t), strict=True)) for kind, t in tokens if kind == "ref"]
+    except ValueError:
+        return []
+    ranged = iter(refs)
+    key = tuple((kind, next(ranged)["is_range"] if kind == "ref" else None if kind in ("num", "text") else t) for kind, t in tokens)
+    if key not in _STRUCTURES:
+        if len(_STRUCTURES) >= REMEMBERED:
+            _STRUCTURES.clear()
+        _STRUCTURES[key] = _structure(text)
+    nums, texts = [float(t) for kind, t in tokens if kind == "num"], [literal(t) for kind, t in tokens if kind == "text"]
+
+    def given(r: dict) -> dict:
+        mine = refs[r["row"]]
+        return mine if r["end_row"] < 0 else mine | {"end_row": mine["row"], "end_col": mine["col"], "is_range": False}
+
+    return [
+        x | {"nums": [nums[int(-1 - v)] if v < 0 else v for v in x["nums"]], "texts": [texts[int(v)] for v in x["texts"]], "refs": [given(r) for r in x["refs"]], "ranges": [given(r) for r in x["ranges"]]}
+        for x in _STRUCTURES[key]
+    ]
+
+
+def _nodes(formula: pd.Series) -> pd.Series:
+    return pd.Series([nodes_of(x) for x in formula], dtype=object)
+
+
+#: The nodes of texts, without carrying programs from Python and back. Worked out once, as `formula.parse_formula` is.
+nodes = F.pandas_udf(_nodes, ArrayType(NODE)).asNondeterministic()
 
 
 # Values -------------------------------------------------------------------------------------------------------

@@ -50,6 +50,11 @@ def programs(cells: DataFrame) -> DataFrame:
     return formula.parsed(cells).select("id", "sheet", "v_num", "v_str", "program", "refs", "error")
 
 
+def _read(cells: DataFrame) -> DataFrame:
+    """id, sheet, nodes (see `compile`) of formula cells; a formula that cannot be read has no nodes."""
+    return cells.join(formula.texts(cells).select("formula_raw", C.nodes("formula_raw").alias("nodes")), "formula_raw").select("id", "sheet", "nodes")
+
+
 def _rects(refs: DataFrame) -> DataFrame:
     """The references `r` as rectangles: `rect` names one, RECT are its sides; those that end before they start have none."""
     sheet = F.coalesce("r.sheet", "sheet")
@@ -79,7 +84,7 @@ class _Model:
 
     def __init__(self, cells: DataFrame, parsed: DataFrame) -> None:
         cut = graph.checkpoint
-        node = F.explode(C.nodes("program", "refs")).alias("x")
+        node = F.explode("nodes").alias("x")
         name = F.when(F.col("x.k") == 0, F.col("cell")).otherwise(F.concat_ws("#", "cell", "x.k"))
         self.nodes = cut(parsed.select(F.col("id").alias("cell"), "sheet", node).select(name.alias("id"), "cell", "sheet", "x.*"))
         shapes = self.nodes.select("kind", "shape").distinct().collect()
@@ -452,12 +457,14 @@ def _cycles(model: _Model, todo: DataFrame, values: DataFrame, stored: DataFrame
 def evaluate(cells: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """id, v_num, v_str of all cells after evaluation. `cells` as `with_ids` gives them; `only` (column id) limits what is
     evaluated, the others keep their stored values. A formula that cannot be read keeps its stored value."""
-    return nodes_and_values(cells, only)[1].join(cells.select("id"), "id", "left_semi")
+    model, values = nodes_and_values(cells, only)
+    inner = model.nodes.where("id <> cell").select("id")
+    return values if inner.isEmpty() else values.join(graph.checkpoint(inner), "id", "left_anti")
 
 
 def nodes_and_values(cells: DataFrame, only: DataFrame | None = None) -> tuple[_Model, DataFrame]:
     """The model that `evaluate` makes, and id, v_num, v_str of cells and of what is looked up inside formulas."""
-    parsed = programs(cells).where("error IS NULL")
+    parsed = _read(cells)
     if only is not None:
         parsed = parsed.join(only.select("id"), "id", "left_semi")
     model = _Model(cells, graph.checkpoint(parsed))
@@ -499,7 +506,7 @@ def nodes_and_values(cells: DataFrame, only: DataFrame | None = None) -> tuple[_
 
 def _reached(cells: DataFrame, edits: DataFrame) -> DataFrame:
     """id: the cells that depend on the edits, ranges by their tiles."""
-    parsed = programs(cells).where("error IS NULL")
+    parsed = _read(cells)
     model = _Model(cells, graph.checkpoint(parsed))
     edges = graph.checkpoint(model.edges(cells.select("id").unionByName(model.nodes.select("id")).distinct()))
     start = edits.select("id")
