@@ -20,6 +20,9 @@ CHAINED, LOOKED = 50, 4
 #: How many times larger a written table of keys may be in memory than in its file; by the bare size of files, Spark would send tables of millions of rows
 #: through the driver. What is small by this measure is broadcast at once, other tables where a shuffle has shown that they are.
 UNPACKED = 30
+#: Bytes of a shuffled table, packed as they are, up to which it may still be broadcast after its shuffle. Each round of a loop joins anew, so at Spark's own
+#: 10 MB, which hold 30 MB of keys, the rounds together send more through the driver than it should see; a table that has been shuffled gains little by it.
+BROADCAST = "512k"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +44,7 @@ def checkpoint(df: DataFrame, *by: str) -> DataFrame:
     """Cuts lineage: the table is written into the shared folder, once, in folders for the values of the columns `by`, and read from there, until the program ends."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.fileCompressionFactor", UNPACKED)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", BROADCAST)
     path = f"{shared_dir(spark)}/gridlake-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)

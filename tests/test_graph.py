@@ -87,3 +87,11 @@ def test_written_tables_of_many_keys_are_not_sent_through_the_driver(spark):
     plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan(many.join(many.select(F.col("tgt").alias("src"), F.lit(1).alias("x")), "src"))
     assert "BroadcastHashJoin" in plan(many.join(few, "src"))
+
+
+def test_shuffled_tables_of_many_keys_are_not_broadcast_either(spark):
+    """A shuffle of 300 000 keys takes under 10 MB, from which Spark would make a broadcast of 20."""
+    many = graph.checkpoint(spark.range(300_000).select(F.xxhash64("id").alias("src"), F.xxhash64("id", F.lit(1)).alias("tgt")))
+    joined = many.join(many.groupBy(F.col("tgt").alias("src")).agg(F.count(F.lit(1)).alias("n")), "src", "left")
+    assert joined.collect()[0]["n"] is None
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
