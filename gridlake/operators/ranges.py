@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Powers of two that a side of a tile may have: sheets hold up to 2 ** 20 rows and 2 ** 14 columns.
-ROW_POWERS, COL_POWERS = 21, 15
+#: Powers of two that a side of a tile may have: sheets hold up to 2 ** 20 rows and 2 ** 14 columns, but tables that stand for a sheet hold more rows.
+ROW_POWERS, COL_POWERS = 31, 15
 
 RECT = ["sheet", "row", "col", "end_row", "end_col"]
 TILE = ["sheet", "row_power", "row_tile", "col_power", "col_tile"]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.operators import graph
+from gridlake.operators import graph, ranges
 
 
 def table(spark, pairs):
@@ -95,3 +95,10 @@ def test_shuffled_tables_of_many_keys_are_not_broadcast_either(spark):
     joined = many.join(many.groupBy(F.col("tgt").alias("src")).agg(F.count(F.lit(1)).alias("n")), "src", "left")
     assert joined.collect()[0]["n"] is None
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_long_ranges_are_covered_whole(spark):
+    """Tables that stand for a sheet may have more rows than one."""
+    rects = spark.createDataFrame([("s", 1, 1, n, 1) for n in (5, 2**21, 5_400_000, 10**9)], "sheet string, row int, col int, end_row int, end_col int")
+    held = ranges.tiles_of(rects).groupBy("end_row").agg(F.sum(F.expr("shiftleft(1L, row_power)")).alias("n")).collect()
+    assert {r["end_row"]: r["n"] for r in held} == {n: n for n in (5, 2**21, 5_400_000, 10**9)}
