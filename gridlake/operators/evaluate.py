@@ -385,13 +385,7 @@ def _along_chains(model: _Model, rest: DataFrame, ready: DataFrame, edges: DataF
     links = graph.checkpoint(rest.where((F.col("kind") == "value") & F.col("shape").isin(shapes)).join(open_.select(F.col("src").alias("id"), "prev"), "id"))
     one = model.singles.join(links.select(F.col("id").alias("src"), F.col("prev").alias("tgt")), ["src", "tgt"]).groupBy("src").agg(F.min("at").alias("unknown"), F.count(F.lit(1)).alias("n")).where("n = 1")
     rows = _known(model, links.join(one.select(F.col("src").alias("id"), "unknown"), "id"), values)
-
-    def made(tree: list) -> dict:
-        ways = {k: C.affine(tree, k) for k in sorted(C.refs_in(tree))}
-        pick = lambda c: reduce(lambda w, k: F.when(F.col("unknown") == k, ways[k][c]).otherwise(w), [k for k, w in ways.items() if w], C.no_num())
-        return {"a": pick(0), "b": pick(1)}
-
-    maps = graph.checkpoint(_by_shape(rows, shapes, made, whole=None).where("a IS NOT NULL AND b IS NOT NULL").select("id", "prev", "a", "b"))
+    maps = graph.checkpoint(_by_shape(rows, shapes, _linear, whole=None).where("a IS NOT NULL AND b IS NOT NULL").select("id", "prev", "a", "b"))
     if maps.join(maps.select(F.col("id").alias("prev")), "prev", "left_semi").count() < CHAINED:
         return None
     base = graph.checkpoint(_step(model, ready, values))
@@ -409,20 +403,75 @@ def _along_chains(model: _Model, rest: DataFrame, ready: DataFrame, edges: DataF
     return graph.checkpoint(base.unionByName(done))
 
 
+def _linear(tree: list) -> dict[str, Column]:
+    """Factor `a` and summand `b` of a shape as a function of the reference whose number is in `unknown`, null where they do not exist."""
+    ways = {k: C.affine(tree, k) for k in sorted(C.refs_in(tree))}
+    pick = lambda c: reduce(lambda w, k: F.when(F.col("unknown") == k, ways[k][c]).otherwise(w), [k for k, w in ways.items() if w], C.no_num())
+    return {"a": pick(0), "b": pick(1)}
+
+
+def _rings(nodes: DataFrame, outer: DataFrame, inner: DataFrame, shapes: list[str]) -> DataFrame | None:
+    """id, scc, and what UNROLLED - 1 and UNROLLED sweeps make of a cell: `a` * x + `b` with the value x of `prev`, of the components in which each cell
+    names one other cell of it, once, and is linear in it; None if there are none. A sweep is one step of these maps, so sweeps are composed by doubling."""
+    # A formula that is nothing but a reference passes texts on; the bounds keep composed factors finite.
+    shapes = [s for s in shapes if json.loads(s)[0] != "ref" and any(C.affine(json.loads(s), k) for k in C.refs_in(json.loads(s)))]
+    if not shapes:
+        return None
+    one = inner.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("unknown"), F.min("tgt").alias("prev")).where("n = 1").drop("n")
+    rows = outer.where((F.col("kind") == "value") & (F.size("ranges") == 0) & F.col("shape").isin(shapes)).join(one, "id")
+    maps = graph.checkpoint(_by_shape(rows, shapes, _linear, whole=None).where("abs(a) <= 1e20 AND abs(b) <= 1e20").select("id", "scc", "prev", "a", "b"))
+    if maps.isEmpty():
+        return None
+    has = maps.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
+    whole = nodes.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).join(has, ["scc", "n"]).select("scc")
+    first = graph.checkpoint(maps.join(whole, "scc", "left_semi").select("id", "scc", "prev", "a", "b"))
+
+    def after(left: DataFrame, right: DataFrame) -> DataFrame:
+        """The steps of `left`, and from where they lead those of `right`."""
+        on = right.select(F.col("id").alias("prev"), F.col("prev").alias("prev2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        made = left.join(on, "prev").select("id", "scc", F.col("prev2").alias("prev"), (F.col("a") * F.col("a2")).alias("a"), (F.col("a") * F.col("b2") + F.col("b")).alias("b"))
+        return graph.checkpoint(made)
+
+    most, power, left = None, first, UNROLLED - 1
+    while left:
+        if left % 2:
+            most = power if most is None else after(most, power)
+        left //= 2
+        power = after(power, power) if left else power
+    whole = after(first, most).select("id", *(F.col(c).alias(f"{c}_all") for c in ("prev", "a", "b")))
+    return graph.checkpoint(most.join(whole, "id"))
+
+
+def _swept_rings(rings: DataFrame, state: DataFrame) -> DataFrame:
+    """id, scc, v_num, v_str, old_num, old_str: values after UNROLLED sweeps, and those before the last one."""
+    x = F.coalesce("v_num", F.col("v_str").try_cast("double"), F.lit(0.0))
+    before, start = (state.select(F.col("id").alias(c), x.alias(f"x_{c}")) for c in ("prev", "prev_all"))
+    joined = rings.join(before, "prev").join(start, "prev_all")
+    none = F.lit(None).cast("string")
+    return joined.select("id", "scc", (F.col("a_all") * F.col("x_prev_all") + F.col("b_all")).alias("v_num"), none.alias("v_str"), (F.col("a") * F.col("x_prev") + F.col("b")).alias("old_num"), none.alias("old_str"))
+
+
 def _cycles(model: _Model, todo: DataFrame, values: DataFrame, stored: DataFrame, scc: DataFrame) -> DataFrame:
     """id, v_num, v_str of cells on cycles, all components (id, scc) at once: each sweep computes all cells from the values of the last one,
-    and a component is done when none of its values moves."""
+    and a component is done when none of its values moves. Rings of linear formulas make UNROLLED sweeps at once (`_rings`)."""
     nodes = graph.checkpoint(todo.join(scc.select("id", "scc"), "id"))
     first = nodes.select("id", "scc").join(stored.select("id", "v_num", "v_str"), "id", "left")
     start = F.when(F.col("v_str").isNull(), F.coalesce(F.nanvl("v_num", F.lit(0.0)), F.lit(0.0)))
     state = graph.checkpoint(first.select("id", "scc", start.alias("v_num"), "v_str"))
-    num = lambda n, s: F.coalesce(F.col(n), F.col(s).try_cast("double"), F.lit(0.0))
-    out, single = None, nodes.where("kind <> 'value' OR size(ranges) > 0").isEmpty()
     ids = nodes.select(F.col("id").alias("src"))
     outer = nodes.join(_env(model, nodes, values).withColumnRenamed("src", "id"), "id", "left")
     outer = graph.checkpoint(outer.withColumn("env", F.coalesce("env", F.create_map().cast(ENV))).withColumn("stats", F.lit(None).cast(STATS)))
     inner = graph.checkpoint(model.singles.join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "tgt"), "tgt", "left_semi"))
 
+    out, rings = None, _rings(nodes, outer, inner, model.shapes.get("value", []))
+    if rings is not None:
+        in_rings = graph.checkpoint(rings.select("scc").distinct())
+        out = _until_settled(graph.checkpoint(state.join(in_rings, "scc", "left_semi")), lambda state: _swept_rings(rings, state))
+        nodes, outer, state = (graph.checkpoint(t.join(in_rings, "scc", "left_anti")) for t in (nodes, outer, state))
+        if nodes.isEmpty():
+            return out
+    single = nodes.where("kind <> 'value' OR size(ranges) > 0").isEmpty()
+
     def swept(state: DataFrame) -> DataFrame:
         """The next values. Where nothing but single references is read, only those inside the cycles are looked up again."""
         if not single:
@@ -434,22 +483,37 @@ def _cycles(model: _Model, todo: DataFrame, values: DataFrame, stored: DataFrame
         both = lambda tree: (lambda v: {"v_num": v.num, "v_str": v.txt})(C.value(tree))
         return _by_shape(rows, model.shapes["value"], both).select("id", "scc", "v_num", "v_str")
 
-    for _ in range(0, ITERATIONS, UNROLLED):
+    def several(state: DataFrame) -> DataFrame:
         for _ in range(UNROLLED):
             before, state = state, swept(state)
-        old = before.select("id", F.col("v_num").alias("old_num"), F.col("v_str").alias("old_str"))
+        return state.join(before.select("id", F.col("v_num").alias("old_num"), F.col("v_str").alias("old_str")), "id")
+
+    def leave(settled: DataFrame) -> None:
+        nonlocal nodes, outer
+        nodes, outer = (graph.checkpoint(t.join(settled, "scc", "left_anti")) for t in (nodes, outer))
+
+    rest = _until_settled(state, several, leave)
+    return rest if out is None else out.unionByName(rest)
+
+
+def _until_settled(state: DataFrame, several, leave=lambda settled: None) -> DataFrame:
+    """id, v_num, v_str of the cells of `state` (id, scc, v_num, v_str) when their component moves no more, or marked. `several` makes UNROLLED sweeps and gives
+    the values before the last one beside those after it; `leave` is told which components have settled."""
+    num = lambda n, s: F.coalesce(F.col(n), F.col(s).try_cast("double"), F.lit(0.0))
+    out = None
+    for _ in range(0, ITERATIONS, UNROLLED):
         moved = F.abs(num("v_num", "v_str") - num("old_num", "old_str"))
         moved = F.when(F.col("v_str").isNotNull() & ~F.col("v_str").eqNullSafe(F.col("old_str")), F.greatest(moved, F.lit(1.0))).otherwise(moved)
-        joined = graph.checkpoint(state.join(old, "id").withColumn("moved", F.coalesce(F.nanvl(moved, F.lit(float("inf"))), F.lit(float("inf")))))
+        joined = graph.checkpoint(several(state).withColumn("moved", F.coalesce(F.nanvl(moved, F.lit(float("inf"))), F.lit(float("inf")))))
         settled = graph.checkpoint(joined.groupBy("scc").agg(F.max("moved").alias("most")).where(F.col("most") < TOLERANCE).select("scc"))
         state = joined.select("id", "scc", "v_num", "v_str")
         if not settled.isEmpty():
             done = state.join(settled, "scc", "left_semi").select("id", "v_num", "v_str")
             out = done if out is None else out.unionByName(done)
-            nodes, outer = (graph.checkpoint(t.join(settled, "scc", "left_anti")) for t in (nodes, outer))
             state = graph.checkpoint(state.join(settled, "scc", "left_anti"))
-            if nodes.isEmpty():
+            if state.isEmpty():
                 return out
+            leave(settled)
     marked = state.select("id", C.no_num().alias("v_num"), F.lit("#CIRC!").alias("v_str"))
     return marked if out is None else out.unionByName(marked)
 
