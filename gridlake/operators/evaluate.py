@@ -518,20 +518,26 @@ def _until_settled(state: DataFrame, several, leave=lambda settled: None) -> Dat
     return marked if out is None else out.unionByName(marked)
 
 
-def evaluate(cells: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def formulas_read(cells: DataFrame) -> DataFrame:
+    """The formulas of `cells`, read and written, for what evaluates these cells more than once."""
+    return graph.checkpoint(_read(cells))
+
+
+def evaluate(cells: DataFrame, only: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
     """id, v_num, v_str of all cells after evaluation. `cells` as `with_ids` gives them; `only` (column id) limits what is
-    evaluated, the others keep their stored values. A formula that cannot be read keeps its stored value."""
-    model, values = nodes_and_values(cells, only)
+    evaluated, the others keep their stored values. A formula that cannot be read keeps its stored value. `read` has the formulas
+    that are evaluated as `formulas_read` gives them, if they have been read before."""
+    model, values = nodes_and_values(cells, only, read)
     inner = model.nodes.where("id <> cell").select("id")
     return values if inner.isEmpty() else values.join(graph.checkpoint(inner), "id", "left_anti")
 
 
-def nodes_and_values(cells: DataFrame, only: DataFrame | None = None) -> tuple[_Model, DataFrame]:
+def nodes_and_values(cells: DataFrame, only: DataFrame | None = None, read: DataFrame | None = None) -> tuple[_Model, DataFrame]:
     """The model that `evaluate` makes, and id, v_num, v_str of cells and of what is looked up inside formulas."""
-    parsed = _read(cells)
+    parsed = formulas_read(cells) if read is None else read
     if only is not None:
-        parsed = parsed.join(only.select("id"), "id", "left_semi")
-    model = _Model(cells, graph.checkpoint(parsed))
+        parsed = graph.checkpoint(parsed.join(only.select("id"), "id", "left_semi"))
+    model = _Model(cells, parsed)
     nodes, values = model.nodes, cells.select("id", "v_num", "v_str").join(model.nodes.select("id"), "id", "left_anti")
     values = graph.checkpoint(values)
     edges = graph.checkpoint(model.edges(nodes))
@@ -539,12 +545,16 @@ def nodes_and_values(cells: DataFrame, only: DataFrame | None = None) -> tuple[_
     scc, rounds, done = None, 0, None
     while True:
         rest = nodes if done is None else nodes.join(done, "id", "left_anti")
-        ready = graph.checkpoint(rest.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+        # Where nothing waits any more, what is left is the last round.
+        last = edges.isEmpty()
+        ready = graph.checkpoint(rest if last else rest.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
         rounds += 1
         if not ready.isEmpty():
             # Deep models are looked through for chains now and then; shallow ones are done before.
-            new = _along_chains(model, rest, ready, edges, values) if rounds % LOOKED == 0 else None
+            new = _along_chains(model, rest, ready, edges, values) if rounds % LOOKED == 0 and not last else None
             new = graph.checkpoint(_step(model, ready, values)) if new is None else new
+            if last:
+                return model, values.unionByName(new)
         elif rest.isEmpty():
             return model, values
         else:
@@ -568,27 +578,27 @@ def nodes_and_values(cells: DataFrame, only: DataFrame | None = None) -> tuple[_
         edges = graph.checkpoint(left)
 
 
-def _reached(cells: DataFrame, edits: DataFrame) -> DataFrame:
+def _reached(cells: DataFrame, edits: DataFrame, read: DataFrame) -> DataFrame:
     """id: the cells that depend on the edits, ranges by their tiles."""
-    parsed = _read(cells)
-    model = _Model(cells, graph.checkpoint(parsed))
+    model = _Model(cells, read)
     edges = graph.checkpoint(model.edges(cells.select("id").unionByName(model.nodes.select("id")).distinct()))
     start = edits.select("id")
     return graph.reached(edges, start).join(start, "id", "left_anti").join(cells.select("id"), "id", "left_semi").select("id")
 
 
-def recalculate(cells: DataFrame, edits: DataFrame) -> DataFrame:
+def recalculate(cells: DataFrame, edits: DataFrame, read: DataFrame | None = None) -> DataFrame:
     """id, old_num, old_str, new_num, new_str of the cells that change when `edits` (id, v_num, v_str) are set. Only what depends on
-    the edits is evaluated; the edited cells themselves are not listed."""
+    the edits is evaluated; the edited cells themselves are not listed. Formulas are read once, or not at all if `read` has them."""
     cells = graph.checkpoint(cells)
+    read = formulas_read(cells) if read is None else read
     new = edits.select("id", F.col("v_num").cast("double").alias("n"), F.col("v_str").alias("s"), F.lit(True).alias("edited"))
     joined = cells.join(new, "id", "left")
     edited = joined.select(
         "id", *KEY, F.when(F.col("edited"), F.col("n")).otherwise(F.col("v_num")).alias("v_num"), F.when(F.col("edited"), F.col("s")).otherwise(F.col("v_str")).alias("v_str"),
         F.when(F.col("edited").isNull(), F.col("formula_raw")).alias("formula_raw"),
     )
-    dirty = graph.checkpoint(_reached(cells, edits))
-    after = evaluate(edited, dirty).join(dirty, "id", "left_semi")
+    dirty = graph.checkpoint(_reached(cells, edits, read))
+    after = evaluate(edited, dirty, read).join(dirty, "id", "left_semi")
     before = cells.select("id", F.col("v_num").alias("old_num"), F.col("v_str").alias("old_str"))
     both = after.select("id", F.col("v_num").alias("new_num"), F.col("v_str").alias("new_str")).join(before, "id").join(edits.select("id"), "id", "left_anti")
     return both.where(~(F.col("old_num").eqNullSafe(F.col("new_num")) & F.col("old_str").eqNullSafe(F.col("new_str"))))
@@ -596,7 +606,7 @@ def recalculate(cells: DataFrame, edits: DataFrame) -> DataFrame:
 
 def reach(cells: DataFrame, edits: DataFrame) -> DataFrame:
     """One row: n_cells, n_affected (cells that depend on the edits), n_unchanged (neither edited nor affected)."""
-    affected = _reached(cells, edits).join(edits.select("id"), "id", "left_anti").select("id", F.lit(1).alias("hit"))
+    affected = _reached(cells, edits, formulas_read(cells)).join(edits.select("id"), "id", "left_anti").select("id", F.lit(1).alias("hit"))
     edited = edits.select("id").distinct().withColumn("set", F.lit(1))
     joined = cells.select("id").join(affected, "id", "left").join(edited, "id", "left")
     n, hit, given = F.count(F.lit(1)), F.count("hit"), F.count("set")

@@ -109,11 +109,14 @@ def fuzzy(questions: DataFrame, names: DataFrame, least: float = 0.4) -> DataFra
 
 
 def named(entities: DataFrame, names: DataFrame, least: float = 0.35) -> DataFrame:
-    """entity, name: the item of that very name, otherwise the most alike, otherwise an alias's, otherwise none."""
+    """entity, name: the item of that very name, otherwise the most alike, otherwise an alias's, otherwise none. Names are compared only where
+    there is an entity without an item of its name."""
     alias = F.create_map(*[F.lit(x) for canonical, others in ALIASES.items() for o in others for x in (o, canonical)])
     asked = entities.select("entity").distinct()
     exact = asked.join(names.select(F.col("name").alias("entity")).distinct(), "entity", "left_semi").withColumn("name", F.col("entity"))
-    rest = asked.join(exact, "entity", "left_anti")
+    rest = evaluate.graph.checkpoint(asked.join(exact, "entity", "left_anti"))
+    if rest.isEmpty():
+        return exact
     close = fuzzy(rest, names, least).select("entity", "name")
     other = rest.join(close, "entity", "left_anti").withColumn("name", F.try_element_at(alias, F.col("entity")))
     other = other.join(names.select("name").distinct(), "name", "left_semi").select("entity", "name")
@@ -140,7 +143,7 @@ def series_answers(questions: DataFrame, found: DataFrame, cells: DataFrame) ->
     whose heading, in a row above, has that year; the whole span where no heading does. Of items with one name the last counts."""
     asked = questions.select("id", intent(F.col("question")).alias("i")).where("i.year IS NOT NULL").select("id", "i.entity", "i.year")
     spans = found.where("has_time_series").groupBy("name").agg(F.max_by(F.struct("sheet", "row", "ts_start", "ts_end"), F.struct("sheet", "row")).alias("s"))
-    spans = spans.select("name", "s.*")
+    spans = evaluate.graph.checkpoint(spans.select("name", "s.*"))
     wanted = asked.join(named(asked, spans), "entity").join(spans, "name").select("id", "name", "year", "sheet", "row", "ts_start", "ts_end")
     inside = F.col("col_ix").between(F.col("ts_start"), F.col("ts_end"))
     heads = cells.where("formula_raw IS NULL").select("sheet", F.col("row").alias("head_row"), "col_ix", F.regexp_extract(F.coalesce("v_str", F.col("v_num").cast("bigint").cast("string")), r"(?<!\d)((?:19|20)\d\d)(?!\d)", 1).alias("head"))
@@ -151,12 +154,12 @@ def series_answers(questions: DataFrame, found: DataFrame, cells: DataFrame) ->
     return picked.where("dated IS NULL OR here").select("id", "name", "year", "col_ix", "value")
 
 
-def what_if(question: str, found: DataFrame, cells: DataFrame) -> DataFrame:
+def what_if(question: str, found: DataFrame, cells: DataFrame, read: DataFrame | None = None) -> DataFrame:
     """item, id, old_num, old_str, new_num, new_str: the cells that change when the question comes true. The model's cells hold their
-    values; a question that is no what-if, or whose item is not found or has no value cell, changes nothing."""
+    values; a question that is no what-if, or whose item is not found or has no value cell, changes nothing. `read` as for `evaluate.recalculate`."""
     asked = cells.sparkSession.createDataFrame([(question,)], "question string").select(intent(F.col("question")).alias("i")).select("i.*").where("kind = 'what_if' AND amount IS NOT NULL")
-    last = found.where("value_cell IS NOT NULL").groupBy("name").agg(F.max_by("value_cell", F.struct("sheet", "row")).alias("id"))
+    last = evaluate.graph.checkpoint(found.where("value_cell IS NOT NULL").groupBy("name").agg(F.max_by("value_cell", F.struct("sheet", "row")).alias("id")))
     meant = asked.join(named(asked, last), "entity").join(last, "name").join(cells.select("id", "v_num"), "id")
     new = changed(F.coalesce("v_num", F.lit(0.0)), F.col("action"), F.col("amount"), F.col("percent"))
     edits = evaluate.graph.checkpoint(meant.select("name", "id", new.alias("v_num"), F.lit(None).cast("string").alias("v_str")))
-    return evaluate.recalculate(cells, edits.drop("name")).join(edits.select(F.col("name").alias("item")), how="cross")  # one row
+    return evaluate.recalculate(cells, edits.drop("name"), read).join(edits.select(F.col("name").alias("item")), how="cross")  # one row
