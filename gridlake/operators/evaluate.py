@@ -523,6 +523,13 @@ def formulas_read(cells: DataFrame) -> DataFrame:
     return graph.checkpoint(_read(cells))
 
 
+def formulas_read_of(*tables: DataFrame) -> list[DataFrame]:
+    """`formulas_read` of several tables of cells, such as versions of one workbook; texts that they have in common are read once."""
+    texts = formula.texts(reduce(DataFrame.unionByName, [t.select("formula_raw") for t in tables]))
+    nodes = graph.checkpoint(texts.select("formula_raw", C.nodes("formula_raw").alias("nodes")))
+    return [graph.checkpoint(t.join(nodes, "formula_raw").select("id", "sheet", "nodes")) for t in tables]
+
+
 def evaluate(cells: DataFrame, only: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
     """id, v_num, v_str of all cells after evaluation. `cells` as `with_ids` gives them; `only` (column id) limits what is
     evaluated, the others keep their stored values. A formula that cannot be read keeps its stored value. `read` has the formulas
@@ -534,10 +541,12 @@ def evaluate(cells: DataFrame, only: DataFrame | None = None, read: DataFrame |
 
 def nodes_and_values(cells: DataFrame, only: DataFrame | None = None, read: DataFrame | None = None) -> tuple[_Model, DataFrame]:
     """The model that `evaluate` makes, and id, v_num, v_str of cells and of what is looked up inside formulas."""
-    parsed = formulas_read(cells) if read is None else read
-    if only is not None:
-        parsed = graph.checkpoint(parsed.join(only.select("id"), "id", "left_semi"))
-    model = _Model(cells, parsed)
+    of = lambda t: t if only is None else t.join(only.select("id"), "id", "left_semi")
+    if read is None:
+        read = formulas_read(of(cells))
+    elif only is not None:
+        read = graph.checkpoint(of(read))
+    model = _Model(cells, read)
     nodes, values = model.nodes, cells.select("id", "v_num", "v_str").join(model.nodes.select("id"), "id", "left_anti")
     values = graph.checkpoint(values)
     edges = graph.checkpoint(model.edges(nodes))

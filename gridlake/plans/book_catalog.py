@@ -131,7 +131,8 @@ def book_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     made_of = suppliers(spark, sf_dir)
     later = made_of.where(F.col("s_suppkey") % 11 != 0)
     later = later.withColumn("s_acctbal", F.when(F.col("s_suppkey") % 7 == 0, F.col("s_acctbal") + 100).otherwise(F.col("s_acctbal")))
-    return B.compare(stored(book(made_of)), stored(book(later)))
+    books = [E.graph.checkpoint(book(made_of)), E.graph.checkpoint(book(later))]
+    return B.compare(*(stored(b, read) for b, read in zip(books, E.formulas_read_of(*books), strict=True)))
 
 
 @query("SELECT right(p_brand, 1) AS form, count(*)::bigint AS n, count(*)::bigint AS same FROM part GROUP BY 1")
