@@ -249,14 +249,9 @@ def _conditional(model: _Model, kind: str, asked: DataFrame, values: DataFrame)
     spans = _spans(model, asked, "at")
     add = model.rects.select(F.col("src").alias("id"), F.col("at").alias("add_at"), F.col("rect").alias("add"), *(F.col(c).alias(f"a_{c}") for c in ranges.RECT))
     spans = graph.checkpoint(spans.join(add, ["id", "add_at"], "left").withColumn("add", F.coalesce("add", "rect")))
-    cells = _dictionary(model, spans, values, blanks=True)
     pairs = spans.select("rect", "add").distinct()
     number = F.coalesce("n", F.col("s").try_cast("double"), F.lit(0.0))
-    others = spans.select(F.col("add").alias("rect"), *(F.coalesce(f"a_{c}", f"r_{c}").alias(f"r_{c}") for c in ranges.RECT))
-    summed = _dictionary(model, others, values, blanks=False).select(F.col("rect").alias("add"), "at", number.alias("x"))
-    # Places beyond the end of the summed range do not count.
-    joined = cells.join(pairs, "rect").join(summed, ["add", "at"], "left")
-    held = graph.checkpoint(joined.groupBy("rect", "add", "n", "s").agg(F.count(F.lit(1)).alias("many"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("x")))
+    held = graph.checkpoint(_counted(model, spans, values).join(pairs, "rect") if kind == "COUNTIF" else _summed(model, spans, pairs, values, number))
     rule_keys = ["rect", "add", "rule_n", "rule_s"]
     rules = spans.select(*rule_keys).distinct()
     wanted = F.regexp_extract("rule_s", "(?s)^(>=|<=|<>|>|<|=)", 1)
@@ -278,6 +273,27 @@ def _conditional(model: _Model, kind: str, asked: DataFrame, values: DataFrame)
     return out.withColumn("v_str", F.lit(None).cast("string"))
 
 
+def _counted(model: _Model, spans: DataFrame, values: DataFrame) -> DataFrame:
+    """rect, n, s, many, x: how many cells of a range hold each value; its blank places are those that no cell with a value takes, and are not listed."""
+    full = _dictionary(model, spans, values, blanks=False).groupBy("rect", "n", "s").agg(F.count(F.lit(1)).alias("many"))
+    area = (F.col("r_end_row") - F.col("r_row") + 1).cast("long") * (F.col("r_end_col") - F.col("r_col") + 1)
+    rects = spans.where("rect IS NOT NULL").select("rect", area.alias("area")).distinct()
+    taken = full.groupBy("rect").agg(F.sum("many").alias("taken"))
+    blank = rects.join(taken, "rect", "left").select("rect", C.no_num().alias("n"), C.no_text().alias("s"), (F.col("area") - F.coalesce("taken", F.lit(0))).alias("many"))
+    return full.unionByName(blank.where("many > 0")).withColumn("x", F.lit(0.0))
+
+
+def _summed(model: _Model, spans: DataFrame, pairs: DataFrame, values: DataFrame, number: Column) -> DataFrame:
+    """rect, add, n, s, many, x: the sums over the places of the range `add` that hold numbers or texts, by what the same places of a range hold, blanks too."""
+    others = spans.select(F.col("add").alias("rect"), *(F.coalesce(f"a_{c}", f"r_{c}").alias(f"r_{c}") for c in ranges.RECT))
+    summed = _dictionary(model, others, values, blanks=False).select(F.col("rect").alias("add"), "at", number.alias("x"))
+    # Places beyond the end of either range do not count.
+    area = (F.col("r_end_row") - F.col("r_row") + 1).cast("long") * (F.col("r_end_col") - F.col("r_col") + 1)
+    both = pairs.join(spans.where("rect IS NOT NULL").select("rect", area.alias("area")).distinct(), "rect")
+    joined = summed.join(both, "add").where("at <= area").join(_dictionary(model, spans, values, blanks=False), ["rect", "at"], "left")
+    return joined.groupBy("rect", "add", "n", "s").agg(F.count(F.lit(1)).alias("many"), F.sum("x").alias("x"))
+
+
 def _equal(held: DataFrame, rules: DataFrame) -> DataFrame:
     """The groups of equal cells that a value without signs and wildcards is equal to, by a hash join; a blank rule means blank cells."""
     asked = rules.where("rule_s IS NOT NULL OR rule_n IS NOT NULL").withColumn("key", F.explode(lookup.keys_of_value(F.col("rule_n"), F.col("rule_s"))))

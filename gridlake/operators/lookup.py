@@ -69,18 +69,23 @@ def keys_of_value(n: Column, s: Column) -> Column:
 
 def matched(values: DataFrame, requests: DataFrame, kind: str) -> DataFrame:
     """The columns of `requests` (rect, n, s, ...) with `at`: MATCH in the dictionary `values` (rect, at, n, s; blanks have neither n nor s). `kind` names the
-    integer column: 0 the first equal value, 1 the last one not above, -1 the last one not below, wherever they stand."""
+    integer column: 0 the first equal value, 1 the last one not above, -1 the last one not below, wherever they stand. Dictionaries are ordered for the ways
+    that some request asks for only."""
+    turns = [r[0] for r in requests.select(F.signum(kind).cast("int")).distinct().collect()]
     exact = first_equal(
         values.select("rect", keys_of_cell(F.col("n"), F.col("s")).alias("keys"), "at"),
         requests.where(F.col(kind) == 0).withColumn("keys", keys_of_value(F.col("n"), F.col("s"))), ["rect"], "keys", "at",
     ).drop("keys")
+    names = requests.columns
+    if not any(turns):
+        return exact.select(*names, "at")
     ranked = requests.where(F.col(kind) != 0)
     num = lambda n, s: F.coalesce(n, s.try_cast("double"), F.lit(0.0))
     n, s = F.col("n"), F.col("s")
     # Numbers are compared with everything as numbers; texts with texts as texts, with the rest as numbers.
     sides = [("n", num(n, s), F.lit(True), s.isNull()), ("x", num(n, s), s.isNull(), s.isNotNull())]
     entries = requests_ = None
-    for turn in (1, -1):
+    for turn in (t for t in (1, -1) if t in turns):
         for side, key, held, asks in sides:
             e = values.where(held).select("rect", F.lit(f"{side}{turn}").alias("side"), (key * turn).alias("k"), "at")
             r = ranked.where((F.signum(kind) == turn) & asks).select("*", F.lit(f"{side}{turn}").alias("side"), (key * turn).alias("k"))
@@ -89,9 +94,9 @@ def matched(values: DataFrame, requests: DataFrame, kind: str) -> DataFrame:
     low = F.lower(F.trim(s))
     texts = values.where("s IS NOT NULL").select("rect", low.alias("k"), "at")
     asked = ranked.where("s IS NOT NULL")
-    ways = [(F.col(kind) > 0, False), (F.col(kind) < 0, True)]
-    up, down = (last_not_after(texts, asked.where(w).withColumn("k", low), ["rect"], "k", "at", best=True, down=d).drop("k") for w, d in ways)
-    both = by_number.unionByName(up).unionByName(down)
-    names = requests.columns
+    both = by_number
+    for turn in (t for t in (1, -1) if t in turns):
+        mine = asked.where(F.signum(kind) == turn).withColumn("k", low)
+        both = both.unionByName(last_not_after(texts, mine, ["rect"], "k", "at", best=True, down=turn < 0).drop("k"))
     merged = both.groupBy(*names).agg(F.max("at").alias("at"))
     return exact.select(*names, "at").unionByName(merged.select(*names, "at"))
